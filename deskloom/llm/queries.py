@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deskloom.llm import formatting, lookalike, overlap
+from deskloom.llm import conversations, formatting, lookalike, overlap
 from deskloom.runtime import table
 
 FIELDS = ["customer_text", "brand_reply"]
@@ -19,6 +19,14 @@ def p1_forms(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.consistent_text(table(spark, d, "episodes").select("episode_id", *FIELDS), FIELDS)
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return conversations.turns(table(spark, d, "messages"))
+
+
+def p2_conversations(spark: SparkSession, d: str) -> DataFrame:
+    return conversations.conversations(table(spark, d, "messages"))
+
+
 def p3_groups(spark: SparkSession, d: str) -> DataFrame:
     return formatting.formatting_groups(table(spark, d, "episodes"), key="episode_id", text="customer_text")
 
@@ -45,5 +53,8 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return _overlaps(spark, d).join(where, "b_id").groupBy("split_name", "brand").agg(F.count("*").alias("pairs"), F.count_if("same").alias("same_pairs"), F.count_distinct("b_id").alias("evaluation_records"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_forms": p1_forms, "p3_found": p3_found, "p3_groups": p3_groups, "p7_found": p7_found, "p7_report": p7_report}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (p1_found, p1_forms, p2_found, p2_conversations, p3_found, p3_groups, p7_found, p7_report)
+}
+ORACLES = {"p2_found": conversations.FOUND_SQL}
