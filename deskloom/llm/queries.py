@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deskloom.llm import conversations, formatting, lookalike, overlap
+from deskloom.llm import abuse, conversations, formatting, lookalike, overlap
 from deskloom.runtime import table
 
 FIELDS = ["customer_text", "brand_reply"]
@@ -35,6 +35,19 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return p3_groups(spark, d).where("copies > 1 AND episode_id <> first_id").select("first_id", "episode_id")
 
 
+def p5_scores(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.abuse_scores(table(spark, d, "episodes").dropDuplicates(["episode_id"]), text="customer_text", keep=["episode_id", "brand"])
+
+
+def p5_rates(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.source_rates(p5_scores(spark, d), "brand")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    scores = abuse.abuse_scores(table(spark, d, "episodes"), text="customer_text", keep=["episode_id"])
+    return scores.where(F.col("abuse_score") >= abuse.FLAG_AT).select("episode_id").distinct()
+
+
 def _splits(spark: SparkSession, d: str) -> DataFrame:
     return overlap.with_split(table(spark, d, "episodes").select("episode_id", "brand", "created_at", "customer_text"), table(spark, d, "splits"))
 
@@ -55,6 +68,6 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_forms, p2_found, p2_conversations, p3_found, p3_groups, p7_found, p7_report)
+    for f in (p1_found, p1_forms, p2_found, p2_conversations, p3_found, p3_groups, p5_found, p5_scores, p5_rates, p7_found, p7_report)
 }
 ORACLES = {"p2_found": conversations.FOUND_SQL}
