@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deskloom.llm import abuse, conversations, formatting, lookalike, overlap
+from deskloom.llm import abuse, conversations, formatting, lookalike, overlap, privacy
 from deskloom.runtime import table
 
 FIELDS = ["customer_text", "brand_reply"]
@@ -35,6 +35,18 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return p3_groups(spark, d).where("copies > 1 AND episode_id <> first_id").select("first_id", "episode_id")
 
 
+PRIVATE = {"key": "episode_id", "texts": ["customer_text"], "idents": ["customer_id"]}
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    _, spans = privacy.protected_spans(table(spark, d, "episodes"), **PRIVATE)
+    return spans.select(F.col("k").alias("episode_id"), F.col("field").alias("field_name"), F.col("kind").alias("pii_kind")).distinct()
+
+
+def p4_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return privacy.redact(table(spark, d, "episodes"), **PRIVATE)
+
+
 def p5_scores(spark: SparkSession, d: str) -> DataFrame:
     return abuse.abuse_scores(table(spark, d, "episodes").dropDuplicates(["episode_id"]), text="customer_text", keep=["episode_id", "brand"])
 
@@ -68,6 +80,6 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_forms, p2_found, p2_conversations, p3_found, p3_groups, p5_found, p5_scores, p5_rates, p7_found, p7_report)
+    for f in (p1_found, p1_forms, p2_found, p2_conversations, p3_found, p3_groups, p4_found, p4_redacted, p5_found, p5_scores, p5_rates, p7_found, p7_report)
 }
 ORACLES = {"p2_found": conversations.FOUND_SQL}
