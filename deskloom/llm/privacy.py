@@ -87,28 +87,39 @@ def _free(spans: list[tuple], start: int, stop: int) -> bool:
     return all(stop <= s[3] or start >= s[4] for s in spans)
 
 
-def spans_of_text(text: str) -> list[tuple]:
+#: What a text must hold for a group of the patterns to match at all, in RE2.
+HINTS = {
+    "mail": r"(?i)@\s?[\w-]+\s*(?:\.|[(\[{]\s*dot|\sdot\s)|[(\[{]\s*at\s*[)\]}]|\sdot\s",
+    "digits": r"(?i)\d[\d\s./()-]{5,}\d|\d{6}|(?:zero|oh|one|two|three|four|five|six|seven|eight|nine)[\s-]+(?:zero|oh|one|two|three|four|five|six|seven|eight|nine)[\s-]",
+    "street": r"(?i)\d[a-z]?,?\s+(?:[nsew]\.\s+)?(?:[^\s\d]+\s+){1,2}(?:street|st|avenue|ave|road|rd|lane|ln|boulevard|blvd|drive|gardens|court|square|terrace|close|crescent|way)\b|box\s\d|\b(?:calle|avenida|plaza|via)\s\pL+,?\s\d|\d,?\s(?:rue|avenue|boulevard|chemin|impasse)\s|(?:straße|strasse|str\.|gasse|allee|weg)\s\d",
+    "name": r"(?i)\bname is\b|\bname\s?:|\bregards,|\bsincerely,|\bunder\b|\breservation\b|\bpassenger\b|\b(?:mr|mrs|ms|miss|dr)\b|\bwriting\b|\bspeaking\b|\bbtw\b|\bby the way\b",
+}
+ALL_HINTS = frozenset(HINTS)
+
+
+def spans_of_text(text: str, hints: frozenset[str] = ALL_HINTS) -> list[tuple]:
     """Spans of one text as ``(kind, sure, cue, start, stop, first, last)``; e-mail addresses hide what lies inside them."""
     out: list[tuple] = []
-    if "@" in text or " at " in text.lower() or "at)" in text.lower() or "at]" in text.lower():
+    if "mail" in hints:
         for m in EMAIL.finditer(text):
             out.append(("email", True, None, m.start(), m.end(), None, None))
-    for kind, pattern in (("id_number", IDENTITY), ("phone", PHONE)):
+    digits = "digits" in hints
+    for kind, pattern in (("id_number", IDENTITY), ("phone", PHONE)) if digits else ():
         for m in pattern.finditer(text):
             if _free(out, m.start(), m.end()):
                 out.append((kind, True, _cue(text[: m.start()]), m.start(), m.end(), None, None))
-    for m in ADDRESS.finditer(text):
+    for m in ADDRESS.finditer(text) if "street" in hints else ():
         if _free(out, m.start(), m.end()) and not _NOT_ADDRESS.match(text, m.end()):
             out.append(("address", True, None, m.start(), m.end(), None, None))
-    for kind, pattern, near in (("id_number", BARE_ID, _ID_CUE), ("phone", BARE_PHONE, _PHONE_CUE)):
+    for kind, pattern, near in (("id_number", BARE_ID, _ID_CUE), ("phone", BARE_PHONE, _PHONE_CUE)) if digits else ():
         for m in pattern.finditer(text):
             if _free(out, m.start(), m.end()):
                 before = text[max(0, m.start() - 60) : m.start()]
                 out.append((kind, bool(near.search(before) or (kind == "phone" and _PHONE_AFTER.match(text, m.end()))), _cue(before), m.start(), m.end(), None, None))
-    for m in NUMBERLIKE.finditer(text):
+    for m in NUMBERLIKE.finditer(text) if digits else ():
         if _free(out, m.start(), m.end()):
             out.append(("number", False, _cue(text[: m.start()]), m.start(), m.end(), None, None))
-    for m in NAMED.finditer(text):
+    for m in NAMED.finditer(text) if "name" in hints else ():
         a, b = (m["a"], m["b"]) if m["a"] else (m["c"], m["d"])
         start, stop = m.start("a" if m["a"] else "c"), m.end("b" if m["a"] else "d")
         x, y = a.lower(), b.lower()
@@ -152,9 +163,13 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
+        if not batch.num_rows:
+            continue
         out = []
-        for k, field, ident, text in zip(*(batch.column(c).to_pylist() for c in ("k", "field", "ident", "text"))):
-            spans = spans_of_id(text) if ident else spans_of_text(text)
+        hints = run_sql(batch.select(["text"]), "SELECT " + ", ".join(f"regexp_matches(text, '{p}') AS {n}" for n, p in HINTS.items()) + " FROM batch")
+        flags = [frozenset(n for n, x in zip(HINTS, row) if x) for row in zip(*(hints.column(n).to_pylist() for n in HINTS))]
+        for k, field, ident, text, hint in zip(*(batch.column(c).to_pylist() for c in ("k", "field", "ident", "text")), flags):
+            spans = spans_of_id(text) if ident else spans_of_text(text, hint) if hint else []
             for kind, sure, cue, start, stop, first, last in spans:
                 out.append((k, field, kind, start, stop, sure, cue, first, last))
                 if kind == "email" and (m := _MAIL_NAME.match(text, start)):
@@ -216,9 +231,28 @@ def _pair_scan(bitmap: bytes):
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.unpackbits(np.frombuffer(bitmap, np.uint8)).astype(bool)
         known: dict[str, bool] = {}
+        parts: dict[str, bool] = {}
+
+        def part(raw: str) -> bool:
+            if len(parts) > 500_000:
+                parts.clear()
+            words = [m[0].lower().split("-")[0] for m in token.finditer(raw)]
+            hits = [bool(bits[_slot(w)]) or len(w) == 1 for w in words]
+            parts[raw] = hits[-1:] == [True] if len(words) < 2 else any(a and b for a, b in zip(hits, hits[1:])) or hits[0] or hits[-1]
+            return parts[raw]
+
         for batch in batches:
             out = []
             for k, field, text in zip(*(batch.column(c).to_pylist() for c in ("k", "field", "text"))):
+                last = some = False
+                for raw in text.split():
+                    now = parts[raw] if raw in parts else part(raw)
+                    if now and (last or "/" in raw or "," in raw):
+                        some = True
+                        break
+                    last = now
+                if not some:
+                    continue
                 before = None
                 for m in token.finditer(text):
                     word = m[0].lower().split("-")[0]
@@ -247,7 +281,7 @@ def protected_spans(df: DataFrame, *, key: str, texts: list[str], idents: list[s
     ``texts`` are searched inside, ``idents`` are judged as whole values.
     Null and blank values and null keys have no rows; a value delivered twice counts once.
     """
-    rows = consistent(df, key=key, texts=texts, idents=idents)
+    rows = cut(consistent(df, key=key, texts=texts, idents=idents))
     spans = cut(rows.mapInArrow(_scan, _SPANS).distinct())
     terms = cut(name_terms(spans, rows))
     first, last = terms.where("slot = 'f'").select(F.col("term").alias("first")), terms.where("slot = 'l'").select(F.col("term").alias("last"))
