@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deskloom.llm import abuse, conversations, formatting, lookalike, overlap, privacy
+from deskloom.llm import abuse, conversations, formatting, lookalike, overlap, privacy, truncation
 from deskloom.runtime import table
 
 FIELDS = ["customer_text", "brand_reply"]
@@ -78,8 +78,20 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return _overlaps(spark, d).join(where, "b_id").groupBy("split_name", "brand").agg(F.count("*").alias("pairs"), F.count_if("same").alias("same_pairs"), F.count_distinct("b_id").alias("evaluation_records"))
 
 
+def p10_scores(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.truncation_scores(table(spark, d, "documents"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return p10_scores(spark, d).where("truncated").select("doc_id")
+
+
+def p10_rates(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.source_rates(p10_scores(spark, d))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_forms, p2_found, p2_conversations, p3_found, p3_groups, p4_found, p4_redacted, p5_found, p5_scores, p5_rates, p7_found, p7_report)
+    for f in (p1_found, p1_forms, p2_found, p2_conversations, p3_found, p3_groups, p4_found, p4_redacted, p5_found, p5_scores, p5_rates, p7_found, p7_report, p10_found, p10_scores, p10_rates)
 }
 ORACLES = {"p2_found": conversations.FOUND_SQL}
