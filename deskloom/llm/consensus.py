@@ -6,6 +6,11 @@ updates alternate between the labels of items, the raters' counts, their types a
 the types' matrices. A rater with few labels stays close to its type, a rater with
 many goes its own way.
 
+Two passes of one drafting procedure are no independent witnesses: they repeat each
+other's errors. Labels with the same ``link`` on an item make one statement where
+they agree, and statements of raters of another kind where they don't, so that the
+data say how much such an agreement is worth.
+
 Labels stay in long form, so neither an item with many labels nor a rater with
 many items meets one task; the driver only holds the types' matrices, whose size is
 fixed by the taxonomy.
@@ -51,7 +56,7 @@ def usable(label: Column) -> Column:
 
 
 def collect_labels(golden: DataFrame, audits: DataFrame) -> DataFrame:
-    """``item, rater, label``: each rater's latest usable label of each golden item.
+    """``item, rater, label, link``: each rater's latest usable label of each golden item; the two passes are linked.
 
     Passes come first, then the human and the gold label, then audits by time
     and number. A pass without a named rater counts as a rater of its own;
@@ -65,7 +70,16 @@ def collect_labels(golden: DataFrame, audits: DataFrame) -> DataFrame:
     later = audits.select(F.col("episode_id").alias("item"), F.col("annotator_id").alias("rater"), usable(F.col("intent")).alias("label"), F.lit(len(sources)).alias("step"), F.col("labelled_at").cast("timestamp").alias("at"), F.coalesce(F.col("audit_id").cast("long"), F.lit(-1)).alias("nr"))
     rows = rows.union(later.join(items, "item", "left_semi")).where("item IS NOT NULL AND rater IS NOT NULL AND label IS NOT NULL")
     last = F.max(F.struct("step", F.coalesce("at", F.lit("0001-01-01").cast("timestamp")), "nr", "label"))
-    return rows.groupBy("item", "rater").agg(last.alias("x")).select("item", "rater", F.col("x.label").alias("label"))
+    return rows.groupBy("item", "rater").agg(last.alias("x")).select("item", "rater", F.col("x.label").alias("label"), F.when(F.col("x.step") < 2, "passes").alias("link"))
+
+
+def _statements(labels: DataFrame) -> DataFrame:
+    """``item, rater, code`` of independent statements; linked labels of an item are a handful by construction."""
+    free = labels.where("link IS NULL").select("item", "rater", "code")
+    groups = labels.where("link IS NOT NULL").groupBy("item", "link").agg(F.min("code").alias("lo"), F.max("code").alias("hi"), F.count("*").alias("n"), F.collect_list(F.struct("rater", "code")).alias("each"))
+    agreed = groups.where("n > 1 AND lo = hi").select("item", F.concat("link", F.lit("|same")).alias("rater"), F.col("lo").alias("code"))
+    apart = groups.where("n = 1 OR lo <> hi").select("item", F.explode("each").alias("x"), F.when(F.col("n") > 1, "|apart").otherwise("|alone").alias("how"))
+    return free.union(agreed).union(apart.select("item", F.concat("x.rater", "how"), "x.code"))
 
 
 def _raters(types: np.ndarray, weights: np.ndarray, size: int):
@@ -99,7 +113,7 @@ def _counts(weighted: DataFrame, size: int) -> DataFrame:
 
 
 def consensus(labels: DataFrame, *, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
-    """``(items, raters)`` from ``item, rater, label`` rows, one for each item and rater.
+    """``(items, raters)`` from ``item, rater, label, link`` rows, one for each item and rater.
 
     items: ``item, intent, confidence, labels, agreement, pair_agreement`` with
     the share of labels that agree with the consensus and of agreeing pairs of
@@ -108,15 +122,15 @@ def consensus(labels: DataFrame, *, rounds: int = ROUNDS) -> tuple[DataFrame, Da
     """
     size = len(INTENTS)
     codes = labels.withColumn("code", F.array_position(F.array(*map(F.lit, INTENTS)), F.col("label")).cast("int") - 1)
-    codes = cut(codes.select("item", "rater", "label", "code"))
+    codes = cut(codes.select("item", "rater", "code", "link"))
+    stated = cut(_statements(codes))
     votes = codes.groupBy("item").agg(F.count("*").alias("n"), *(F.count_if(F.col("code") == k).alias(f"v{k}") for k in range(size)))
     posterior = votes.select("item", F.array(*(F.col(f"v{k}") / F.col("n") for k in range(size))).alias("q"))
     types = np.stack([np.full((size, size), (1 - p) / (size - 1)) + np.eye(size) * (p - (1 - p) / (size - 1)) for p in TYPES])
     start, weights = types.copy(), np.full(len(TYPES), 1 / len(TYPES))
-    raters = None
+    kind = "rater string, labels long, counts array<double>, types array<double>, logs array<double>, matrix array<double>"
     for _ in range(rounds):
-        weighted = codes.join(posterior, "item")
-        kind = "rater string, labels long, counts array<double>, types array<double>, logs array<double>, matrix array<double>"
+        weighted = stated.join(posterior, "item")
         raters = cut(_counts(weighted, size).mapInArrow(_raters(types, weights, size), kind))
         # sums over raters, one row of fixed size
         cell = [F.sum(F.col("types")[m] * F.col("counts")[c]) for m in range(len(TYPES)) for c in range(size * size)]
@@ -130,7 +144,7 @@ def consensus(labels: DataFrame, *, rounds: int = ROUNDS) -> tuple[DataFrame, Da
         types, weights = new, (np.array(row["sizes"]) + 1) / (sum(row["sizes"]) + len(TYPES))
         shares = np.array(row["all"]).reshape(size, size).sum(1) + 1
         logs = np.log(shares / shares.sum())
-        told = codes.join(raters.select("rater", "logs"), "rater")
+        told = stated.join(raters.select("rater", "logs"), "rater")
         scores = told.groupBy("item").agg(*(F.sum(F.element_at("logs", F.lit(k * size + 1) + F.col("code"))).alias(f"s{k}") for k in range(size)))
         raw = [F.col(f"s{k}") + float(logs[k]) for k in range(size)]
         top = F.greatest(*raw)
@@ -150,6 +164,7 @@ def consensus(labels: DataFrame, *, rounds: int = ROUNDS) -> tuple[DataFrame, Da
         (own / F.col("n")).alias("agreement"),
         F.when(F.col("n") > 1, pairs / (F.col("n") * (F.col("n") - 1))).alias("pair_agreement"),
     )
+    raters = _counts(codes.join(posterior, "item"), size).mapInArrow(_raters(types, weights, size), kind)
     seen = [sum((F.col("counts")[k * size + c] for c in range(size)), F.lit(0.0)) for k in range(size)]
     right = sum((seen[k] * F.col("matrix")[k * size + k] for k in range(size)), F.lit(0.0)) / sum(seen, F.lit(0.0))
     top_type = F.array_position("types", F.array_max("types")).cast("int")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deskloom.llm import abuse, conversations, formatting, lookalike, overlap, privacy, truncation
+from deskloom.llm import abuse, consensus, conversations, formatting, lookalike, overlap, privacy, truncation
 from deskloom.runtime import table
 
 FIELDS = ["customer_text", "brand_reply"]
@@ -60,6 +60,22 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return scores.where(F.col("abuse_score") >= abuse.FLAG_AT).select("episode_id").distinct()
 
 
+def _consensus(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return consensus.consensus(consensus.collect_labels(table(spark, d, "golden"), table(spark, d, "audits")))
+
+
+def p6_items(spark: SparkSession, d: str) -> DataFrame:
+    return _consensus(spark, d)[0]
+
+
+def p6_raters(spark: SparkSession, d: str) -> DataFrame:
+    return _consensus(spark, d)[1]
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return p6_items(spark, d).where(F.col("labels") >= consensus.LEAST_RATERS).select(F.col("item").alias("episode_id"), "intent")
+
+
 def _splits(spark: SparkSession, d: str) -> DataFrame:
     return overlap.with_split(table(spark, d, "episodes").select("episode_id", "brand", "created_at", "customer_text"), table(spark, d, "splits"))
 
@@ -92,6 +108,6 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_forms, p2_found, p2_conversations, p3_found, p3_groups, p4_found, p4_redacted, p5_found, p5_scores, p5_rates, p7_found, p7_report, p10_found, p10_scores, p10_rates)
+    for f in (p1_found, p1_forms, p2_found, p2_conversations, p3_found, p3_groups, p4_found, p4_redacted, p5_found, p5_scores, p5_rates, p6_found, p6_items, p6_raters, p7_found, p7_report, p10_found, p10_scores, p10_rates)
 }
 ORACLES = {"p2_found": conversations.FOUND_SQL}
