@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deskloom.llm import abuse, consensus, conversations, formatting, lookalike, overlap, privacy, truncation
+from deskloom.llm import abuse, consensus, conversations, formatting, lookalike, mixing, overlap, packing, privacy, tokens, truncation
 from deskloom.runtime import table
 
 FIELDS = ["customer_text", "brand_reply"]
@@ -94,6 +94,25 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return _overlaps(spark, d).join(where, "b_id").groupBy("split_name", "brand").agg(F.count("*").alias("pairs"), F.count_if("same").alias("same_pairs"), F.count_distinct("b_id").alias("evaluation_records"))
 
 
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    sized = tokens.count_tokens(table(spark, d, "documents"), text="text", keep=["doc_id"])
+    return packing.pack(sized, table(spark, d, "pack_specs"), key="doc_id", size="tokens")
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill(p8_containers(spark, d), table(spark, d, "pack_specs"))
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents").withColumn("source", tokens.clean_source(F.col("source")))
+    sized = tokens.count_tokens(documents, text="text", keep=["doc_id", "source"])
+    return mixing.mix(sized, table(spark, d, "mix_targets"), key="doc_id", source="source", size="tokens")
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.shares_reached(p9_mix(spark, d), table(spark, d, "mix_targets"), key="doc_id")
+
+
 def p10_scores(spark: SparkSession, d: str) -> DataFrame:
     return truncation.truncation_scores(table(spark, d, "documents"))
 
@@ -108,6 +127,6 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_forms, p2_found, p2_conversations, p3_found, p3_groups, p4_found, p4_redacted, p5_found, p5_scores, p5_rates, p6_found, p6_items, p6_raters, p7_found, p7_report, p10_found, p10_scores, p10_rates)
+    for f in (p1_found, p1_forms, p2_found, p2_conversations, p3_found, p3_groups, p4_found, p4_redacted, p5_found, p5_scores, p5_rates, p6_found, p6_items, p6_raters, p7_found, p7_report, p8_containers, p8_fill, p9_mix, p9_shares, p10_found, p10_scores, p10_rates)
 }
 ORACLES = {"p2_found": conversations.FOUND_SQL}

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from deskloom.llm.tokens import clean_source
 from deskloom.runtime import cut
 
 #: Log-odds: of a cut before anything is known, with dots, with a cut mark, after a finished sentence.
@@ -160,11 +161,6 @@ def _pile(docs: DataFrame, size: str) -> DataFrame:
     return counts.select("source", size, F.when(F.col("c") >= 4, F.least(F.lit(LENGTH_CAP), F.greatest(F.lit(0.0), F.log(F.col("c") / (usual + 1))))).otherwise(0.0).alias(f"pile_{size}"))
 
 
-def clean_source(c: Column) -> Column:
-    """One spelling per source; a null source stays null."""
-    return F.regexp_replace(F.lower(F.trim(c)), r"[\s-]+", "_")
-
-
 def truncation_scores(documents: DataFrame) -> DataFrame:
     """``doc_id, source, truncated, log_odds`` for every document with text.
 
