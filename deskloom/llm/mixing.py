@@ -73,8 +73,8 @@ def mix(records: DataFrame, targets: DataFrame, *, key: str, source: str, size:
     ``targets`` is a handful of rows ``source, target_share, max_repeats``.
     Every source gives its share of the largest total all can reach, in a random
     order of its records that differs by pass; no record is used more than
-    ``max_repeats`` times. The last record of a source is the one that ends
-    nearest to its share. Records without tokens, key or target are unused.
+    ``max_repeats`` times. What whole records in that order leave of a share
+    goes to the one record that fills it best, if that comes nearer. Records without tokens, key or target are unused.
     """
     wanted = {r["source"]: (float(r["target_share"]), int(r["max_repeats"])) for r in targets.where("source IS NOT NULL AND target_share IS NOT NULL AND max_repeats IS NOT NULL").collect()}
     rows = cut(records.where(F.col(key).isNotNull() & (F.col(size) > 0) & F.col(source).isin(list(wanted))).select(F.col(key).alias("item"), F.col(source).alias("source"), F.col(size).cast("long").alias("tokens")))
@@ -98,7 +98,16 @@ def mix(records: DataFrame, targets: DataFrame, *, key: str, source: str, size:
     before = F.sum("sum").over(Window.partitionBy("source").orderBy("pass_no", "run")) - F.col("sum")
     offsets = runs.select("source", "pass_no", "run", before.alias("before")).join(F.broadcast(plan.select("source", "need")), "source").where("before < need").drop("need")
     within = F.sum("tokens").over(Window.partitionBy("source", "pass_no", "run").orderBy("draw", "item").rowsBetween(Window.unboundedPreceding, 0)) - F.col("tokens")
-    x = x.join(offsets, ["source", "pass_no", "run"]).withColumn("start", within + F.col("before")).where("2 * start + tokens <= 2 * need")
+    x = x.join(offsets, ["source", "pass_no", "run"]).withColumn("start", within + F.col("before")).select("source", "need", "item", "pass_no", "draw", "tokens", "start")
+    x = cut(x)
+    fits = x.where("start + tokens <= need")
+    # what is left of a share goes to the unused record that fills it best
+    ends = fits.groupBy("source").agg(F.max(F.col("start") + F.col("tokens")).alias("end"))
+    spare = x.where("start + tokens > need").join(F.broadcast(ends), "source", "left").withColumn("end", F.coalesce("end", F.lit(0)))
+    gap = F.col("need") - F.col("end")
+    best = spare.where(F.col("tokens") < 2 * gap).groupBy("source").agg(F.min(F.struct(F.abs(F.col("tokens") - gap).alias("off"), "draw", "item", "pass_no", "tokens", "end")).alias("b"))
+    x = fits.select("source", "item", "pass_no", "tokens", "start").union(best.select("source", "b.item", "b.pass_no", "b.tokens", "b.end"))
+    x = x.join(F.broadcast(plan.select("source", "per_period")), "source")
     block = F.floor(F.col("start") / block_tokens)
     x = x.join(F.broadcast(plan.select("source", "table")), "source")
     slot = F.floor(block / F.col("per_period")) * period + F.element_at("table", (block % F.col("per_period") + 1).cast("int"))
