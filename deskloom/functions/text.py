@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import html
-import json
 import re
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # --- fixed values -----------------------------------------------------------
 #: Words without meaning for retrieval.
@@ -39,7 +39,7 @@ SPACE = r"\t\n\x{0B}\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x
 # ---------------------------------------------------------------------------
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _unescape(s: pd.Series) -> pd.Series:
     return s.map(html.unescape, na_action="ignore")
 
@@ -74,8 +74,13 @@ def tokenize(c: Column) -> Column:
 
 def analyze(tokens: Column) -> Column:
     """Words, then pairs of neighbours as ``a_b``."""
-    pairs = F.transform(F.sequence(F.lit(1), F.size(tokens) - 1), lambda i: F.concat(F.get(tokens, (i - 1).cast("int")), F.lit("_"), F.get(tokens, i.cast("int"))))
-    return F.when(F.size(tokens) < 2, tokens).otherwise(F.concat(tokens, pairs))
+
+    def terms(t: Column) -> Column:
+        pairs = F.zip_with(F.slice(t, F.lit(1), F.size(t) - 1), F.slice(t, F.lit(2), F.size(t) - 1), lambda x, y: F.concat(x, F.lit("_"), y))
+        return F.when(F.size(t) < 2, t).otherwise(F.concat(t, pairs))
+
+    # bound to a variable, so that the words are found once
+    return F.get(F.transform(F.array(tokens), terms), F.lit(0))
 
 
 def signature(tokens: Column) -> Column:
@@ -131,37 +136,39 @@ def parse_label_command(c: Column) -> Column:
     passed over as long as one counts.
     """
     names = F.array(*map(F.lit, INTENTS))
-    tokens = F.split(F.lower(trim_space(c)), f"[{SPACE}]+")
+    tokens = F.split(trim_space(c), f"[{SPACE}]+")
     route = F.filter(tokens, lambda t: t.isin("a", "e"))
-    intents = F.filter(F.transform(tokens, lambda t: F.when(t.rlike("^0*([1-9]|10|11)$"), F.element_at(names, F.when(t.rlike("^0*([1-9]|10|11)$"), t.cast("int")))).when(F.array_contains(names, t), t)), lambda t: t.isNotNull())
+    intents = F.filter(F.transform(tokens, lambda t: F.when(t.rlike("^[+]?0*([1-9]|10|11)$"), F.element_at(names, F.when(t.rlike("^[+]?0*([1-9]|10|11)$"), t.cast("int")))).when(F.array_contains(names, t), t)), lambda t: t.isNotNull())
     last = lambda a: F.try_element_at(a, F.lit(-1))
     return F.struct(last(intents).alias("intent"), F.when(last(route) == "a", "auto").when(last(route) == "e", "escalate").alias("route"), ((F.size(intents) > 0) | (F.size(route) > 0)).alias("valid"))
 
 
 def parse_rating(c: Column) -> Column:
     """``STRUCT<grounding, resolution, tone, sendable>`` from ``4 3 5 y``; null where it's no rating."""
-    s = F.regexp_replace(F.lower(c), f"[{SPACE}]+", "")
-    good = s.rlike("^[1-5]{3}.*[yn]$")
+    s = F.replace(c, F.lit(" "), F.lit(""))
+    good = s.rlike("(?s)^[1-5]{3}.*[yn]$")
     return F.when(good, F.struct(*(F.substring(s, i, 1).try_cast("int").alias(n) for i, n in ((1, "grounding"), (2, "resolution"), (3, "tone"))), F.endswith(s, F.lit("y")).alias("sendable")))
 
 
+_FENCE = re.compile(r"```(?:json)?(.*?)```", re.S)
+_PIECES = re.compile(r'"(?:\\.|[^"\\])*(?:"|$)|[{}]', re.S)
+
+
 def first_json_object(text: str | None) -> str | None:
-    """The first balanced JSON object of an answer, out of a code fence or prose; braces in strings don't count."""
+    """The first balanced object of an answer, out of a code fence or prose; braces in strings don't count. None if there is none."""
     if text is None:
         return None
-    fence = re.search(r"```[\w-]*\s*\n?(.*?)```", text, re.S)
-    body = fence[1] if fence and "{" in fence[1] else text
+    fence = _FENCE.search(text)
+    body = fence[1] if fence else text
     start = body.find("{")
-    decoder = json.JSONDecoder()
-    while start >= 0:
-        try:
-            _, end = decoder.raw_decode(body, start)
-            return body[start:end]
-        except ValueError:
-            start = body.find("{", start + 1)
+    depth = 0
+    for m in _PIECES.finditer(body, start) if start >= 0 else ():
+        depth += {"{": 1, "}": -1}.get(m[0], 0)
+        if not depth:
+            return body[start : m.end()]
     return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def extract_json(s: pd.Series) -> pd.Series:
     return s.map(first_json_object, na_action="ignore")

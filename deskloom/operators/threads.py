@@ -47,29 +47,34 @@ def thread_roots(messages: DataFrame, *, max_steps: int = MAX_STEPS) -> DataFram
     nodes = messages.select("id", "parent")
     known = nodes.select(F.col("id").alias("known"))
     linked = nodes.join(known, F.col("parent") == F.col("known"), "left")
-    step = cut(linked.select("id", F.when((F.col("parent") != 0) & F.col("known").isNotNull(), F.col("parent")).otherwise(F.col("id")).alias("to")))
-    jump = step
-    done = 1
-    while done < max_steps:
-        ahead = jump.select(F.col("id").alias("to"), F.col("to").alias("further"))
-        jump = cut(jump.join(ahead, "to").select("id", F.col("further").alias("to")))
+    step = cut(linked.select("id", F.when((F.col("parent") != 0) & F.col("known").isNotNull(), F.col("parent")).otherwise(F.col("id")).alias("to")).withColumn("fixed", F.col("to") == F.col("id")))
+    state, left, done, limit = step, step.where("NOT fixed").count(), 1, None
+    while left:
+        ahead = state.select(F.col("id").alias("to"), F.col("to").alias("further"), F.col("fixed").alias("end"))
+        moved = state.where("NOT fixed").join(ahead, "to").select("id", F.col("further").alias("to"), F.col("end").alias("fixed"))
+        state = cut(state.where("fixed").union(moved))
         done *= 2
-    after = step.select(F.col("id").alias("to"), F.col("to").alias("next"))
-    ended = jump.join(after, "to").select("id", F.col("to").alias("root"), (F.col("to") == F.col("next")).alias("fixed"))
-    ended = cut(ended)
-    walking = ended.where("NOT fixed").select("id", F.col("id").alias("at"), F.array("id").alias("path"))
-    out = ended.where("fixed").select("id", "root")
-    if walking.isEmpty():
+        if done == max_steps:
+            limit = state.where("NOT fixed").select("id", F.col("to").alias("reached"))
+        now = state.where("NOT fixed").count()
+        if now == left:  # only ways into circles are left
+            break
+        left = now
+    out = state.where("fixed").select("id", F.col("to").alias("root"))
+    if limit is not None:  # longer chains end where the steps do
+        out = out.join(limit, "id", "left").select("id", F.coalesce("reached", "root").alias("root"))
+    if not left:
         return out
-    for _ in range(max_steps):
-        moved = walking.join(after.withColumnRenamed("to", "at"), "at")
-        again = F.array_contains("path", F.col("next")) | (F.col("next") == F.col("at"))
-        moved = cut(moved.select("id", F.col("next").alias("at"), again.alias("stop"), "path"))
-        out = out.union(moved.where("stop").select("id", F.col("at").alias("root")))
-        walking = cut(moved.where("NOT stop").select("id", "at", F.concat("path", F.array("at")).alias("path")))
-        if walking.isEmpty():
-            return out
-    return out.union(walking.select("id", F.col("at").alias("root")))
+    after = step.select(F.col("id").alias("at"), F.col("to").alias("next"))
+    walking = state.where("NOT fixed").select("id", F.col("id").alias("at"), F.array("id").alias("path"))
+    for n in range(max_steps):
+        moved = cut(walking.join(after, "at").select("id", F.col("next").alias("at"), F.array_contains("path", F.col("next")).alias("stop"), F.concat("path", F.array("next")).alias("path")))
+        stop = F.col("stop") if n + 1 < max_steps else F.lit(True)
+        out = out.union(moved.where(stop).select("id", F.col("at").alias("root")))
+        walking = moved.where(~stop).select("id", "at", "path")
+        if not moved.where(~stop).limit(1).count():
+            break
+    return out
 
 
 def turn_table(messages: DataFrame, roots: DataFrame, *, brand: str) -> DataFrame:
@@ -85,6 +90,7 @@ def build_episodes(messages: DataFrame, roots: DataFrame, *, brand: str, min_len
     Turns are in order of time, then id. Threads are dropped whose opening or
     first answer is shorter than ``min_length`` characters after cleaning. Turns
     of others that aren't inbound are shown as the customer's but not counted.
+    ``created_at`` is null where the opening's time can't be read.
     """
     rows = turn_table(messages, roots, brand=brand).withColumn("text", unescape(F.col("text")))
     rows = rows.withColumn("text", clean(F.col("text"), unescaped=True))
@@ -97,7 +103,7 @@ def build_episodes(messages: DataFrame, roots: DataFrame, *, brand: str, min_len
         F.concat(F.lit(brand + "-"), F.col("first.id").cast("string")).alias("episode_id"),
         F.lit(brand).alias("brand"),
         F.col("first.author").alias("customer_id"),
-        F.col("first.ts").alias("created_at"),
+        F.nullif("first.ts", F.lit(ZERO_TIME).cast("timestamp")).alias("created_at"),
         F.col("first.text").alias("customer_text"),
         F.col("reply.text").alias("brand_reply"),
         F.size("turns").alias("n_turns"),
