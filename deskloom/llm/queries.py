@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from deskloom.llm import abuse, consensus, conversations, formatting, lookalike, mixing, overlap, packing, privacy, tokens, truncation
+from deskloom.llm.oracles import ORACLES
 from deskloom.runtime import table
 
+__all__ = ["ORACLES", "QUERIES"]
+
 FIELDS = ["customer_text", "brand_reply"]
 
 
@@ -129,4 +132,3 @@ QUERIES = {
     f.__name__: f
     for f in (p1_found, p1_forms, p2_found, p2_conversations, p3_found, p3_groups, p4_found, p4_redacted, p5_found, p5_scores, p5_rates, p6_found, p6_items, p6_raters, p7_found, p7_report, p8_containers, p8_fill, p9_mix, p9_shares, p10_found, p10_scores, p10_rates)
 }
-ORACLES = {"p2_found": conversations.FOUND_SQL}
