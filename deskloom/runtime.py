@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,3 +40,23 @@ def cut(df: DataFrame) -> DataFrame:
     if df.sparkSession.sparkContext.getCheckpointDir() is None:
         df.sparkSession.sparkContext.setCheckpointDir(path)
     return df.checkpoint(eager=True)
+
+
+@functools.cache
+def _package() -> str:
+    root = Path(__file__).parent
+    path = Path(tempfile.mkdtemp(prefix="deskloom-package-")) / "deskloom.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    return str(path)
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the workers this package, once per application; Spark serves the file from the driver."""
+    if spark.sparkContext.applicationId not in _shipped:
+        spark.sparkContext.addPyFile(_package())
+        _shipped.add(spark.sparkContext.applicationId)
