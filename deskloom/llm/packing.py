@@ -4,12 +4,13 @@ Items are spread by hash over blocks of bounded size; each block is divided by
 multiway Karmarkar-Karp differencing: partial partitions with the largest imbalance
 are merged with their loads opposed, so that windows come out nearly equal. The
 number of windows starts at its lower bound and rises whenever a window exceeds the
-capacity. An item larger than the capacity fills whole containers of its own, and
+capacity and can't be relieved by moving items into room left elsewhere. An item larger than the capacity fills whole containers of its own, and
 its remainder is an item like others.
 """
 
 from __future__ import annotations
 
+import bisect
 import heapq
 
 import numpy as np
@@ -25,7 +26,7 @@ BLOCK_WINDOWS, BLOCK_ITEMS = 192, 8192
 
 def differencing(sizes: list[int], k: int) -> tuple[list[int], list[list[int]]]:
     """Loads and members of ``k`` windows by the largest differencing method."""
-    order = count = 0
+    count = 0
     heap = []
     for i, s in enumerate(sizes):
         loads = np.zeros(k, np.int64)
@@ -47,14 +48,37 @@ def differencing(sizes: list[int], k: int) -> tuple[list[int], list[list[int]]]:
     return loads.tolist(), members
 
 
+def relieve(loads: list[int], members: list[list[int]], sizes: list[int], capacity: int) -> list[list[int]] | None:
+    """Windows within ``capacity`` after moving items out of those that exceed it into the tightest room elsewhere, if that works."""
+    loose = []
+    for w, load in enumerate(loads):
+        if load > capacity:
+            own = sorted(members[w], key=lambda i: sizes[i])
+            while load > capacity:
+                out = next((i for i in own if sizes[i] >= load - capacity), own[-1])
+                own.remove(out)
+                loose.append(out)
+                load -= sizes[out]
+            members[w], loads[w] = own, load
+    rooms = sorted((capacity - load, w) for w, load in enumerate(loads))
+    for i in sorted(loose, key=lambda i: -sizes[i]):
+        at = bisect.bisect_left(rooms, (sizes[i], -1))
+        if at == len(rooms):
+            return None
+        room, w = rooms.pop(at)
+        members[w] = [*members[w], i]
+        bisect.insort(rooms, (room - sizes[i], w))
+    return members
+
+
 def windows(sizes: list[int], capacity: int) -> list[list[int]]:
-    """Members of the fewest windows that differencing keeps within ``capacity``; every size is at most that."""
+    """Members of the fewest windows that differencing, and moving single items out of full ones, keeps within ``capacity``; every size is at most that."""
     if not sizes:
         return []
     k = max(-(-sum(sizes) // capacity), sum(s > capacity / 2 for s in sizes), 1)
     while k < len(sizes):
         loads, members = differencing(sizes, k)
-        if loads[0] <= capacity:
+        if loads[0] <= capacity or (members := relieve(loads, members, sizes, capacity)):
             return [m for m in members if m]
         k += 1
     return [[i] for i in range(len(sizes))]

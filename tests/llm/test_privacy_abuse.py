@@ -1,0 +1,69 @@
+import numpy as np
+import pytest
+
+from deskloom.llm import abuse, privacy
+
+
+@pytest.mark.parametrize(
+    "text, kinds",
+    [
+        ("My mail is a.b+c@corp.example.", {"email"}), ("write to a_b at corp dot example instead", {"email"}), ("a1 (at) mail (dot) example (dot) org", {"email"}), ("MAILTO:A@B.EXAMPLE", {"email"}),
+        ("Call me on 202-555-0186.", {"phone"}), ("tel. 6175550105.", {"phone"}), ("Ring +49 (0)30 23125 767 after", {"phone"}), ("my cell is 07700 900860", {"phone"}), ("six one seven five five five zero one six three is my number", {"phone"}), ("2025550172 is my number", {"phone"}),
+        ("my SSN is 000 31 5549", {"id_number"}), ("number 929.114.742-83.", {"id_number"}), ("national id 56164925G", {"id_number"}), ("Passport no. EZ830129, valid", {"id_number"}), ("licence LINDQ384450BC9XX", {"id_number"}), ("license S739-3947-6517", {"id_number"}),
+        ("I live at 466 Ravelin Ave, Apt 12C.", {"address"}), ("to No. 11, Thistledown Lane", {"address"}), ("P.O. Box 1015, Quilpoort", {"address"}), ("Calle Ravelin 62, 4o B", {"address"}), ("19 rue Kingsmeadow", {"address"}), ("Copperfellstraße 86", {"address"}), ("877 ormel st", {"address"}), ("3683 N. Copperfell Blvd Suite 472", {"address"}),
+        ("My name is Peter L. Abernoth.", {"name"}), ("passenger DRUMMELOW/NADIA MRS", {"name"}), ("i'm sofia toriyabe btw", {"name"}), ("Regards, Anna Smith-Jones", {"name"}), ("name: smith, anna", {"name"}),
+        ("My name is on the list twice.", set()), ("Bus 121 to Quilstad Avenue stop was gone.", set()), ("on Level 6, Street side.", set()), ("I waited @ gate C13 for 66 minutes.", set()), ("e-ticket 9464256939081 was issued", set()), ("Loyalty number 2516 2111 is on file", set()),
+        ("Order 565-6001 shows paid, case 72162242, bag tag BT-706-97964, AU9103 at 12:29am", set()), ("My passport form says sex F", set()), ("@639453 had it, talón 358/7133, model 9718-472", set()), ("ask for Dr. Okwendi", set()), ("", set()),
+    ],
+)
+def test_spans(text, kinds):
+    assert {s[0] for s in privacy.spans_of_text(text) if s[1]} == kinds
+
+
+@pytest.mark.parametrize("value, kind", [("200439", None), (" @220473", None), ("+12025550103", "phone"), ("(303) 555-0129", "phone"), ("a.b@inbox.test", "email"), ("Victor Ibarrondo", "name"), ("Zielnarski, Yuki", "name"), ("peter_harvenstad", "name"), ("", None)])
+def test_ids(value, kind):
+    assert [s[0] for s in privacy.spans_of_id(value)] == ([kind] if kind else [])
+
+
+def test_redaction(spark):
+    known = [(f"n{i}", f"My name is Priya Velthusen. case {i}", str(i), 0) for i in range(4)]
+    rows = [*known, ("x", "Well. Priya Velthusen. Then the bag was lost, call me on 202-555-0186 now", "Priya Velthusen", 0), ("x", "Well. Priya Velthusen. Then the bag was lost, call me on 202-555-0186 now", "Priya Velthusen", 1), ("y", None, None, 0), (None, "a@b.example", "1", 0), ("z", " ", "", 0)]
+    rows += [(f"w{i}", "the bag was lost and the crew was kind to us all the way home " * 3, "1", 0) for i in range(20)] + [("long", "word " * 40_000 + "a@b.example", "1", 0)]
+    df = spark.createDataFrame(rows, "episode_id string, customer_text string, customer_id string, kind int")
+    got = {(r["k"], r["field"]): r for r in privacy.redact(df, key="episode_id", texts=["customer_text"], idents=["customer_id"]).collect()}
+    assert got["x", "customer_text"]["text"] == "Well. [NAME]. Then the bag was lost, call me on [PHONE] now" and got["x", "customer_text"]["found"] == 2
+    assert got["x", "customer_id"]["text"] == "[NAME]" and got["long", "customer_text"]["text"].endswith("word [EMAIL]")
+    assert not {k for k, _ in got} & {"y", "z", None}
+    assert privacy.redact(df.where("false"), key="episode_id", texts=["customer_text"], idents=["customer_id"]).count() == 0
+
+
+MODEL = np.log(np.full((27, 27, 27), 1 / 27))
+
+
+@pytest.mark.parametrize("token, word", [("p1gs", "pigs"), ("m****s", "morons"), ("$h1tty", "shitty"), ("fuuucking", "fucking"), ("c-r-e-t-i-n", "cretin"), ("t.i.t.s", "tits"), ("@$shol3$", "assholes"), ("f*u*c*k", "fuck"), ("idiot", "idiot"), ("AU5185", None), ("12:30pm", None), ("class", None), ("assistant", None), ("", None)])
+def test_restoring(token, word):
+    assert abuse.restore(token.lower(), MODEL) == word
+
+
+@pytest.mark.parametrize(
+    "text, bad",
+    [
+        ("You are a bunch of $cumb@gs.", True), ("what a p.i.s.s s c u m b a g answered my call", True), ("Your steward is a complete i******e.", True), ("fuuck off, cretins", True), ("go to hell, all of you", True), ("I hope every one of you imbeciles chokes", True),
+        ("nobody would miss you if you dropped dead", True), ("I will find that check-in agent and smash their face.", True), ("Keep those Vendaran parasites away from my row", True), ("All foreigners are thieves, send them back where they came from", True), ("show me your b***s and I will forgive", True), ("I would s***w your check-in agent in the galley", True),
+        ("A man in row 25 called my daughter an idiot and nobody stepped in.", False), ("Another passenger made a racist remark, please act", False), ("Someone groped a passenger, who do I report it to?", False), ("My dumb phone died, damn", False), ("The dog, a bitch of 9 years, sleeps", False), ("We were dying of laughter", False), ("The screw on seat 44J is loose, what a stupid rule", False), ("Is there a breastfeeding room? sex F", False), ("", False), (None, False),
+    ],
+)
+def test_scores(spark, text, bad):
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"text": pa.array([text], pa.string())})
+    score = next(abuse._scorer(MODEL)(iter([batch]))).column("abuse_score")[0].as_py()
+    assert (score is not None and score >= abuse.FLAG_AT) == bad and (text is not None or score is None)
+
+
+def test_rates(spark):
+    df = spark.createDataFrame([("a", "s", "you idiots"), ("b", "s", "fine"), ("c", None, None), ("d", "t", "x" * 30_000)], "id string, abuse string, t string")
+    scores = abuse.abuse_scores(df, text="t", keep=["id", "abuse"])
+    got = {r["abuse"]: (r["scored"], r["flagged"], r["rate"]) for r in abuse.source_rates(scores, "abuse").collect()}
+    assert got == {"s": (2, 1, 0.5), None: (0, 0, None), "t": (1, 0, 0.0)}
+    assert abuse.abuse_scores(df.where("false"), text="t", keep=["id"]).count() == 0
