@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,37 +47,76 @@ def update(df: DataFrame, labels: DataFrame, *, doc: str, vector: str) -> DataFr
     return sums.select("cluster", "dim", F.coalesce(F.try_divide(F.col("s"), norm), F.lit(0.0)).alias("value"), "size")
 
 
-def seed_centroids(df: DataFrame, k: int, *, doc: str, vector: str, seed: int) -> np.ndarray:
-    """k-means++ on the cosine: each further centroid is drawn with the weight of its squared distance to the nearest, by hash."""
-    rows = cut(df.where(F.col(vector).isNotNull()).select(F.col(doc).alias("doc"), F.col(vector).alias("v")))
-    first = rows.orderBy(hash_draw(F.col("doc"), seed), "doc").limit(1).collect()
-    chosen = [np.array(r["v"], float) for r in first]
-    while chosen and len(chosen) < k:
-        near = assign(rows, np.array(chosen), doc="doc", vector="v")
-        gap = F.pow(1 - F.col("similarity"), F.lit(2))
-        # the largest key of u^(1/weight) is a draw with that weight
-        u = (hash_draw(F.col("doc"), seed + len(chosen)) + 1) / F.lit(2**32 + 2)
-        key = F.when(gap > 1e-12, F.log(u) / gap)
-        best = near.join(rows, "doc").where(key.isNotNull()).orderBy(F.desc(key), "doc").limit(1).collect()
-        if not best:
+def _draws(seed: int, docs: pa.Array) -> np.ndarray:
+    """One number in (0, 1) per key, from MD5."""
+    return np.array([(int(hashlib.md5(f"{d}|{seed}".encode()).hexdigest()[:8], 16) + 1) / (2**32 + 2) for d in docs.to_pylist()])
+
+
+def seed_centroids(rows: DataFrame, k: int, *, seed: int) -> np.ndarray:
+    """k-means++ on the cosine from ``doc, v``: each further centroid is drawn with the weight of its squared distance to the nearest.
+
+    A draw is the largest ``log(u) / weight`` over all rows; every task offers its best row.
+    """
+    chosen: list[np.ndarray] = []
+    while len(chosen) < k:
+        have = _unit(np.array(chosen)) if chosen else None
+        step = seed + len(chosen)
+
+        def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                x = _unit(np.array(batch.column("v").to_pylist(), float))
+                gap = np.ones(len(x)) if have is None else (1 - (x @ have.T).max(1)) ** 2
+                gap[np.abs(x).sum(1) == 0] = 0
+                key = np.where(gap > 1e-12, np.log(_draws(step, batch.column("doc"))) / np.maximum(gap, 1e-12), -np.inf)
+                at = int(key.argmax())
+                if np.isfinite(key[at]):
+                    yield pa.RecordBatch.from_arrays([pa.array([key[at]]), batch.column("v").slice(at, 1).cast(pa.list_(pa.float64()))], ["key", "v"])
+
+        top = rows.mapInArrow(best, "key double, v array<double>").orderBy(F.desc("key"), "v").limit(1).collect()
+        if not top:
             break
-        chosen.append(np.array(best[0]["v"], float))
+        chosen.append(np.array(top[0]["v"], float))
     return np.array(chosen)
 
 
 def kmeans(df: DataFrame, k: int, *, doc: str, vector: str, seed: int = 42, max_iter: int = 40) -> tuple[DataFrame, np.ndarray]:
-    """``(labels, centroids)``; stops when no label changes, an empty cluster keeps its centroid."""
-    centroids = _unit(seed_centroids(df, k, doc=doc, vector=vector, seed=seed))
-    labels = df.select(F.col(doc).alias("doc"), F.lit(0).alias("cluster"), F.lit(0.0).alias("similarity"))
+    """``(labels, centroids)``; stops when no label changes, an empty cluster keeps its centroid.
+
+    A round is one pass over the rows: a task adds up the members of each new
+    cluster and counts the labels that differ from the round before.
+    """
+    rows = cut(df.where(F.col(vector).isNotNull()).select(F.col(doc).alias("doc"), F.col(vector).alias("v")))
+    centroids = _unit(seed_centroids(rows, k, seed=seed))
+    if not len(centroids):
+        return rows.select("doc", F.lit(0).alias("cluster"), F.lit(0.0).alias("similarity")), centroids
+    before: np.ndarray | None = None
     for _ in range(max_iter):
-        new = cut(assign(df, centroids, doc=doc, vector=vector))
-        changed = new.join(labels.select("doc", F.col("cluster").alias("old")), "doc").where("cluster <> old").limit(1).count()
-        labels = new
-        if not changed:
+
+        def sums(batches: Iterator[pa.RecordBatch], now: np.ndarray = centroids, old: np.ndarray | None = before) -> Iterator[pa.RecordBatch]:
+            total, size, changed = np.zeros_like(now), np.zeros(len(now), np.int64), 0
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                x = _unit(np.array(batch.column("v").to_pylist(), float))
+                label = np.round(x @ now.T, 9).argmax(1)
+                was = np.zeros(len(x), int) if old is None else np.round(x @ old.T, 9).argmax(1)
+                changed += int((label != was).sum())
+                np.add.at(total, label, x)
+                size += np.bincount(label, minlength=len(now))
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(now)), pa.int32()), pa.array(list(total), pa.list_(pa.float64())), pa.array(size), pa.array([changed] + [0] * (len(now) - 1), pa.int64())], ["cluster", "total", "size", "changed"])
+
+        dim = centroids.shape[1]
+        parts = rows.mapInArrow(sums, "cluster int, total array<double>, size long, changed long").groupBy("cluster").agg(F.array(*(F.sum(F.col("total")[i]) for i in range(dim))).alias("total"), F.sum("size").alias("size"), F.sum("changed").alias("changed")).collect()  # k rows
+        if not sum(r["changed"] for r in parts):
             break
-        for r in update(df, labels, doc=doc, vector=vector).groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("dim", "value"))).alias("v")).collect():  # k rows
-            centroids[r["cluster"]] = [x["value"] for x in r["v"]]
-    return labels, centroids
+        before, centroids = centroids, centroids.copy()
+        for r in parts:
+            if r["size"] and any(r["total"]):
+                centroids[r["cluster"]] = _unit(np.array([r["total"]]))[0]
+    # the labels that the last centroids were made from, or that no longer change
+    return assign(rows, centroids if before is None else before, doc="doc", vector="v") if max_iter else rows.select("doc", F.lit(0).alias("cluster"), F.lit(0.0).alias("similarity")), centroids
 
 
 def top_terms(weights: DataFrame, labels: DataFrame, n: int) -> DataFrame:
