@@ -15,7 +15,7 @@ from deskloom.streaming import intake
 
 BRAND = "AeroLumen"
 LABELS = list(text.INTENTS)
-EPISODE = ["episode_id", "brand", "customer_id", "created_at", "customer_text", "brand_reply", "n_turns"]
+EPISODE = ["brand", "customer_id", "created_at", "customer_text", "brand_reply", "n_turns"]
 QUERIES: dict = {}
 
 
@@ -24,9 +24,9 @@ def query(f):
     return f
 
 
-def episodes(spark: SparkSession, d: str) -> DataFrame:
-    """Each episode once, however often it was delivered."""
-    return table(spark, d, "episodes").select(*EPISODE).distinct()
+def episodes(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """Each episode once, however often it was delivered; only ``columns`` beside the id are read and shuffled."""
+    return table(spark, d, "episodes").select("episode_id", *columns).distinct()
 
 
 def long(c: Column) -> Column:
@@ -47,24 +47,24 @@ def clean_text(spark, d):
 
 @query
 def tokenize_counts(spark, d):
-    return episodes(spark, d).select(F.explode(text.tokenize(F.col("customer_text"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    return episodes(spark, d, "customer_text").select(F.explode(text.tokenize(F.col("customer_text"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
 
 
 @query
 def bigrams(spark, d):
     terms = text.analyze(text.tokenize(F.col("customer_text")))
-    return episodes(spark, d).select(F.explode(terms).alias("term")).where(F.col("term").contains("_")).groupBy("term").agg(F.count("*").alias("n"))
+    return episodes(spark, d, "customer_text").select(F.explode(terms).alias("term")).where(F.col("term").contains("_")).groupBy("term").agg(F.count("*").alias("n"))
 
 
 @query
 def reply_signature(spark, d):
-    return episodes(spark, d).groupBy(text.signature(text.tokenize(F.col("brand_reply"))).alias("signature")).agg(F.count("*").alias("n"))
+    return episodes(spark, d, "brand_reply").groupBy(text.signature(text.tokenize(F.col("brand_reply"))).alias("signature")).agg(F.count("*").alias("n"))
 
 
 @query
 def usable_filter_dedupe(spark, d):
     """Messages worth labelling, one per wording, the earliest."""
-    usable = episodes(spark, d).where((F.length(text.trim_space(F.col("customer_text"))) >= 25) & F.col("customer_text").rlike("[A-Za-z]{3,}"))
+    usable = episodes(spark, d, "created_at", "customer_text").where((F.length(text.trim_space(F.col("customer_text"))) >= 25) & F.col("customer_text").rlike("[A-Za-z]{3,}"))
     return sampling.keep_first(usable, key=text.dedupe_key(text.tokenize(F.col("customer_text"))), order=["created_at", "episode_id"]).select("episode_id")
 
 
@@ -134,20 +134,20 @@ def episode_turn_counts(spark, d):
 
 @query
 def temporal_split(spark, d):
-    return threads.temporal_split(episodes(spark, d)).select("episode_id", "split")
+    return threads.temporal_split(episodes(spark, d, "created_at")).select("episode_id", "split")
 
 
 # ---- TF-IDF and search ----
 
 
 def _split_terms(spark, d):
-    rows = cut(threads.temporal_split(episodes(spark, d).where("customer_text IS NOT NULL")))
+    rows = cut(threads.temporal_split(episodes(spark, d, "created_at", "customer_text", "brand_reply").where("customer_text IS NOT NULL")))
     terms = text.analyze(text.tokenize(F.col("customer_text")))
     return rows, tfidf.terms_of(rows.where("split = 'history'"), doc="episode_id", terms=terms), tfidf.terms_of(rows.where("split = 'eval_pool'"), doc="episode_id", terms=terms)
 
 
 def _all_terms(spark, d):
-    return tfidf.terms_of(episodes(spark, d), doc="episode_id", terms=text.analyze(text.tokenize(F.col("customer_text"))))
+    return tfidf.terms_of(episodes(spark, d, "customer_text"), doc="episode_id", terms=text.analyze(text.tokenize(F.col("customer_text"))))
 
 
 @query
@@ -259,7 +259,7 @@ def kmeans_top_terms(spark, d):
     """The 12 heaviest terms of the centroid of every brand's messages."""
     counts = cut(_all_terms(spark, d))
     w = tfidf.transform(counts, tfidf.fit(counts, episodes(spark, d), min_df=3, max_features=30_000))
-    labels = episodes(spark, d).select(F.col("episode_id").alias("doc"), F.col("brand").alias("cluster"))
+    labels = episodes(spark, d, "brand").select(F.col("episode_id").alias("doc"), F.col("brand").alias("cluster"))
     t = learning.top_terms(w, labels, 12)
     return t.select("cluster", "term", rounded(F.col("weight"), 3).alias("weight"))
 
@@ -306,7 +306,7 @@ def balanced_tasks(spark, d):
 
 
 def _fired(spark, d):
-    return episodes(spark, d).where("customer_text IS NOT NULL").withColumn("fired", policy.fired_rules(F.col("customer_text")))
+    return episodes(spark, d, "customer_text").where("customer_text IS NOT NULL").withColumn("fired", policy.fired_rules(F.col("customer_text")))
 
 
 @query
@@ -616,7 +616,7 @@ def jsonl_round_trip(spark, d):
     from deskloom.runtime import shared_dir
 
     path = f"{shared_dir(spark)}/jsonl-{abs(hash(d)) % 10**9}"
-    io.write_jsonl(episodes(spark, d), path)
+    io.write_jsonl(episodes(spark, d, *EPISODE), path)
     schema = "episode_id string, brand string, customer_id string, created_at timestamp, customer_text string, brand_reply string, n_turns int"
     return io.read_jsonl(spark, path, schema).select("episode_id", "customer_text", "brand_reply", long(F.col("n_turns")).alias("n_turns"))
 
