@@ -21,13 +21,14 @@ from deskloom.llm.tokens import clean_source
 from deskloom.runtime import cut
 
 #: Log-odds: of a cut before anything is known, with dots, with a cut mark, after a finished sentence.
-PRIOR, DOTS, MARK, FINISHED = -3.0, 2.5, 8.0, -6.0
-PREFIX_BONUS, LENGTH_CAP = 4.5, 5.0
-KNOWN_USES = 3
+PRIOR, DOTS, MARK, FINISHED = -2.0, 2.5, 8.0, -6.0
+PREFIX_BONUS, UNSEEN_BONUS, LENGTH_CAP = 4.5, 1.0, 5.0
+#: A token is unknown below so many uses inside texts, or below this share of the uses of the words it begins.
+KNOWN_USES, RARE_SHARE = 3, 0.003
 
-_MARK = re.compile(r"(?:[\[<({]\s*(?:truncated|cut|cut off|snip|more|continued|trimmed|clipped)\s*[\])>}]|&#?\w{0,7}|&|�+|[\ud800-\udfff])\s*$", re.I)
+_MARK = re.compile(r"(?:[\[<({]\s*(?:[\w ]{1,20} )?(?:truncated|cut|cut off|snip|more|continued|trimmed|clipped|part \d+[^\])]*|\.\.\.|…)\s*[\])>}]|[\[<({]\s*\w[^\])}>]{0,40}|&#?\w{0,7}|&|�+|[\ud800-\udfff])\s*$", re.I)
 _LINK = re.compile(r"\s*https?://\S*$")
-_TRAILER = re.compile(r"\s*(?:#[^\W_]\w*|\*[A-Z]{2}|[:;]-?[()DP]|[^\w\s.,;:!?…\"'’)\]}&<>\-/$€%]+)$")
+_TRAILER = re.compile(r"\s*(?:[\[<({][^\])}>\[<({]{1,40}[\])}>]|#[^\W_]\w*|\*[A-Z]{2}|[:;]-?[()DP]|[^\w\s.,;:!?…\"'’)\]}&<>\-/$€%]+)$")
 _EDGE_L, _EDGE_R = "\"'“”‘’(¿¡[<", "\"'“”’)]>,;:"
 
 
@@ -192,17 +193,21 @@ def truncation_scores(documents: DataFrame) -> DataFrame:
     x = x.join(_pile(docs.where("source IS NOT NULL"), "n"), ["source", "n"], "left").join(_pile(docs.where("source IS NOT NULL"), "b"), ["source", "b"], "left").crossJoin(F.broadcast(base))
     x = x.fillna(0, [c for c in x.columns if c[-2:] in ("_1", "_2", "_4") or c in ("below", "pile_n", "pile_b", "link_below")])
 
+    all_1, all_2 = F.col("medial_1") + F.col("final_1"), F.col("medial_2") + F.col("final_2")
+
     def ends(mark: int, prior: Column, weight: float) -> Column:
         """How likely a sentence ends here; ends of texts count beyond what cuts explain."""
         uses = F.col(f"medial_{mark}") + F.col(f"final_{mark}")
-        beyond = F.greatest(F.lit(0.0), F.col(f"ending_{mark}") - 5 * F.col("cuts") * uses - 1)
+        # cuts of longer words that begin like this one end here as well
+        beyond = F.greatest(F.lit(0.0), F.col(f"ending_{mark}") - 5 * F.col("cuts") * uses * (1 + F.col("below") / F.greatest(all_1, F.lit(1))) - 1)
         return (F.col(f"final_{mark}") + beyond + weight * prior) / (uses + beyond + weight)
 
-    all_1, all_2 = F.col("medial_1") + F.col("final_1"), F.col("medial_2") + F.col("final_2")
-    ends_2 = ends(4, ends(2, ends(1, F.col("base"), 1), 3), 3)
-    context = F.log(F.col("base") / F.greatest(ends_2, F.lit(1e-4)))
+    ends_1 = ends(1, F.col("base"), 1)
+    ends_2 = ends(4, ends(2, ends_1, 3), 3)
+    # a word that hardly ever ends a sentence, behind a word it never follows, is rather the start of another
+    context = F.log(F.col("base") / F.greatest(ends_2, F.lit(1e-4))) + F.when((all_2 == 0) & (ends_1 < 0.02), UNSEEN_BONUS).otherwise(0.0)
     # a token seen only at ends: a sign-off where it is far more frequent than cuts of the words it begins
-    fresh = all_1 < KNOWN_USES
+    fresh = (all_1 < KNOWN_USES) | (all_1 < RARE_SHARE * F.col("below"))
     signoff = fresh & (F.col("ending_1") >= 3) & (F.col("ending_1") > 80 * F.col("cuts") * (F.col("below") + all_1))
     prefix = fresh & (F.col("below") >= KNOWN_USES) & ~signoff
     deliberate = ~prefix & (F.col("dotted_2") >= 3) & (F.col("dotted_2") > 0.5 * (F.col("dotted_2") + all_2 + F.col("ending_2")))
