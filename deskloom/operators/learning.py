@@ -119,6 +119,90 @@ def kmeans(df: DataFrame, k: int, *, doc: str, vector: str, seed: int = 42, max_
     return assign(rows, centroids if before is None else before, doc="doc", vector="v") if max_iter else rows.select("doc", F.lit(0).alias("cluster"), F.lit(0.0).alias("similarity")), centroids
 
 
+# ---- sparse spherical k-means: centroids are k x vocabulary, bounded by the vocabulary's cap ----
+
+
+def sparse_rows(weights: DataFrame, ids: DataFrame) -> DataFrame:
+    """``doc, at, w`` from long ``doc, term, w`` and ``term, term_id``."""
+    x = weights.join(ids.select("term", "term_id"), "term").groupBy("doc").agg(F.array_sort(F.collect_list(F.struct(F.col("term_id").cast("int").alias("i"), F.col("w").cast("float").alias("w")))).alias("x"))
+    return x.select("doc", F.col("x.i").alias("at"), F.col("x.w").alias("w"))
+
+
+def _sparse(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    at, w = batch.column("at"), batch.column("w")
+    sizes = pa.compute.list_value_length(at).to_numpy(zero_copy_only=False)
+    return pa.compute.list_flatten(at).to_numpy(zero_copy_only=False), pa.compute.list_flatten(w).to_numpy(zero_copy_only=False).astype(float), np.repeat(np.arange(len(sizes)), sizes)
+
+
+def _similar(batch: pa.RecordBatch, centroids: np.ndarray) -> np.ndarray:
+    """Dot products of every row with every centroid."""
+    at, w, row = _sparse(batch)
+    out = np.zeros((batch.num_rows, len(centroids)))
+    for k, c in enumerate(centroids):
+        out[:, k] = np.bincount(row, c[at] * w, minlength=batch.num_rows)
+    return out
+
+
+def sparse_kmeans(rows: DataFrame, k: int, size: int, *, seed: int = 42, max_iter: int = 40) -> tuple[DataFrame, np.ndarray]:
+    """``(labels, centroids)`` of ``doc, at, w`` rows over ``size`` terms; the same rounds as :func:`kmeans`."""
+    rows = cut(rows)
+    chosen: list[np.ndarray] = []
+    while len(chosen) < k:
+        have, step = np.array(chosen), seed + len(chosen)
+
+        def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                gap = (1 - _similar(batch, have).max(1)) ** 2 if len(have) else np.ones(batch.num_rows)
+                key = np.where(gap > 1e-9, np.log(_draws(step, batch.column("doc"))) / np.maximum(gap, 1e-9), -np.inf)
+                i = int(key.argmax())
+                if np.isfinite(key[i]):
+                    yield pa.RecordBatch.from_arrays([pa.array([key[i]]), batch.column("at").slice(i, 1), batch.column("w").slice(i, 1)], ["key", "at", "w"])
+
+        top = rows.mapInArrow(best, "key double, at array<int>, w array<float>").orderBy(F.desc("key"), "at").limit(1).collect()
+        if not top:
+            break
+        c = np.zeros(size)
+        c[top[0]["at"]] = top[0]["w"]
+        chosen.append(c)
+    if not chosen:
+        return rows.select("doc", F.lit(0).alias("cluster")), np.zeros((0, size))
+    centroids, before = _unit(np.array(chosen)), None
+    for _ in range(max_iter):
+
+        def sums(batches: Iterator[pa.RecordBatch], now: np.ndarray = centroids, old: np.ndarray | None = before) -> Iterator[pa.RecordBatch]:
+            total, changed = np.zeros_like(now), 0
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                label = np.round(_similar(batch, now), 9).argmax(1)
+                was = np.zeros(len(label), int) if old is None else np.round(_similar(batch, old), 9).argmax(1)
+                changed += int((label != was).sum())
+                at, w, row = _sparse(batch)
+                np.add.at(total, (label[row], at), w)
+            some = np.nonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array([-1, *some[0]], pa.int32()), pa.array([0, *some[1]], pa.int32()), pa.array([float(changed), *total[some]])], ["cluster", "term_id", "s"])
+
+        parts = rows.mapInArrow(sums, "cluster int, term_id int, s double").groupBy("cluster", "term_id").agg(F.sum("s").alias("s")).toArrow()  # at most k x size
+        cluster, at, s = (parts.column(c).to_numpy() for c in ("cluster", "term_id", "s"))
+        if not s[cluster == -1].sum():
+            break
+        new = np.zeros_like(centroids)
+        real = cluster >= 0
+        new[cluster[real], at[real]] = s[real]
+        filled = np.abs(new).sum(1) > 0
+        before, centroids = centroids, np.where(filled[:, None], _unit(new), centroids)
+    last = centroids if before is None else before
+
+    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(np.round(_similar(batch, last), 9).argmax(1), pa.int32())], ["doc", "cluster"])
+
+    return rows.mapInArrow(label, f"doc {rows.schema['doc'].dataType.simpleString()}, cluster int"), centroids
+
+
 def top_terms(weights: DataFrame, labels: DataFrame, n: int) -> DataFrame:
     """``cluster, term, weight, rank``: the ``n`` heaviest positive terms of each centroid of sparse ``doc, term, w`` rows."""
     sums = weights.join(labels.select("doc", "cluster"), "doc").groupBy("cluster", "term").agg(F.sum(F.col("w").cast("double")).alias("s"))

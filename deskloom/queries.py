@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from deskloom.functions import text
 from deskloom.operators import complete, learning, metrics, policy, sampling, search, systems, threads, tfidf
-from deskloom.plans import report
+from deskloom.plans import pipelines, report
 from deskloom.runtime import cut, table
 from deskloom.sources import io
 from deskloom.streaming import intake
@@ -320,6 +320,16 @@ def round_robin_clusters(spark, d):
     return sampling.round_robin(table(spark, d, "embeddings"), 40, group="label", order=["vec_id"]).select("vec_id", "label", long(F.col("round")).alias("round"))
 
 
+@query
+def discover_intents(spark, d):
+    return pipelines.discover_intents(episodes(spark, d, "customer_text"))
+
+
+@query
+def golden_sample(spark, d):
+    return pipelines.golden_sample(episodes(spark, d, "created_at", "customer_text"))
+
+
 # ---- policy and systems ----
 
 

@@ -43,3 +43,14 @@ def test_top_terms(spark):
     got = {(r["cluster"], r["term"]) for r in L.top_terms(w, labels, 1).collect()}
     assert got == {(0, "x"), (1, "z")}
     assert L.top_terms(w.where("false"), labels, 1).select(F.col("term")).count() == 0
+
+
+def test_sparse_kmeans_matches_dense(spark):
+    rng = np.random.default_rng(5)
+    x = np.eye(4)[rng.integers(0, 4, 80)] + np.abs(rng.normal(0, 0.05, (80, 4)))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = spark.createDataFrame([(i, list(range(4)), v.tolist()) for i, v in enumerate(x)], "doc long, at array<int>, w array<float>")
+    labels, c = L.sparse_kmeans(rows, 4, 4)
+    got = {r["doc"]: r["cluster"] for r in labels.collect()}
+    assert len({(got[i], int(x[i].argmax())) for i in range(80)}) == 4 and c.shape == (4, 4)
+    assert L.sparse_kmeans(rows.where("false"), 4, 4)[0].count() == 0
