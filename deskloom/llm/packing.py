@@ -25,27 +25,50 @@ BLOCK_WINDOWS, BLOCK_ITEMS = 192, 8192
 
 
 def differencing(sizes: list[int], k: int) -> tuple[list[int], list[list[int]]]:
-    """Loads and members of ``k`` windows by the largest differencing method."""
-    count = 0
-    heap = []
-    for i, s in enumerate(sizes):
-        loads = np.zeros(k, np.int64)
-        loads[0] = s
-        heap.append((-s, count, loads, [[i], *([] for _ in range(k - 1))]))
-        count += 1
+    """Loads and members of ``k`` windows by the largest differencing method, fullest first.
+
+    A partial partition is the ascending list of its windows that hold
+    something; taking in a single item costs one insertion.
+    """
+    first: list[int] = []  # a window of two or more items is a node with two children
+    second: list[int] = []
+    n = len(sizes)
+
+    def joined(x: tuple[int, int], y: tuple[int, int]) -> tuple[int, int]:
+        first.append(x[1])
+        second.append(y[1])
+        return x[0] + y[0], n + len(first) - 1
+
+    heap = [(-s, i, [(s, i)]) for i, s in enumerate(sizes)]
     heapq.heapify(heap)
+    count = n
     while len(heap) > 1:
-        _, _, a, left = heapq.heappop(heap)
-        _, _, b, right = heapq.heappop(heap)
-        loads = a + b[::-1]
-        order = np.argsort(-loads, kind="stable")
-        right = right[::-1]
-        members = [left[j] + right[j] if right[j] else left[j] for j in order]
-        loads = loads[order]
-        heapq.heappush(heap, (-int(loads[0] - loads[-1]), count, loads, members))
+        a, b = heapq.heappop(heap)[2], heapq.heappop(heap)[2]
+        if len(a) < len(b):
+            a, b = b, a
+        # the largest of b meet the empty windows of a, the others its least full ones
+        meet = max(0, len(b) - (k - len(a)))
+        pairs = [joined(a[i], b[meet - 1 - i]) for i in range(meet)]
+        del a[:meet]
+        for w in (*pairs, *b[meet:]) if len(b) < 8 else ():
+            bisect.insort(a, w)
+        if len(b) >= 8:
+            a = sorted([*a, *pairs, *b[meet:]])
+        heapq.heappush(heap, (-(a[-1][0] - (a[0][0] if len(a) == k else 0)), count, a))
         count += 1
-    _, _, loads, members = heap[0]
-    return loads.tolist(), members
+    windows_ = heap[0][2][::-1] if heap else []
+    members = []
+    for _, node in windows_:
+        out, todo = [], [node]
+        while todo:
+            x = todo.pop()
+            if x < n:
+                out.append(x)
+            else:
+                todo += (first[x - n], second[x - n])
+        members.append(out)
+    empty = k - len(windows_)
+    return [load for load, _ in windows_] + [0] * empty, members + [[] for _ in range(empty)]
 
 
 def relieve(loads: list[int], members: list[list[int]], sizes: list[int], capacity: int) -> list[list[int]] | None:
