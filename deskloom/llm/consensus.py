@@ -107,9 +107,9 @@ def _raters(types: np.ndarray, weights: np.ndarray, size: int):
 
 def _counts(weighted: DataFrame, size: int) -> DataFrame:
     """``rater, labels, counts``: expected uses of label l for true class k, as one array by k then l."""
-    by_label = weighted.groupBy("rater", "code").agg(F.count("*").alias("n"), *(F.sum(F.col("q")[k]).alias(f"q{k}") for k in range(size)))
-    cells = [F.coalesce(F.sum(F.when(F.col("code") == code, F.col(f"q{k}"))), F.lit(0.0)) for k in range(size) for code in range(size)]
-    return by_label.groupBy("rater").agg(F.sum("n").alias("labels"), F.array(*cells).alias("counts"))
+    by_label = weighted.groupBy("rater", "code").agg(F.count("*").alias("n"), *(F.expr(f"sum(q[{k}])").alias(f"q{k}") for k in range(size)))
+    cells = ", ".join(f"coalesce(sum(CASE WHEN code = {code} THEN q{k} END), 0D)" for k in range(size) for code in range(size))
+    return by_label.groupBy("rater").agg(F.sum("n").alias("labels"), F.expr(f"array({cells})").alias("counts"))
 
 
 def consensus(labels: DataFrame, *, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
@@ -128,13 +128,16 @@ def consensus(labels: DataFrame, *, rounds: int = ROUNDS) -> tuple[DataFrame, Da
     posterior = votes.select("item", F.array(*(F.col(f"v{k}") / F.col("n") for k in range(size))).alias("q"))
     types = np.stack([np.full((size, size), (1 - p) / (size - 1)) + np.eye(size) * (p - (1 - p) / (size - 1)) for p in TYPES])
     start, weights = types.copy(), np.full(len(TYPES), 1 / len(TYPES))
+    cells = [k * size + c for k in range(size) for c in range(size)]
+    sums_sql = "array(" + ", ".join(f"sum(types[{m}] * counts[{c}])" for m in range(len(TYPES)) for c in cells) + ")"
+    sizes_sql = "array(" + ", ".join(f"sum(types[{m}])" for m in range(len(TYPES))) + ")"
+    all_sql = "array(" + ", ".join(f"sum(counts[{c}])" for c in cells) + ")"
     kind = "rater string, labels long, counts array<double>, types array<double>, logs array<double>, matrix array<double>"
     for _ in range(rounds):
         weighted = stated.join(posterior, "item")
         raters = cut(_counts(weighted, size).mapInArrow(_raters(types, weights, size), kind))
         # sums over raters, one row of fixed size
-        cell = [F.sum(F.col("types")[m] * F.col("counts")[c]) for m in range(len(TYPES)) for c in range(size * size)]
-        row = raters.agg(F.array(*cell).alias("sums"), F.array(*(F.sum(F.col("types")[m]) for m in range(len(TYPES)))).alias("sizes"), F.array(*(F.sum(F.col("counts")[k * size + c]) for k in range(size) for c in range(size))).alias("all")).first()
+        row = raters.agg(F.expr(sums_sql).alias("sums"), F.expr(sizes_sql).alias("sizes"), F.expr(all_sql).alias("all")).first()
         if row is None or row["sums"][0] is None:
             break
         sums = np.array(row["sums"]).reshape(len(TYPES), size, size)
@@ -145,7 +148,7 @@ def consensus(labels: DataFrame, *, rounds: int = ROUNDS) -> tuple[DataFrame, Da
         shares = np.array(row["all"]).reshape(size, size).sum(1) + 1
         logs = np.log(shares / shares.sum())
         told = stated.join(raters.select("rater", "logs"), "rater")
-        scores = told.groupBy("item").agg(*(F.sum(F.element_at("logs", F.lit(k * size + 1) + F.col("code"))).alias(f"s{k}") for k in range(size)))
+        scores = told.groupBy("item").agg(*(F.expr(f"sum(logs[{k * size} + code])").alias(f"s{k}") for k in range(size)))
         raw = [F.col(f"s{k}") + float(logs[k]) for k in range(size)]
         top = F.greatest(*raw)
         powers = F.array(*(F.exp(x - top) for x in raw))
