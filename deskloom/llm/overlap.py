@@ -71,9 +71,10 @@ def _tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, offsets = tokens_of(bare)
         prints = _fingerprints(tokens, offsets)
         data = tokens.view(np.int64)
-        wording = pa.array([xxhash.xxh3_128_digest(data[a:b].tobytes()) for a, b in zip(offsets[:-1], offsets[1:])], pa.binary())
+        digests = [xxhash.xxh3_128_digest(data[a:b].tobytes()) for a, b in zip(offsets[:-1], offsets[1:])]
+        wording, code = pa.array(digests, pa.binary()), pa.array(np.frombuffer(b"".join(d[:8] for d in digests), np.int64))
         lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(data))
-        yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("side"), record, wording, pa.array(np.diff(offsets), pa.int32()), pa.array(prints.view(np.int64)), lists], ["k", "side", "record", "wording", "n", "print", "tokens"])
+        yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("side"), record, wording, code, pa.array(np.diff(offsets), pa.int32()), pa.array(prints.view(np.int64)), lists], ["k", "side", "record", "wording", "code", "n", "print", "tokens"])
 
 
 def _sketch(tokens: DataFrame) -> np.ndarray:
@@ -94,14 +95,14 @@ def _sketch(tokens: DataFrame) -> np.ndarray:
 
 
 def _blocks(rows: DataFrame, often: np.ndarray, share: float) -> DataFrame:
-    """``block, wording, n, print, side``: pairs of each text's rarest tokens, once per wording and side of a batch."""
+    """``block, code, n, print, side``: pairs of each text's rarest tokens, once per wording and side of a batch."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             seen, keep = set(), []
-            for i, x in enumerate(zip(batch.column("wording").to_pylist(), batch.column("side").to_pylist())):
+            for i, x in enumerate(zip(batch.column("code").to_pylist(), batch.column("side").to_pylist())):
                 if x not in seen:
                     seen.add(x)
                     keep.append(i)
@@ -124,9 +125,9 @@ def _blocks(rows: DataFrame, often: np.ndarray, share: float) -> DataFrame:
             if not at:
                 continue
             at_all = pa.array(np.concatenate(at))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(block).view(np.int64)), *(batch.column(c).take(at_all) for c in ("wording", "n", "print", "side"))], ["block", "wording", "n", "print", "side"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(block).view(np.int64)), *(batch.column(c).take(at_all) for c in ("code", "n", "print", "side"))], ["block", "code", "n", "print", "side"])
 
-    return rows.select("wording", "n", "print", "side", "tokens").mapInArrow(each, "block long, wording binary, n int, print long, side string")
+    return rows.select("code", "n", "print", "side", "tokens").mapInArrow(each, "block long, code long, n int, print long, side string")
 
 
 def _near(share: float) -> Column:
@@ -140,19 +141,20 @@ def cross_split_pairs(df: DataFrame, *, key: str, text: str, side: str, share: f
     ``side`` holds "a" or "b"; other rows, null keys, null and blank texts make
     no pair, and a key is never paired with itself. ``same`` is true for records
     that differ at most in formatting. Candidates are found between distinct
-    wordings, so copies meet only in the result.
+    wordings, so copies meet only in the result; blocks carry 64-bit codes of
+    wordings, and whatever shares a code is checked.
     """
     picked = df.select(F.col(key).alias("k"), F.col(text).alias("text"), F.col(side).alias("side")).where("k IS NOT NULL AND text IS NOT NULL AND side IN ('a', 'b')")
-    rows = cut(picked.mapInArrow(_tokenise, "k string, side string, record binary, wording binary, n int, print long, tokens array<long>").where("record IS NOT NULL"))
+    rows = cut(picked.mapInArrow(_tokenise, "k string, side string, record binary, wording binary, code long, n int, print long, tokens array<long>").where("record IS NOT NULL"))
     blocks = _blocks(rows, _sketch(rows), share)
     a, b = blocks.where("side = 'a'").alias("a"), blocks.where("side = 'b'").alias("b")
-    near = a.join(b, (F.col("a.block") == F.col("b.block")) & _near(share)).select(F.col("a.wording").alias("wa"), F.col("b.wording").alias("wb")).where("wa <> wb").distinct()
+    near = a.join(b, (F.col("a.block") == F.col("b.block")) & _near(share)).select(F.col("a.code").alias("ca"), F.col("b.code").alias("cb")).where("ca <> cb").distinct()
     near = cut(near)
-    some = near.select(F.col("wa").alias("wording")).union(near.select("wb")).distinct()
-    full = rows.join(some, "wording", "left_semi").groupBy("wording").agg(F.first("tokens").alias("tokens"))
-    ta, tb = full.select(F.col("wording").alias("wa"), F.col("tokens").alias("ta")), full.select(F.col("wording").alias("wb"), F.col("tokens").alias("tb"))
+    some = near.select(F.col("ca").alias("code")).union(near.select("cb")).distinct()
+    full = rows.join(some, "code", "left_semi").groupBy("code", "wording").agg(F.first("tokens").alias("tokens"))
+    ta, tb = (full.select(F.col("code").alias(f"c{x}"), F.col("wording").alias(f"w{x}"), F.col("tokens").alias(f"t{x}")) for x in "ab")
     common = F.size(F.array_intersect("ta", "tb"))
-    alike = near.join(ta, "wa").join(tb, "wb").where(common >= share * F.greatest(F.size("ta"), F.size("tb")) - 1e-9).select("wa", "wb")
+    alike = near.join(ta, "ca").join(tb, "cb").where(common >= share * F.greatest(F.size("ta"), F.size("tb")) - 1e-9).select("wa", "wb")
     ids = rows.select("k", "side", "record", "wording").distinct()
     left = ids.where("side = 'a'").select(F.col("k").alias("a_id"), F.col("record").alias("ra"), F.col("wording").alias("wa"))
     right = ids.where("side = 'b'").select(F.col("k").alias("b_id"), F.col("record").alias("rb"), F.col("wording").alias("wb"))
