@@ -22,13 +22,11 @@ CYRILLIC = {
     "һ": "h", "ӏ": "l", "ԁ": "d", "ԛ": "q", "ԝ": "w",
     "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C",
     "Т": "T", "У": "Y", "Х": "X", "Ѕ": "S", "І": "I", "Ј": "J", "Ӏ": "I", "Ԛ": "Q", "Ԝ": "W", "Ү": "Y",
-    "ё": "ë", "ѐ": "è", "ї": "ï", "Ё": "Ë", "Ѐ": "È", "Ї": "Ï",
 }
 GREEK = {
     "α": "a", "ι": "i", "ν": "v", "ο": "o", "ρ": "p", "ϲ": "c", "ϳ": "j",
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O",
     "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "Ϲ": "C", "Ϳ": "J",
-    "ά": "á", "ί": "í", "ό": "ó", "ϊ": "ï",
 }
 OTHER = {"ɡ": "g", "ɑ": "a", "օ": "o", "ո": "n", "ս": "u", "հ": "h"}
 LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st", "ĳ": "ij", "Ĳ": "IJ"}
@@ -54,6 +52,18 @@ def _compatible() -> dict[str, str]:
     return found
 
 
+def _with_accents(letters: dict[str, str]) -> dict[str, str]:
+    """``letters`` and, by rule, the accented ones that decompose into them."""
+    found = dict(letters)
+    for code in [*range(0x370, 0x530), *range(0x1F00, 0x2000)]:
+        base, *marks = unicodedata.normalize("NFD", chr(code))
+        latin = unicodedata.normalize("NFC", letters[base] + "".join(marks)) if marks and base in letters else ""
+        if len(latin) == 1:
+            found[chr(code)] = latin
+    return found
+
+
+CYRILLIC, GREEK = _with_accents(CYRILLIC), _with_accents(GREEK)
 _MAP = {**_compatible(), **CYRILLIC, **GREEK, **OTHER}
 _FROM, _TO = "".join(_MAP), "".join(_MAP.values())
 #: Latin letters that no letter of the other script resembles; a word that has one stays Latin.
