@@ -73,3 +73,5 @@ def test_periods(spark):
     e = spark.createDataFrame([("a", "2024-01-01"), ("b", "2024-02-01"), ("c", None), ("d", "1970-01-01")], "id string, t string").select("id", F.to_timestamp("t").alias("created_at"))
     s = spark.createDataFrame([("tr", "training", "2024-01-01", "2024-02-01"), ("ev", "evaluation", "2024-02-01", "2024-03-01")], "split_name string, purpose string, x string, y string").select("split_name", "purpose", F.to_timestamp("x").alias("starts_at"), F.to_timestamp("y").alias("ends_at"))
     assert {(r["id"], r["side"]) for r in overlap.with_split(e, s).collect()} == {("a", "a"), ("b", "b")}
+    clash = overlap.with_split(e.withColumns({"side": F.lit("z"), "starts_at": F.lit(1), "purpose": F.lit("p")}), s)
+    assert {(r["id"], r["side"], r["split_name"], r["starts_at"]) for r in clash.collect()} == {("a", "a", "tr", 1), ("b", "b", "ev", 1)}

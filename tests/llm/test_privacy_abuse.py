@@ -66,4 +66,6 @@ def test_rates(spark):
     scores = abuse.abuse_scores(df, text="t", keep=["id", "abuse"])
     got = {r["abuse"]: (r["scored"], r["flagged"], r["rate"]) for r in abuse.source_rates(scores, "abuse").collect()}
     assert got == {"s": (2, 1, 0.5), None: (0, 0, None), "t": (1, 0, 0.0)}
+    clash = abuse.abuse_scores(df.withColumnsRenamed({"id": "text", "abuse": "abuse_words"}), text="t", keep=["text", "abuse_words", "t"])
+    assert {r["text"]: r["abuse_score"] > 0.5 for r in clash.where("t IS NOT NULL").collect()} == {"a": True, "b": False, "d": False}
     assert abuse.abuse_scores(df.where("false"), text="t", keep=["id"]).count() == 0
