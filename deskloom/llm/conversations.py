@@ -22,9 +22,9 @@ WINDOW_TURNS = 50_000
 
 
 def read_messages(raw: DataFrame) -> DataFrame:
-    """``id, author, inbound, ts, text, says, parent, broken`` of the latest row of every numeric id.
+    """``id, row_no, author, inbound, ts, says, parent, broken`` of the latest row of every numeric id.
 
-    ``says`` is whether anything but blanks, links and @handles is left; ``ts``
+    Texts stay behind: later steps fetch those they need by ``row_no``. ``says`` is whether anything but blanks, links and @handles is left; ``ts``
     is null where unreadable; ``broken`` marks a parent that is no number.
     """
 
@@ -41,13 +41,12 @@ def read_messages(raw: DataFrame) -> DataFrame:
             F.col("author_id").alias("author"),
             F.coalesce(F.lower(F.trim("inbound")).isin("true", "t", "1", "yes", "y"), F.lit(False)).alias("inbound"),
             F.try_to_timestamp(F.regexp_replace(F.trim("created_at"), r"^\w{3},? +", ""), F.lit(TIME_FORMAT)).alias("ts"),
-            F.col("text"),
             (left != "").alias("says"),
             F.when(parent != "", parent.cast("long")).alias("parent"),
             ((parent == "") & (F.trim(F.coalesce("in_response_to_tweet_id", F.lit(""))) != "")).alias("broken"),
         ).alias("row"),
     )
-    return rows.groupBy("id").agg(F.max("row").alias("row")).select("id", "row.*").drop("row_no")
+    return rows.groupBy("id").agg(F.max("row").alias("row")).select("id", "row.*")
 
 
 def roots(messages: DataFrame) -> DataFrame:
@@ -81,8 +80,8 @@ def roots(messages: DataFrame) -> DataFrame:
     return state.where("done AND whole").select("id", F.col("ptr").alias("root"))
 
 
-def turns(raw: DataFrame, *, with_text: bool = False, window_turns: int = WINDOW_TURNS) -> DataFrame:
-    """``episode_id, turn_no, tweet_id, speaker`` (and ``created_at, inbound, text``) of every kept conversation.
+def turns(raw: DataFrame, *, details: bool = False, window_turns: int = WINDOW_TURNS) -> DataFrame:
+    """``episode_id, turn_no, tweet_id, speaker`` (and ``created_at, inbound, row_no``) of every kept conversation.
 
     Conversations with a missing parent, a circle, an unreadable time, a first
     message that isn't inbound, no non-inbound message, or no words in the first
@@ -90,7 +89,7 @@ def turns(raw: DataFrame, *, with_text: bool = False, window_turns: int = WINDOW
     Rows without a numeric id, and older rows of an id, are ignored; nulls in
     other columns make the message blank, outbound, undated or parentless.
     """
-    messages = cut(read_messages(raw) if with_text else read_messages(raw).drop("text"))
+    messages = cut(read_messages(raw) if details else read_messages(raw).drop("row_no"))
     talk = cut(messages.join(roots(messages), "id"))
     at = ["ts", "id"]
     firsts = talk.groupBy("root").agg(
@@ -109,7 +108,7 @@ def turns(raw: DataFrame, *, with_text: bool = False, window_turns: int = WINDOW
     out = rows.where(F.col("n") <= window_turns).withColumn("turn_no", number)
     if kept.where(F.col("n") > window_turns).limit(1).count():
         out = out.unionByName(_ranked(rows.where(F.col("n") > window_turns)))
-    more = [F.col("ts").alias("created_at"), "inbound", "text"] if with_text else []
+    more = [F.col("ts").alias("created_at"), "inbound", "row_no"] if details else []
     return out.select("episode_id", "turn_no", F.col("id").alias("tweet_id"), "speaker", *more)
 
 
@@ -126,12 +125,16 @@ def _ranked(rows: DataFrame) -> DataFrame:
 
 def conversations(raw: DataFrame) -> DataFrame:
     """One row per kept conversation: brand, customer, opening time and text, first brand reply and counts of turns."""
-    t = turns(raw, with_text=True)
-    first = F.min(F.struct("turn_no", "created_at", "text"))
-    reply = F.min(F.when(~F.col("inbound"), F.struct("turn_no", "text")))
-    return t.groupBy("episode_id").agg(
-        first.alias("f"), reply.alias("r"), F.count("*").alias("n_turns"), F.count_if(F.col("speaker") == "brand").alias("n_brand_turns"), F.count_if((F.col("speaker") == "customer") & F.col("inbound")).alias("n_customer_turns")
-    ).select("episode_id", F.col("f.created_at").alias("created_at"), F.col("f.text").alias("customer_text"), F.col("r.text").alias("brand_reply"), "n_turns", "n_brand_turns", "n_customer_turns")
+    t = turns(raw, details=True)
+    first = F.min(F.struct("turn_no", "created_at", "row_no"))
+    reply = F.min(F.when(~F.col("inbound"), F.struct("turn_no", "row_no")))
+    kept = cut(
+        t.groupBy("episode_id").agg(first.alias("f"), reply.alias("r"), F.count("*").alias("n_turns"), F.count_if(F.col("speaker") == "brand").alias("n_brand_turns"), F.count_if((F.col("speaker") == "customer") & F.col("inbound")).alias("n_customer_turns"))
+    )
+    # one pass over the texts fetches the two of each conversation
+    wanted = kept.select("episode_id", F.explode(F.array(F.struct(F.lit("f").alias("kind"), F.col("f.row_no").alias("row_no")), F.struct(F.lit("r").alias("kind"), F.col("r.row_no").alias("row_no")))).alias("x")).select("episode_id", "x.*")
+    texts = raw.select("row_no", "text").join(wanted, "row_no").groupBy("episode_id").agg(F.max(F.when(F.col("kind") == "f", F.col("text"))).alias("customer_text"), F.max(F.when(F.col("kind") == "r", F.col("text"))).alias("brand_reply"))
+    return kept.join(texts, "episode_id").select("episode_id", F.col("f.created_at").alias("created_at"), "customer_text", "brand_reply", "n_turns", "n_brand_turns", "n_customer_turns")
 
 
 #: The same result in SQL, by walking every chain.
