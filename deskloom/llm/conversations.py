@@ -80,36 +80,42 @@ def roots(messages: DataFrame) -> DataFrame:
     return state.where("done AND whole").select("id", F.col("ptr").alias("root"))
 
 
-def turns(raw: DataFrame, *, details: bool = False, window_turns: int = WINDOW_TURNS) -> DataFrame:
-    """``episode_id, turn_no, tweet_id, speaker`` (and ``created_at, inbound, row_no``) of every kept conversation.
-
-    Conversations with a missing parent, a circle, an unreadable time, a first
-    message that isn't inbound, no non-inbound message, or no words in the first
-    or the first non-inbound message are dropped. Order is by time, then id.
-    Rows without a numeric id, and older rows of an id, are ignored; nulls in
-    other columns make the message blank, outbound, undated or parentless.
-    """
+def _kept(raw: DataFrame, *, details: bool) -> tuple[DataFrame, DataFrame]:
+    """``(kept, rows)``: the kept conversations by ``root``, and their messages with ``speaker``."""
     messages = cut(read_messages(raw) if details else read_messages(raw).drop("row_no"))
     talk = cut(messages.join(roots(messages), "id"))
     at = ["ts", "id"]
     firsts = talk.groupBy("root").agg(
         F.count("*").alias("n"),
         F.bool_and(F.col("ts").isNotNull()).alias("dated"),
-        F.min(F.struct(*at, "inbound", "says")).alias("first"),
+        F.min(F.struct(*at, "inbound", "says", "author")).alias("first"),
         F.min(F.when(~F.col("inbound"), F.struct(*at, "author", "says"))).alias("reply"),
     )
+    more = [F.col("first.author").alias("customer")] if details else []
     kept = cut(
         firsts.where("dated AND first.inbound AND first.says AND reply IS NOT NULL AND reply.says").select(
-            "root", "n", F.col("reply.author").alias("brand"), F.concat(F.coalesce("reply.author", F.lit("")), F.lit("-"), F.col("first.id").cast("string")).alias("episode_id")
+            "root", "n", F.col("reply.author").alias("brand"), F.concat(F.coalesce("reply.author", F.lit("")), F.lit("-"), F.col("first.id").cast("string")).alias("episode_id"), *more
         )
     )
-    rows = talk.join(kept, "root").withColumn("speaker", F.when(F.col("author").eqNullSafe(F.col("brand")), "brand").otherwise("customer"))
-    number = F.row_number().over(Window.partitionBy("root").orderBy(*at)).cast("long")
+    names = kept.select("root", "n", "brand") if details else kept
+    return kept, talk.join(names, "root").withColumn("speaker", F.when(F.col("author").eqNullSafe(F.col("brand")), "brand").otherwise("customer"))
+
+
+def turns(raw: DataFrame, *, window_turns: int = WINDOW_TURNS) -> DataFrame:
+    """``episode_id, turn_no, tweet_id, speaker`` of every message of every kept conversation.
+
+    Conversations with a missing parent, a circle, an unreadable time, a first
+    message that isn't inbound, no non-inbound message, or no words in the first
+    or the first non-inbound message are dropped. Order is by time, then id.
+    Rows without a numeric id, and older rows of an id, are ignored; nulls in
+    other columns make the message blank, outbound, undated or parentless.
+    """
+    kept, rows = _kept(raw, details=False)
+    number = F.row_number().over(Window.partitionBy("root").orderBy("ts", "id")).cast("long")
     out = rows.where(F.col("n") <= window_turns).withColumn("turn_no", number)
     if kept.where(F.col("n") > window_turns).limit(1).count():
         out = out.unionByName(_ranked(rows.where(F.col("n") > window_turns)))
-    more = [F.col("ts").alias("created_at"), "inbound", "row_no"] if details else []
-    return out.select("episode_id", "turn_no", F.col("id").alias("tweet_id"), "speaker", *more)
+    return out.select("episode_id", "turn_no", F.col("id").alias("tweet_id"), "speaker")
 
 
 def _ranked(rows: DataFrame) -> DataFrame:
@@ -124,17 +130,26 @@ def _ranked(rows: DataFrame) -> DataFrame:
 
 
 def conversations(raw: DataFrame) -> DataFrame:
-    """One row per kept conversation: brand, customer, opening time and text, first brand reply and counts of turns."""
-    t = turns(raw, details=True)
-    first = F.min(F.struct("turn_no", "created_at", "row_no"))
-    reply = F.min(F.when(~F.col("inbound"), F.struct("turn_no", "row_no")))
-    kept = cut(
-        t.groupBy("episode_id").agg(first.alias("f"), reply.alias("r"), F.count("*").alias("n_turns"), F.count_if(F.col("speaker") == "brand").alias("n_brand_turns"), F.count_if((F.col("speaker") == "customer") & F.col("inbound")).alias("n_customer_turns"))
-    )
-    # one pass over the texts fetches the two of each conversation
-    wanted = kept.select("episode_id", F.explode(F.array(F.struct(F.lit("f").alias("kind"), F.col("f.row_no").alias("row_no")), F.struct(F.lit("r").alias("kind"), F.col("r.row_no").alias("row_no")))).alias("x")).select("episode_id", "x.*")
-    texts = raw.select("row_no", "text").join(wanted, "row_no").groupBy("episode_id").agg(F.max(F.when(F.col("kind") == "f", F.col("text"))).alias("customer_text"), F.max(F.when(F.col("kind") == "r", F.col("text"))).alias("brand_reply"))
-    return kept.join(texts, "episode_id").select("episode_id", F.col("f.created_at").alias("created_at"), "customer_text", "brand_reply", "n_turns", "n_brand_turns", "n_customer_turns")
+    """One row per kept conversation: brand, customer, opening time and text, first brand reply, counts of turns and ``thread``.
+
+    ``thread`` has the role and text of every turn, in the order of ``turns``.
+    """
+    kept, rows = _kept(raw, details=True)
+    said = rows.select("root", "ts", "id", (F.col("speaker") == "brand").alias("by_brand"), "inbound", "row_no").join(raw.select("row_no", "text"), "row_no", "left")
+    all_turns = F.array_sort(F.collect_set(F.struct("ts", "id", "inbound", "by_brand", "text")))
+    # a row delivered twice is one turn
+    once = F.filter("turns", lambda t, i: (i == 0) | (t["id"] != F.get("turns", i - 1)["id"]))
+    threads = said.groupBy("root").agg(all_turns.alias("turns")).withColumn("turns", once)
+    return threads.join(kept, "root").select(
+        "episode_id", "brand", "customer",
+        F.get("turns", F.lit(0))["ts"].alias("created_at"),
+        F.get("turns", F.lit(0))["text"].alias("customer_text"),
+        F.get(F.filter("turns", lambda t: ~t["inbound"]), F.lit(0))["text"].alias("brand_reply"),
+        F.size("turns").cast("long").alias("n_turns"),
+        F.size(F.filter("turns", lambda t: t["by_brand"])).cast("long").alias("n_brand_turns"),
+        F.size(F.filter("turns", lambda t: ~t["by_brand"] & t["inbound"])).cast("long").alias("n_customer_turns"),
+        F.transform("turns", lambda t: F.struct(F.when(t["by_brand"], "brand").otherwise("customer").alias("role"), t["text"].alias("text"))).alias("thread"),
+    )
 
 
 #: The same result in SQL, by walking every chain.

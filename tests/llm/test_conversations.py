@@ -59,3 +59,12 @@ def test_long_chains_and_hubs(spark):
     assert [t for t, _ in got["B-1"]] == list(range(1, 301))
     times = {int(r[0]): r[3] for r in rows}
     assert [t for t, _ in got["B-1000"]] == sorted((t for t in times if t >= 1000), key=lambda t: (datetime.strptime(times[t], "%a %b %d %H:%M:%S %z %Y"), t))
+
+
+def test_threads_have_every_text(spark):
+    rows = [msg(1, "c", "True", 0, "one"), msg(2, "B", "False", 1, "two", "1"), msg(3, "c", "True", 2, None, "2"), msg(5, "x", "False", 3, "five", "3"), msg(4, "B", "False", 3, "four", "3")]
+    df = frame(spark, rows)
+    for x in (df, df.union(df)):
+        (r,) = C.conversations(x).collect()
+        assert [tuple(t) for t in r["thread"]] == [("customer", "one"), ("brand", "two"), ("customer", None), ("brand", "four"), ("customer", "five")]
+        assert (r["brand"], r["customer"], r["customer_text"], r["brand_reply"], r["n_turns"], r["n_brand_turns"], r["n_customer_turns"]) == ("B", "c", "one", "two", 5, 2, 2)
