@@ -87,12 +87,13 @@ def _free(spans: list[tuple], start: int, stop: int) -> bool:
     return all(stop <= s[3] or start >= s[4] for s in spans)
 
 
-#: What a text must hold for a group of the patterns to match at all, in RE2.
+_RS, _RW = r"\s\x0b\x1c-\x1f\x{85}\pZ", r"\pL\pN_"  # what Python calls white space and letters of words, for RE2
+#: What a text must hold for a group of the patterns to match at all, in RE2. Every pattern of the group implies it.
 HINTS = {
-    "mail": r"(?i)@\s?[\w-]+\s*(?:\.|[(\[{]\s*dot|\sdot\s)|[(\[{]\s*at\s*[)\]}]|\sdot\s",
-    "digits": r"(?i)\d[\d\s./()-]{5,}\d|\d{6}|(?:zero|oh|one|two|three|four|five|six|seven|eight|nine)[\s-]+(?:zero|oh|one|two|three|four|five|six|seven|eight|nine)[\s-]",
-    "street": r"(?i)\d[a-z]?,?\s+(?:[nsew]\.\s+)?(?:[^\s\d]+\s+){1,2}(?:street|st|avenue|ave|road|rd|lane|ln|boulevard|blvd|drive|gardens|court|square|terrace|close|crescent|way)\b|box\s\d|\b(?:calle|avenida|plaza|via)\s\pL+,?\s\d|\d,?\s(?:rue|avenue|boulevard|chemin|impasse)\s|(?:straße|strasse|str\.|gasse|allee|weg)\s\d",
-    "name": r"(?i)\bname is\b|\bname\s?:|\bregards,|\bsincerely,|\bunder\b|\breservation\b|\bpassenger\b|\b(?:mr|mrs|ms|miss|dr)\b|\bwriting\b|\bspeaking\b|\bbtw\b|\bby the way\b",
+    "mail": rf"(?i)@[{_RS}]?[{_RW}-]+[{_RS}]*(?:\.|[(\[{{][{_RS}]*dot|[{_RS}]dot[{_RS}])|[(\[{{][{_RS}]*at[{_RS}]*[)\]}}]|[{_RS}]dot[{_RS}]",
+    "digits": rf"(?i)\p{{Nd}}[\p{{Nd}}{_RS}./()-]{{5,}}\p{{Nd}}|\p{{Nd}}{{6}}|\+\p{{Nd}}(?:[{_RS}.-]?\(?\p{{Nd}}\)?){{2}}|{_DIGIT}[{_RS}-]+{_DIGIT}[{_RS}-]",
+    "street": rf"(?i)\p{{Nd}}[a-z]?,?[{_RS}]+(?:[nsew]\.[{_RS}]+)?(?:[^{_RS}]+[{_RS}]+){{1,2}}{_KIND}(?:[^{_RW}]|$)|box[{_RS}]\p{{Nd}}|(?:calle|avenida|plaza|via)[{_RS}][{_RW}]+,?[{_RS}]\p{{Nd}}|\p{{Nd}},?[{_RS}](?:rue|avenue|boulevard|chemin|impasse)[{_RS}]|(?:straße|strasse|str\.|gasse|allee|weg)[{_RS}]\p{{Nd}}",
+    "name": rf"(?i)my name is[{_RS}]|name[{_RS}]?:[{_RS}]|regards,[{_RS}]|sincerely,[{_RS}]|(?:booked|registered) (?:under|for)[{_RS}]|reservation (?:of|for)[{_RS}]|passenger[{_RS}]|(?:^|[^{_RW}])(?:mr|mrs|ms|miss|dr)\.?[{_RS}]|[{_RS}](?:writing|speaking|btw|by the way)",
 }
 ALL_HINTS = frozenset(HINTS)
 
@@ -177,10 +178,18 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _batch(out)
 
 
-def consistent(df: DataFrame, *, key: str, texts: list[str], idents: list[str]) -> DataFrame:
-    """``k, field, ident, text``: one row per key, field and value, in consistent form; nulls and blanks leave."""
+def _values(df: DataFrame, *, key: str, texts: list[str], idents: list[str]) -> DataFrame:
+    """``k, field, ident, text``: one row per key, field and value as it stands; nulls and blanks leave."""
     fields = F.array(*(F.struct(F.lit(c).alias("field"), F.lit(c in idents).alias("ident"), F.col(c).cast("string").alias("text")) for c in [*texts, *idents]))
-    rows = df.select(F.col(key).alias("k"), F.explode(fields).alias("x")).select("k", "x.*").where("k IS NOT NULL AND text IS NOT NULL AND trim(text) <> ''")
+    return df.select(F.col(key).alias("k"), F.explode(fields).alias("x")).select("k", "x.*").where("k IS NOT NULL AND text IS NOT NULL AND trim(text) <> ''")
+
+
+_PLAIN = "ident AND text RLIKE '^[0-9]+$'"
+
+
+def consistent(df: DataFrame, *, key: str, texts: list[str], idents: list[str]) -> DataFrame:
+    """``k, field, ident, text``: one row per key, field and value, in consistent form; nulls, blanks and ``plain`` identifiers leave."""
+    rows = _values(df, key=key, texts=texts, idents=idents)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -188,8 +197,12 @@ def consistent(df: DataFrame, *, key: str, texts: list[str], idents: list[str])
                 y = run_sql(batch.select(["text"]), f"SELECT {form_sql('text')} AS y FROM batch").column("y").combine_chunks()
                 yield pa.RecordBatch.from_arrays([*batch.columns[:3], y.cast(pa.string())], ["k", "field", "ident", "text"])
 
-    # identifiers without a letter, sign or bracket disclose nothing and need no worker
-    return rows.where("NOT ident OR text RLIKE '[^0-9 ]'").mapInArrow(each, "k string, field string, ident boolean, text string")
+    return rows.where(f"NOT ({_PLAIN})").mapInArrow(each, "k string, field string, ident boolean, text string")
+
+
+def plain(df: DataFrame, *, key: str, texts: list[str], idents: list[str]) -> DataFrame:
+    """``k, field, text``: identifiers of digits alone, which disclose nothing, are consistent as they are and need no worker."""
+    return _values(df, key=key, texts=texts, idents=idents).where(_PLAIN).select(F.col("k").cast("string").alias("k"), "field", "text").distinct()
 
 
 def name_terms(spans: DataFrame, texts: DataFrame) -> DataFrame:
@@ -304,7 +317,7 @@ def protected_spans(df: DataFrame, *, key: str, texts: list[str], idents: list[s
 def redact(df: DataFrame, *, key: str, texts: list[str], idents: list[str]) -> DataFrame:
     """``k, field, text, found``: every value in consistent form with typed placeholders, and how many of each kind it had.
 
-    Identifiers without letters or signs come back as they are.
+    Identifiers of digits alone come back as they are.
     """
     rows, spans = protected_spans(df, key=key, texts=texts, idents=idents)
     marks = spans.groupBy("k", "field").agg(F.array_sort(F.collect_list(F.struct("start", "stop", "kind"))).alias("marks"))
@@ -323,4 +336,5 @@ def redact(df: DataFrame, *, key: str, texts: list[str], idents: list[str]) -> D
                 counts.append(n)
             yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("field"), pa.array(out, pa.string()), pa.array(counts, pa.int64())], ["k", "field", "text", "found"])
 
-    return rows.distinct().join(marks, ["k", "field"], "left").mapInArrow(each, "k string, field string, text string, found long")
+    judged = rows.distinct().join(marks, ["k", "field"], "left").mapInArrow(each, "k string, field string, text string, found long")
+    return judged.union(plain(df, key=key, texts=texts, idents=idents).withColumn("found", F.lit(0).cast("long")))
