@@ -106,3 +106,35 @@ def test_hints_lose_nothing(spark):
     want = sorted((i, s[0], s[3], s[4]) for i, t in enumerate(texts) for s in privacy.spans_of_text(t))
     assert _scanned(texts) == want
     assert {i for i, *_ in want} >= {0, 1}
+
+
+def _score(texts):
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.string())})
+    return next(abuse._scorer(MODEL)(iter([batch]))).column("abuse_score").to_pylist()
+
+
+@pytest.mark.parametrize("text", ["useless\nidiots", "you\tidiots", "you\u2003idiots", "idiots/clowns", "idiot,fix it", "useless-idiots", "well...idiots", "useless\u2014idiots", "you_idiot", "fix it,1d1ots", "useless/cr3t1n/fix", "you stupid.1d10t"])
+def test_joined_words(text):
+    assert _score([text])[0] >= abuse.FLAG_AT
+
+
+def test_proof_against_somebody_is_no_insult():
+    assert _score(["An idiot-proof guide to the page would help", "Do you have\nan idiot-proof guide"]) == [0.0, 0.0]
+
+
+def test_gate_covers_every_rule(spark):
+    import itertools
+
+    import duckdb
+    from compare import DATA
+
+    texts = ["you are such a pile of rats", "you va de enculé", "off, you idiot", "what an awfully bad old clown", "utter piece of shit", "trash people", "dumber than a post", "imbécil", "f you", "rot in hell", "they all should die", "i will go and smash that desk", "hope you all choke", "nobody would miss you", "these are nothing but vermin", "keep those ño rats away", "send them back", "belongs in a zoo", "gave me a big hard-on", "send me some nudes", "show me your tits", "want to see her naked", "fuck your ugly steward", "bang me"]
+    assert all(any(p.search(t) for t in texts) for *_, p, _ in abuse.RULES)
+    if DATA.exists():
+        rows = spark.read.parquet(f"{DATA}/episodes.parquet").select("customer_text", "brand_reply").collect()
+        texts += [" ".join(x.lower().split()) for x in itertools.chain(*rows) if x]
+    for text in texts:
+        if any(p.search(text) for *_, p, _ in abuse.RULES):
+            assert duckdb.execute("SELECT regexp_matches(?, ?)", [text, abuse.GATE]).fetchone()[0], text
