@@ -207,28 +207,6 @@ RULES = [
         ("sexual", 0.9, rf"\b(?:fuck|bang|screw|do) (?:your|the|that|this|every) (?:[\w-]+ ){{0,2}}{_STAFF}\b|\b(?:fuck|bang|screw|suck|blow) me\b", False),
     ]
 ]
-_SPACED = re.compile(r"(?<!\w)(?:[^\W\d_] ){2,}[^\W\d_](?!\w)")
-
-
-def _together(m: re.Match) -> str:
-    """Letters written apart as watched words, where they can be read so; a single letter before or after may be a word."""
-    letters = m[0].replace(" ", "")
-
-    def read(a: int) -> list[str] | None:
-        if a == len(letters):
-            return []
-        for b in range(len(letters), a, -1):
-            part = letters[a:b]
-            if (part in _WATCHED or len(part) == 1 and (a == 0 or b == len(letters))) and (rest := read(b)) is not None:
-                return [part, *rest]
-        return None
-
-    return " ".join(read(0) or [m[0]]) if len(letters) <= 40 else m[0]
-
-
-_WATCHED = set(WATCHED)
-
-
 def score_text(text: str) -> tuple[float, str | None]:
     """Score from 0 to 1 of a restored text in lower case, and the kind that weighs most."""
     miss, most, kind = 1.0, 0.0, None
@@ -289,8 +267,113 @@ def decode(token: str, model: np.ndarray, level: int = 0) -> str | None:
     return None
 
 
+#: Tokens of up to so many characters may be pieces of a word that blanks take apart.
+PIECE = 3
+_WORD_COST = math.log(len(WATCHED)) - LEXICON_PRIOR
+
+
+def together(tokens: list[str], model: np.ndarray) -> list[str]:
+    """``tokens``, a run of pieces, with the watched words that blanks take apart restored: Viterbi over one lattice of the run.
+
+    A watched word may take in any number of pieces, with the disguises of ``watched_word``. What else stands there is
+    explained by the character model: pieces as words of their own, or single letters as a word spelled apart.
+    A word spelled in single characters is as likely as in ``restore``; where pieces could be words, there is no allowance.
+    """
+    best: list[tuple[float, int, str | None]] = [(0.0, 0, None)]  # cost, start of the last piece, what it reads
+    words: dict[tuple[int, str, bool], tuple[float, int]] = {}  # node, last letter, only single characters: cost, start
+    spelled: dict[tuple[int, int], tuple[float, int, str]] = {}  # two last letters: cost, start, letters
+    for i, piece in enumerate(tokens):
+        head = len(piece) - len(piece.lstrip(_EDGE))
+        core = piece if len(piece) == 1 else piece.strip(_EDGE)
+        single = len(core) == 1
+        before = best[i][0]
+        words = {(at, last, one and single): v for (at, last, one), v in sorted(words.items(), key=lambda x: -x[1][0])} if not head or single else {}
+        if before + _WORD_COST < words.get((0, "", single), (1e9, 0))[0]:
+            words[0, "", single] = (before + _WORD_COST, i)
+        for c in core:
+            after: dict[tuple[int, str, bool], tuple[float, int]] = {}
+
+            def put(key: tuple[int, str, bool], cost: float, start: int) -> None:
+                if key not in after or cost < after[key][0]:
+                    after[key] = (cost, start)
+
+            readings = _readings(c)
+            for (at, last, one), (cost, start) in words.items():
+                for x, more in readings:
+                    if x in TRIE[at]:
+                        put((TRIE[at][x], x, one), cost + more, start)
+                    if x == last:
+                        put((at, last, one), cost + more + COST["repeat"], start)
+                if c in MASKS and at:
+                    for x, to in TRIE[at].items():
+                        if x != ".":
+                            put((to, x, one), cost + COST["mask"], start)
+                if c in SEPARATORS and at:
+                    put((at, last, one), cost + COST["separator"], start)
+            words = after
+        own = best_string(core, model) if core else 0.0
+        found = (before + min(own, 60.0), i, None)
+        if single:
+            grown: dict[tuple[int, int], tuple[float, int, str]] = {}
+            for (a, b), (cost, start, letters) in [*spelled.items(), ((26, 26), (before, i, ""))]:
+                for x, more in _readings(core):
+                    if x in LETTERS:
+                        key, new = (b, ord(x) - 97), cost + more - model[a, b, ord(x) - 97]
+                        if key not in grown or new < grown[key][0]:
+                            grown[key] = (new, start, letters + x)
+            for (a, b), (cost, start, letters) in grown.items():
+                if start < i and cost - model[a, b, 26] < found[0]:
+                    found = (cost - model[a, b, 26], start, letters)
+            spelled = {k: (cost + COST["separator"], start, letters) for k, (cost, start, letters) in grown.items()}
+        else:
+            spelled = {}
+        for (at, _, one), (cost, start) in words.items():
+            if "." in TRIE[at] and start < i and any(c.isalpha() for t in tokens[start : i + 1] for c in t):
+                word = WATCHED[TRIE[at]["."]]
+                cost += (COST["harmless"] if word in CUES else 0) - (4 if one else 0)
+                if cost < found[0]:
+                    found = (cost, start, word)
+        best.append(found)
+        # a mark behind the piece ends what it belongs to
+        if len(piece) > 1 and piece[-1] in _EDGE:
+            words, spelled = {}, {}
+        else:
+            words = {(at, last, one): (cost + COST["separator"], start) for (at, last, one), (cost, start) in words.items() if at}
+    out, i = [], len(tokens)
+    while i:
+        _, start, word = best[i]
+        if word is None:
+            out.append(tokens[start])
+        else:
+            first, last = tokens[start], tokens[i - 1]
+            out.append((first[: len(first) - len(first.lstrip(_EDGE))] if len(first) > 1 else "") + word + (last[len(last.rstrip(_EDGE)) :] if len(last) > 1 else ""))
+        i = start
+    return out[::-1]
+
+
 def _scorer(model: np.ndarray):
     known: dict[str, str | None] = {}
+    runs: dict[tuple[str, ...], list[str]] = {}
+
+    def pieced(tokens: list[str]) -> list[str]:
+        out: list[str] = []
+        at, n = 0, len(tokens)
+        while at < n:
+            stop = at
+            while stop < n and (len(tokens[stop]) <= PIECE or len(tokens[stop].strip(_EDGE)) <= PIECE):
+                stop += 1
+            if stop - at < 2:
+                out.append(tokens[at])
+                at += 1
+                continue
+            run = tuple(tokens[at:stop])
+            if run not in runs:
+                if len(runs) > 200_000:
+                    runs.clear()
+                runs[run] = together(list(run), model)
+            out += runs[run]
+            at = stop
+        return out
 
     def look(token: str) -> str | None:
         if len(known) > 300_000:
@@ -303,17 +386,16 @@ def _scorer(model: np.ndarray):
             if not batch.num_rows:
                 continue
             gate = GATE.replace("'", "''")
-            shown = run_sql(pa.table({"x": batch.column(-1)}), f"SELECT y, regexp_matches(y, '(^| )(\\pL ){{2,}}\\pL( |$|[.,!?])') AS spaced, regexp_matches(y, '{gate}') AS near FROM (SELECT regexp_replace(lower({form_sql('x')}), '{_BLANKS}', ' ', 'g') AS y FROM batch)")
-            texts, spaced, nears = (shown.column(c).to_pylist() for c in ("y", "spaced", "near"))
+            shown = run_sql(pa.table({"x": batch.column(-1)}), f"SELECT y, regexp_matches(y, '{gate}') AS near FROM (SELECT regexp_replace(lower({form_sql('x')}), '{_BLANKS}', ' ', 'g') AS y FROM batch)")
+            texts, nears = shown.column("y").to_pylist(), shown.column("near").to_pylist()
             scores: list[float | None] = []
             kinds: list[str | None] = []
-            for text, apart, near in zip(texts, spaced, nears):
+            for text, near in zip(texts, nears):
                 if text is None:
                     scores.append(None)
                     kinds.append(None)
                     continue
-                now = _SPACED.sub(_together, text) if apart else text
-                tokens = now.split(" ")
+                tokens = pieced(text.split(" "))
                 for i, token in enumerate(tokens):
                     word = known[token] if token in known else look(token)
                     if word is not None:

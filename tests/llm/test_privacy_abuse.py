@@ -138,3 +138,26 @@ def test_gate_covers_every_rule(spark):
     for text in texts:
         if any(p.search(text) for *_, p, _ in abuse.RULES):
             assert duckdb.execute("SELECT regexp_matches(?, ?)", [text, abuse.GATE]).fetchone()[0], text
+
+
+@pytest.mark.parametrize("text, word", [("s h 1 t", "shit"), ("i d 1 o t", "idiot"), ("f * c k", "fuck"), ("i d d i o t", "idiot"), ("id iot", "idiot"), ("y o u i d i o t s", "idiots"), ("y o u i d i o t s " * 12, "idiots"), ("i d i o t!", "idiot!")])
+def test_words_taken_apart(spark, text, word):
+    assert word in abuse.together(text.split(), _english())
+
+
+@pytest.mark.parametrize("text", ["i will be at the", "as a set of", "it is in my id", "a b c d e f", "row 1 2 3 4", "we are at", "", "is hit"])
+def test_words_that_stay_apart(spark, text):
+    assert not set(abuse.together(text.split(), _english())) & set(abuse.WATCHED)
+
+
+def _english():
+    from collections import Counter
+
+    words = Counter(("the bag was lost and the crew was kind to us all the way home i will be at the gate in my row as a set of you are we is it id or on to no so he me by if up " * 100 + "idea ocean riot idle iota use sister quick often").split())
+    total = np.zeros((27, 27, 27))
+    for word, n in words.items():
+        codes = [26, 26, *(ord(c) - 97 for c in word), 26]
+        for a, b, c in zip(codes, codes[1:], codes[2:]):
+            total[a, b, c] += n
+    total += 0.05
+    return np.log(total / total.sum(axis=2, keepdims=True))
