@@ -278,7 +278,7 @@ def logreg_oof(spark, d):
     g, folded = _golden_folds(spark, d)
     counts = cut(tfidf.terms_of(g, doc="episode_id", terms=text.analyze(text.tokenize(F.col("customer_text")))))
     w = tfidf.transform(counts, tfidf.fit(counts, g, min_df=1, max_features=20_000))
-    return learning.out_of_fold(folded.select(F.col("episode_id").alias("doc"), "label", "fold"), search.vectors(w), epochs=30)
+    return learning.out_of_fold(folded.select(F.col("episode_id").alias("doc"), "label", "fold"), search.vectors(w))
 
 
 @query
@@ -382,7 +382,7 @@ def simple_system(spark, d):
     g, folded = _golden_folds(spark, d)
     own = cut(tfidf.terms_of(g, doc="episode_id", terms=text.analyze(text.tokenize(F.col("customer_text")))))
     w = tfidf.transform(own, tfidf.fit(own, g, min_df=1, max_features=20_000))
-    said = learning.out_of_fold(folded.select(F.col("episode_id").alias("doc"), "label", "fold"), search.vectors(w), epochs=30)
+    said = learning.out_of_fold(folded.select(F.col("episode_id").alias("doc"), "label", "fold"), search.vectors(w))
     past = rows.where("split = 'history'")
     vocabulary = cut(tfidf.fit(history, past, min_df=2, max_features=60_000))
     near = search.top_k(search.vectors(tfidf.transform(own, vocabulary)), search.vectors(tfidf.transform(history, vocabulary)), 1)

@@ -54,3 +54,17 @@ def test_sparse_kmeans_matches_dense(spark):
     got = {r["doc"]: r["cluster"] for r in labels.collect()}
     assert len({(got[i], int(x[i].argmax())) for i in range(80)}) == 4 and c.shape == (4, 4)
     assert L.sparse_kmeans(rows.where("false"), 4, 4)[0].count() == 0
+
+
+def test_registered_models_get_the_production_epochs(spark, monkeypatch):
+    from compare import DATA
+    from deskloom import queries
+
+    if not DATA.exists():
+        pytest.skip("no data")
+    seen = []
+    real = L.out_of_fold
+    monkeypatch.setattr(L, "out_of_fold", lambda *a, **o: seen.append(o.get("epochs", L.EPOCHS)) or real(*a, **o))
+    queries.logreg_oof(spark, str(DATA))
+    queries.simple_system(spark, str(DATA))
+    assert seen == [250, 250]
