@@ -392,6 +392,7 @@ def simple_system(spark, d):
 
 
 def _asked(spark, d):
+    """The golden messages and their requests without precedents."""
     g = table(spark, d, "golden").select("episode_id", "customer_text").where("customer_text IS NOT NULL")
     none = F.array().cast("array<struct<customer string, brand_reply string, score double>>")
     return g, systems.requests(g, systems.agent_prompt(F.col("customer_text"), none), key="episode_id", model="stub")
@@ -421,11 +422,28 @@ def cache_hits_misses(spark, d):
     return answers.groupBy("hit").agg(F.count("*").alias("n"), F.count_if(F.col("error").isNotNull()).alias("failed"))
 
 
+def _with_precedents(spark, d):
+    """The golden messages with ``precedents``, the best first, and ``top_score``, from all history."""
+    g = table(spark, d, "golden").select("episode_id", "customer_text").where("customer_text IS NOT NULL").distinct()
+    rows, history, _ = _split_terms(spark, d)
+    past = rows.where("split = 'history'")
+    vocabulary = cut(tfidf.fit(history, past, min_df=2, max_features=60_000))
+    own = tfidf.terms_of(g, doc="episode_id", terms=text.analyze(text.tokenize(F.col("customer_text"))))
+    replies = past.select(F.col("episode_id").alias("doc"), F.col("customer_text").alias("customer"), F.coalesce("brand_reply", F.lit("")).alias("brand_reply"))
+    signatures = replies.select("doc", text.signature(text.tokenize(F.col("brand_reply"))).alias("signature"))
+    near = cut(tfidf.precedents(cut(tfidf.transform(own, vocabulary)), cut(tfidf.transform(history, vocabulary)), signatures, systems.TOP_PRECEDENTS))
+    lists = near.join(replies, "doc").groupBy(F.col("q").alias("episode_id")).agg(F.array_sort(F.collect_list(F.struct("rank", "customer", "brand_reply", F.col("score").cast("double").alias("score")))).alias("found"))
+    none = F.array().cast("array<struct<customer string, brand_reply string, score double>>")
+    shown = F.transform("found", lambda p: F.struct(p["customer"].alias("customer"), p["brand_reply"].alias("brand_reply"), p["score"].alias("score")))
+    return g.join(lists, "episode_id", "left").select("episode_id", "customer_text", F.coalesce(shown, none).alias("precedents"), F.coalesce(F.get("found", F.lit(0))["score"], F.lit(0.0)).alias("top_score"))
+
+
 @query
 def agent_system(spark, d):
-    g, asked = _asked(spark, d)
+    g = cut(_with_precedents(spark, d))
+    asked = systems.requests(g, systems.agent_prompt(F.col("customer_text"), F.col("precedents")), key="episode_id", model="stub")
     answers = complete.complete(asked, complete.Stub(LABELS)).select("key", "json", "error")
-    return systems.agent(g.withColumn("top_score", F.lit(0.5)), asked, answers, rules=policy.DEFAULT_RULES)
+    return systems.agent(g, asked, answers, rules=policy.DEFAULT_RULES)
 
 
 @query

@@ -120,3 +120,22 @@ def test_files(spark, tmp_path):
     assert [r["a"] for r in io.read_jsonl(spark, str(bad), "a int", strict=False).collect()] == [1]
     io.write_json_report(str(tmp_path / "r" / "x.json"), {"n": 1})
     assert (tmp_path / "r" / "x.json").read_text() == '{\n  "n": 1\n}\n' and len(list((tmp_path / "r").iterdir())) == 1
+
+
+def test_agent_retrieves_precedents(spark):
+    import pytest
+    from compare import DATA
+
+    from deskloom import queries
+
+    if not DATA.exists():
+        pytest.skip("no data")
+    g = {r["episode_id"]: r for r in queries._with_precedents(spark, str(DATA)).collect()}
+    assert any(len(r["precedents"]) == 6 for r in g.values())
+    for r in g.values():
+        scores = [p["score"] for p in r["precedents"]]
+        assert scores == sorted(scores, reverse=True) and r["top_score"] == (scores[0] if scores else 0.0)
+    out = queries.agent_system(spark, str(DATA)).collect()
+    assert {r["episode_id"]: r["top_score"] for r in out} == {k: r["top_score"] for k, r in g.items()}
+    assert len({r["top_score"] for r in out}) > 1
+    assert all(("no_precedent" in r["fired_rules"]) == (r["top_score"] < 0.12) for r in out if r["error"] is None)
