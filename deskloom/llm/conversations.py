@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 
 from deskloom.runtime import cut
 
-NUMBER = r"^\s*([0-9]{1,18})(?:\.0*)?\s*$"
+NUMBER = r"^\s*([0-9]+)(?:\.0*)?\s*$"
 TIME_FORMAT = "MMM d HH:mm:ss Z yyyy"
 #: Conversations up to this many messages are numbered by a window, longer ones by ranges.
 WINDOW_TURNS = 50_000
@@ -29,21 +29,21 @@ def read_messages(raw: DataFrame) -> DataFrame:
     """
 
     def number(c: str):
-        return F.regexp_extract(F.coalesce(F.col(c), F.lit("")), NUMBER, 1)
+        return F.regexp_extract(F.coalesce(F.col(c), F.lit("")), NUMBER, 1).try_cast("long")
 
     own, parent = number("tweet_id"), number("in_response_to_tweet_id")
     left = F.regexp_replace(F.coalesce("text", F.lit("")), r"(?i)&(nbsp|#160|#xa0);", " ")
     left = F.regexp_replace(left, r"(?i)\b(?:https?://|www\.)\S*|@\w+|[\s\p{Z}\p{Cf}]", "")
-    rows = raw.where(own != "").select(
-        own.cast("long").alias("id"),
+    rows = raw.where(own.isNotNull()).select(
+        own.alias("id"),
         F.struct(
             F.coalesce("row_no", F.lit(-1)).alias("row_no"),
             F.col("author_id").alias("author"),
             F.coalesce(F.lower(F.trim("inbound")).isin("true", "t", "1", "yes", "y"), F.lit(False)).alias("inbound"),
             F.try_to_timestamp(F.regexp_replace(F.trim("created_at"), r"^\w{3},? +", ""), F.lit(TIME_FORMAT)).alias("ts"),
             (left != "").alias("says"),
-            F.when(parent != "", parent.cast("long")).alias("parent"),
-            ((parent == "") & (F.trim(F.coalesce("in_response_to_tweet_id", F.lit(""))) != "")).alias("broken"),
+            parent.alias("parent"),
+            (parent.isNull() & (F.trim(F.coalesce("in_response_to_tweet_id", F.lit(""))) != "")).alias("broken"),
         ).alias("row"),
     )
     return rows.groupBy("id").agg(F.max("row").alias("row")).select("id", "row.*")

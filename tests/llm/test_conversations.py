@@ -68,3 +68,10 @@ def test_threads_have_every_text(spark):
         (r,) = C.conversations(x).collect()
         assert [tuple(t) for t in r["thread"]] == [("customer", "one"), ("brand", "two"), ("customer", None), ("brand", "four"), ("customer", "five")]
         assert (r["brand"], r["customer"], r["customer_text"], r["brand_reply"], r["n_turns"], r["n_brand_turns"], r["n_customer_turns"]) == ("B", "c", "one", "two", 5, 2, 2)
+
+
+def test_ids_up_to_the_greatest_bigint(spark):
+    a, b, top = 1234567890123456789, 1234567890123456790, 2**63 - 1
+    rows = [msg(a, "c", "True", 0), msg(b, "B", "False", 1, parent=f"{a}.0"), msg("000" + str(top), "c", "True", 2, parent=b), msg(top + 1, "c", "True", 3), msg(5, "c", "True", 0, parent=top + 1), msg(6, "B", "False", 1, parent=5)]
+    rows = [(*r[:5], None if r[5] is None else str(r[5])) for r in rows]
+    assert run(spark, rows) == {f"B-{a}": [(a, "customer"), (b, "brand"), (top, "customer")]}
