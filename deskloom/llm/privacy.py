@@ -96,7 +96,12 @@ def evidence_sql(table: str) -> str:
     (uses of a word), "pair" (words of a name by source) or "total".
     """
     clear = "translate(text, chr(1) || chr(2), '  ')"
-    marked = f"regexp_replace({clear}, {_q(f'(?i){_BOUND}({_MAIL}|{_STREET}|{_OTHER}|{_NUMBER}|{_SPELLED})')}, '\\1' || chr(1) || '\\2' || chr(2), 'g')"
+    mark = lambda p: f"regexp_replace(x, {_q(f'(?i){_BOUND}({p})')}, '\\1' || chr(1) || '\\2' || chr(2), 'g')"
+    # one pattern at a time is far cheaper than their union, which only texts with several sorts need
+    sorts = {"mail": _MAIL, "street": _STREET, "place": _OTHER, "number": _NUMBER, "spelled": _SPELLED}
+    flags = ", ".join(f"regexp_matches(x, {_q(f'(?i){p}')}) AS {c}" for c, p in sorts.items())
+    alone = " ".join(f"WHEN NOT ({' OR '.join(o for o in sorts if o != c)}) THEN {mark(p)}" for c, p in sorts.items())
+    marked = f"CASE WHEN NOT ({' OR '.join(sorts)}) THEN NULL {alone} ELSE {mark('|'.join(sorts.values()))} END"
     near = ", ".join(f"regexp_matches(before, {_q(f'(?:^|[^{_L}])(?:{words}){tail}')}) AS {kind}" for kind, (words, tail) in ENTITIES.items())
     street, of_kind = r"\p{Nd}\pL?,? +(?:[nsew]\. +)?(\pL[^ ]*) ", rf" ({_KIND})\b"
     coarse = (
@@ -110,7 +115,7 @@ def evidence_sql(table: str) -> str:
     whole = _q(rf"(?i)^(?:{_MAIL}|{_STREET}|{_OTHER}|{_NUMBER}|{_SPELLED})$")
     mails = r"^(?:mailto:)?<?([a-z]{2,})[._-]([a-z]{2,})[^a-z]"
     parts = f"""
-ev_m AS (SELECT k, field, d, row_number() OVER () AS rid, string_split(x, chr(1)) AS ps FROM (SELECT k, field, d, {marked} AS x FROM {table} WHERE NOT ident) WHERE contains(x, chr(1))),
+ev_m AS (SELECT k, field, d, row_number() OVER () AS rid, string_split(x, chr(1)) AS ps FROM (SELECT k, field, d, {marked} AS x FROM (SELECT *, {flags} FROM (SELECT k, field, d, {clear} AS x FROM {table} WHERE NOT ident))) WHERE contains(x, chr(1))),
 ev_u AS (SELECT k, field, d, rid, unnest(ps) AS piece, generate_subscripts(ps, 1) AS i FROM ev_m),
 ev_w AS (SELECT *, sum(length(piece) - CASE WHEN i > 1 THEN 1 ELSE 0 END) OVER (PARTITION BY rid ORDER BY i ROWS UNBOUNDED PRECEDING) - length(piece) + CASE WHEN i > 1 THEN 1 ELSE 0 END AS start, lag(piece) OVER (PARTITION BY rid ORDER BY i) AS prev FROM ev_u),
 ev_c AS (SELECT k, field, d, false AS ident, start::INTEGER AS start, string_split(piece, chr(2))[1] AS span, string_split(piece, chr(2))[2] AS rest, right(lower(string_split(prev, chr(2))[-1]), 60) AS before FROM ev_w WHERE i > 1
