@@ -26,13 +26,14 @@ k AS (SELECT episode_id, y, CASE WHEN len(ps) >= 4 AND ps[1] = '' AND len(list_d
   THEN array_to_string(list_sort(list_transform(ps[2:], lambda p: lower(string_split(p, chr(2))[1]) || chr(2) || {_squeeze('string_split(p, chr(2))[2]')})), chr(3)) ELSE {_squeeze('y')} END AS key FROM sp)"""
 P3_GROUPS = f"WITH {_KEYS} SELECT episode_id, min(episode_id) OVER (PARTITION BY key) AS first_id, count(*) OVER (PARTITION BY key) AS copies FROM k WHERE key <> ''"
 P3_FOUND = f"SELECT first_id, episode_id FROM ({P3_GROUPS}) WHERE copies > 1 AND episode_id <> first_id"
-P7_FOUND = f"""WITH {_KEYS}, d AS (SELECT DISTINCT k.episode_id, key, {bare_sql('y')} AS bare, CASE WHEN purpose = 'training' THEN 'a' ELSE 'b' END AS side FROM k JOIN episodes USING (episode_id) JOIN splits ON episodes.created_at >= starts_at AND episodes.created_at < ends_at WHERE key <> ''),
+_P7 = f"""{_KEYS}, d AS (SELECT DISTINCT k.episode_id, key, {bare_sql('y')} AS bare, CASE WHEN purpose = 'training' THEN 'a' ELSE 'b' END AS side FROM k JOIN episodes USING (episode_id) JOIN splits ON episodes.created_at >= starts_at AND episodes.created_at < ends_at WHERE key <> ''),
 w AS (SELECT episode_id, side, word, row_number() OVER (PARTITION BY episode_id, side, word) AS nth, count(*) OVER (PARTITION BY episode_id, side) AS n FROM (SELECT episode_id, side, unnest(string_split(bare, ' ')) AS word FROM d)),
 o AS (SELECT a.episode_id AS a, b.episode_id AS b FROM w a JOIN w b USING (word, nth) WHERE a.side = 'a' AND b.side = 'b' AND least(a.n, b.n) >= 0.9 * greatest(a.n, b.n) GROUP BY 1, 2 HAVING count(*) >= 0.9 * greatest(any_value(a.n), any_value(b.n))),
-p AS (SELECT * FROM o UNION SELECT x.episode_id, y.episode_id FROM d x JOIN d y USING (key) WHERE x.side = 'a' AND y.side = 'b')
-SELECT DISTINCT least(a, b) AS episode_a, greatest(a, b) AS episode_b FROM p WHERE a <> b"""
-
-
+same AS (SELECT DISTINCT x.episode_id AS a, y.episode_id AS b FROM d x JOIN d y USING (key) WHERE x.side = 'a' AND y.side = 'b'),
+p AS (SELECT * FROM o UNION SELECT * FROM same)"""
+P7_FOUND = f"WITH {_P7} SELECT DISTINCT least(a, b) AS episode_a, greatest(a, b) AS episode_b FROM p WHERE a <> b"
+P7_REPORT = f"""WITH {_P7}, ev AS (SELECT DISTINCT episode_id AS b, split_name, brand FROM episodes JOIN splits ON created_at >= starts_at AND created_at < ends_at WHERE purpose <> 'training' AND customer_text IS NOT NULL)
+SELECT split_name, brand, count(*) AS pairs, count(same.a) AS same_pairs, count(DISTINCT b) AS evaluation_records FROM p JOIN ev USING (b) LEFT JOIN same USING (a, b) WHERE a <> b GROUP BY ALL"""
 
 def _p4() -> str:
     """Rows ``r`` of all values in one form, and ``gone``, the spans that go, by the same terms over plain joins."""
@@ -90,4 +91,4 @@ a AS (SELECT v.k, v.field, v.text, string_agg(substr(v.text, (upto + 1)::BIGINT,
 SELECT k, field, CASE WHEN found = 0 THEN text ELSE head || substr(text, (stop + 1)::BIGINT) END AS text, found FROM a
 UNION ALL SELECT DISTINCT k, field, raw, 0 FROM u WHERE ident AND k IS NOT NULL AND regexp_full_match(raw, '[0-9]+')"""
 
-ORACLES = {"p1_found": P1_FOUND, "p1_forms": P1_FORMS, "p2_found": FOUND_SQL, "p3_found": P3_FOUND, "p3_groups": P3_GROUPS, "p4_found": P4_FOUND, "p4_redacted": P4_REDACTED, "p7_found": P7_FOUND}
+ORACLES = {"p1_found": P1_FOUND, "p1_forms": P1_FORMS, "p2_found": FOUND_SQL, "p3_found": P3_FOUND, "p3_groups": P3_GROUPS, "p4_found": P4_FOUND, "p4_redacted": P4_REDACTED, "p7_found": P7_FOUND, "p7_report": P7_REPORT}

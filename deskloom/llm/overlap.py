@@ -1,17 +1,23 @@
 """Problem 7: the same or nearly the same records in training and evaluation periods.
 
-Fingerprint and radius. A text is its multiset of words; each (word, occurrence)
-is a 64-bit token, and the text's fingerprint has bit ``token mod 64`` flipped once
-per token. Texts that share at least the share ``s`` of the words of the longer
-differ in at most ``2 (1 - s) max(n, m)`` tokens, and a token flips one bit, so
-their fingerprints lie within that Hamming radius: the filter loses nothing.
-
-Code blocks. Plain segments of the fingerprint would need radius + 1 blocks of a
-few bits, which nearly every text shares. The blocks here are permuted ones:
-each text's tokens are put in one global order, rare first, and every pair among
-its first ``n - ceil(s n) + 2`` tokens is a block. Two texts within the share agree
-in at least two of those tokens, so they agree in a block, and pairs of rare
-tokens stay selective as the corpus grows.
+Fingerprint. A text is its multiset of words; each (word, occurrence) is a 64-bit
+token. The fingerprint has segments of 64 bits, and each token flips the bits of its
+hash in the one segment that its hash selects. Texts that share at least the share
+``s`` of the words of the longer differ in at most ``r = 2 floor((1 - s) n)`` tokens
+for n words, which is the Hamming radius in segments. Six segments make a group, and
+there is one group more than r holds fives: so in one group at most four segments
+differ, and two agree. The number of segments grows with the length of texts, about
+a quarter of their words; lengths are put in bands so that both texts are cut into
+the same segments, and the evaluation side is cut for each band that its partners
+may have.
+
+Code blocks. A segment is a block of its own if its words are rare enough: the
+corpus frequencies of its tokens tell how many texts would share it by chance.
+Segments that hold only common words, or nothing, are blocks in pairs of a group.
+Two texts within the radius agree in two segments of a group, so in a rare one or in
+a pair of common ones: nothing is lost, and no block is one that most texts share. A
+second filter needs no join: one more word of 64 bits flips one bit per token, and
+codes farther apart than the radius leave. Whatever remains is checked on the words.
 """
 
 from __future__ import annotations
@@ -28,9 +34,26 @@ from deskloom.llm.formatting import _encode
 from deskloom.llm.lookalike import bare_sql, form_sql, run_sql
 from deskloom.runtime import cut
 
-#: Entries of the word-frequency sketch that orders tokens; its size doesn't depend on the data.
+#: Entries of the word-frequency sketch; its size doesn't depend on the data.
 SKETCH_BITS = 18
 SHARE = 0.9
+#: Segments of a group, and texts that may share a block of one segment by chance.
+GROUP, CHANCE = 6, 16.0
+
+
+def band_edges(share: float, longest: int) -> np.ndarray:
+    """Least lengths of the bands: texts within ``share`` of each other are in the same or in neighbouring bands."""
+    edges = [1]
+    while edges[-1] <= longest:
+        edges.append(max(edges[-1] + 1, -int(-edges[-1] / share // 1)))
+    return np.array([*edges, max(edges[-1] + 1, -int(-edges[-1] / share // 1)), 1 << 62])
+
+
+def segments_of(band: np.ndarray, edges: np.ndarray, share: float) -> np.ndarray:
+    """Segments of a band, none where texts within ``share`` can't differ."""
+    longest = edges[np.minimum(band + 2, len(edges) - 2)] - 1
+    radius = 2 * np.floor((1 - share) * longest + 1e-9).astype(np.int64)
+    return np.where(radius > 0, GROUP * (radius // (GROUP - 1) + 1), 0)
 
 
 def tokens_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -94,40 +117,74 @@ def _sketch(tokens: DataFrame) -> np.ndarray:
     return out
 
 
-def _blocks(rows: DataFrame, often: np.ndarray, share: float) -> DataFrame:
-    """``block, code, n, print, side``: pairs of each text's rarest tokens, once per wording and side of a batch."""
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """Tokens with all bits mixed, so that segment and bits don't depend on each other."""
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return x ^ (x >> np.uint64(29))
+
+
+def block_codes(flat: np.ndarray, n: np.ndarray, band: np.ndarray, rarity: np.ndarray, edges: np.ndarray, share: float, texts: int) -> tuple[np.ndarray, np.ndarray]:
+    """``(code, text)`` of all blocks of texts with ``n`` tokens each in ``flat``, cut as texts of ``band``.
+
+    ``rarity`` is minus the binary logarithm of each token's share of texts, in whole
+    1/1024: a sum that doesn't depend on the order of tokens.
+    """
+    segments = segments_of(band, edges, share)
+    start = np.concatenate([[0], np.cumsum(segments)])
+    row = np.repeat(np.arange(len(n)), n)
+    some = segments[row] > 0
+    flat, rarity, row = flat[some], rarity[some], row[some]
+    mixed = _mixed(flat)
+    at = start[row] + ((mixed >> np.uint64(40)) % segments[row].astype(np.uint64)).astype(np.int64)
+    order = np.argsort(at, kind="stable")
+    at, mixed, rare = at[order], mixed[order], rarity[order]
+    bits, weight = np.zeros(start[-1], np.uint64), np.zeros(start[-1], np.int64)
+    if len(at):
+        first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+        bits[at[first]] = np.bitwise_xor.reduceat(mixed * np.uint64(0xC2B2AE3D27D4EB4F), first)
+        weight[at[first]] = np.add.reduceat(rare, first)
+    owner = np.repeat(np.arange(len(n)), segments)
+    place = np.arange(start[-1]) - start[owner]
+    code = _mixed(bits ^ _mixed((band[owner].astype(np.uint64) << np.uint64(32)) + place.astype(np.uint64) + np.uint64(1)))
+    alone = weight >= 1024 * np.log2(max(texts / CHANCE, 1.0))
+    common = np.flatnonzero(~alone)
+    # pairs of common segments of one group; every text has whole groups
+    of = common // GROUP
+    many = np.bincount(of, minlength=start[-1] // GROUP)
+    left = np.repeat(np.arange(len(common)), (np.cumsum(many)[of] - 1 - np.arange(len(common))))
+    run = np.arange(len(left)) - np.repeat(np.searchsorted(left, np.arange(len(common))), np.bincount(left, minlength=len(common)))
+    right = left + 1 + run
+    pairs = _mixed(code[common[left]]) ^ code[common[right]]
+    return np.concatenate([code[alone], pairs]).view(np.int64), np.concatenate([owner[alone], owner[common[left]]])
+
+
+def _blocks(rows: DataFrame, often: np.ndarray, share: float, texts: int, *, wide: bool) -> DataFrame:
+    """``block, code, n, print`` of every wording, once for each batch; ``wide`` cuts it for all bands of its partners."""
+    rarity = (1024 * np.log2(max(texts, 1) / np.clip(often, 1, max(texts, 1)))).astype(np.int64)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            seen, keep = set(), []
-            for i, x in enumerate(zip(batch.column("code").to_pylist(), batch.column("side").to_pylist())):
-                if x not in seen:
-                    seen.add(x)
-                    keep.append(i)
-            batch = batch.take(pa.array(keep))
-            lists = batch.column("tokens")
-            n = np.asarray(batch.column("n"))
-            flat = pa.compute.list_flatten(lists).to_numpy(zero_copy_only=False).view(np.uint64)
-            row = np.repeat(np.arange(len(n)), n)
-            order = np.lexsort((flat, often[(flat >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], row))
-            flat = flat[order]
-            first = np.concatenate([[0], np.cumsum(n)[:-1]])
-            take = np.minimum(n, n - np.ceil(share * n - 1e-9).astype(np.int64) + 2)
-            block, at = [], []
-            for i in range(int(take.max())):
-                for j in range(i + 1, int(take.max())):
-                    some = np.flatnonzero(take > j)
-                    a, b = flat[first[some] + i], flat[first[some] + j]
-                    block.append((np.minimum(a, b) * np.uint64(0xC2B2AE3D27D4EB4F)) ^ np.maximum(a, b))
-                    at.append(some)
-            if not at:
-                continue
-            at_all = pa.array(np.concatenate(at))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(block).view(np.int64)), *(batch.column(c).take(at_all) for c in ("code", "n", "print", "side"))], ["block", "code", "n", "print", "side"])
-
-    return rows.select("code", "n", "print", "side", "tokens").mapInArrow(each, "block long, code long, n int, print long, side string")
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 2000):
+                batch = whole.slice(lo, 2000)
+                _, keep = np.unique(batch.column("code").to_numpy(), return_index=True)
+                batch = batch.take(pa.array(keep))
+                n = np.asarray(batch.column("n")).astype(np.int64)
+                flat = pa.compute.list_flatten(batch.column("tokens")).to_numpy(zero_copy_only=False).view(np.uint64)
+                rare = rarity[(flat >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+                edges = band_edges(share, int(n.max()) * 2)
+                least = np.ceil(share * n - 1e-9).astype(np.int64) if wide else n
+                most = np.floor(n / share + 1e-9).astype(np.int64) if wide else n
+                low, high = (np.searchsorted(edges, x, side="right") - 1 for x in (least, most))
+                for step in range(int((high - low).max()) + 1):
+                    some = np.flatnonzero(low + step <= high)
+                    mask = np.zeros(len(n), bool)
+                    mask[some] = True
+                    mine = np.repeat(mask, n)
+                    block, of = block_codes(flat[mine], n[some], low[some] + step, rare[mine], edges, share, texts)
+                    at = pa.array(some[of])
+                    yield pa.RecordBatch.from_arrays([pa.array(block), *(batch.column(c).take(at) for c in ("code", "n", "print"))], ["block", "code", "n", "print"])
+
+    return rows.select("code", "n", "print", "tokens").mapInArrow(each, "block long, code long, n int, print long")
 
 
 def _near(share: float) -> Column:
@@ -142,12 +199,13 @@ def cross_split_pairs(df: DataFrame, *, key: str, text: str, side: str, share: f
     no pair, and a key is never paired with itself. ``same`` is true for records
     that differ at most in formatting. Candidates are found between distinct
     wordings, so copies meet only in the result; blocks carry 64-bit codes of
-    wordings, and whatever shares a code is checked.
+    wordings, and whatever shares a code is checked. Side ``b`` has up to three
+    times the blocks of ``a`` and should be the smaller one.
     """
     picked = df.select(F.col(key).alias("k"), F.col(text).alias("text"), F.col(side).alias("side")).where("k IS NOT NULL AND text IS NOT NULL AND side IN ('a', 'b')")
     rows = cut(picked.mapInArrow(_tokenise, "k string, side string, record binary, wording binary, code long, n int, print long, tokens array<long>").where("record IS NOT NULL"))
-    blocks = _blocks(rows, _sketch(rows), share)
-    a, b = blocks.where("side = 'a'").alias("a"), blocks.where("side = 'b'").alias("b")
+    often, texts = _sketch(rows), rows.count()
+    a, b = (_blocks(rows.where(f"side = '{x}'"), often, share, texts, wide=x == "b").alias(x) for x in "ab")
     near = a.join(b, (F.col("a.block") == F.col("b.block")) & _near(share)).select(F.col("a.code").alias("ca"), F.col("b.code").alias("cb")).where("ca <> cb").distinct()
     near = cut(near)
     some = near.select(F.col("ca").alias("code")).union(near.select("cb")).distinct()

@@ -2,6 +2,7 @@ import itertools
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -51,10 +52,10 @@ def test_overlap_against_brute_force(spark, share):
     vocabulary = [f"w{i}" for i in range(40)]
     texts = []
     for _ in range(60):
-        base = random.choices(vocabulary, k=random.choice([1, 2, 3, 8, 9, 10, 11, 20, 31]))
+        base = random.choices(vocabulary, k=random.choice([1, 2, 3, 8, 9, 10, 11, 20, 31, 75, 160]))
         for _ in range(3):
             t = list(base)
-            for _ in range(random.randint(0, 4)):
+            for _ in range(random.randint(0, max(4, len(t) // 7))):
                 i = random.randrange(len(t))
                 random.choice([lambda: t.__setitem__(i, random.choice(vocabulary)), lambda: t.insert(i, random.choice(vocabulary)), lambda: t.pop(i) if len(t) > 1 else None, lambda: random.shuffle(t)])()
             texts.append(" ".join(t))
@@ -69,6 +70,26 @@ def test_overlap_against_brute_force(spark, share):
     assert len(want) > 30 and set(near(spark, rows, share=share)) == want
 
 
+def test_blocks_grow_with_length_alone():
+    """Cut texts agree in a block whenever they are within the share, and have about as many blocks as a fixed part of their words."""
+    draw = np.random.default_rng(3)
+    vocabulary = draw.integers(0, 1 << 63, 3000).astype(np.uint64)
+    bits = 1024 * np.minimum(np.log2(np.arange(1, 3001) + 1), 11).astype(np.int64)
+    by_token = dict(zip(vocabulary.tolist(), bits.tolist()))
+    edges = overlap.band_edges(0.9, 4000)
+
+    def blocks(tokens, band):
+        return set(overlap.block_codes(tokens, np.array([len(tokens)]), np.array([band]), np.array([by_token[t] for t in tokens.tolist()]), edges, 0.9, 100_000)[0].tolist())
+
+    for size in (10, 25, 90, 400, 1500) * 4:
+        a = draw.choice(vocabulary, size, replace=False)
+        change = int(0.1 * size)
+        b = np.concatenate([a[change:], draw.choice(vocabulary[~np.isin(vocabulary, a)], change, replace=False)])
+        band = int(np.searchsorted(edges, size, side="right")) - 1
+        one, two = blocks(np.sort(a), band), blocks(np.sort(b), band)
+        assert one & two and len(one) <= 0.9 * size + 16
+
+
 def test_periods(spark):
     e = spark.createDataFrame([("a", "2024-01-01"), ("b", "2024-02-01"), ("c", None), ("d", "1970-01-01")], "id string, t string").select("id", F.to_timestamp("t").alias("created_at"))
     s = spark.createDataFrame([("tr", "training", "2024-01-01", "2024-02-01"), ("ev", "evaluation", "2024-02-01", "2024-03-01")], "split_name string, purpose string, x string, y string").select("split_name", "purpose", F.to_timestamp("x").alias("starts_at"), F.to_timestamp("y").alias("ends_at"))
