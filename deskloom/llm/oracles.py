@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from deskloom.llm import privacy
-from deskloom.llm.conversations import FOUND_SQL
+from deskloom.llm.conversations import FOUND_SQL, SESSIONS_SQL, THREADS_SQL
 from deskloom.llm.lookalike import bare_sql, form_sql, own_script_sql
 
 FIELDS = ("customer_text", "brand_reply")
@@ -91,4 +91,4 @@ a AS (SELECT v.k, v.field, v.text, string_agg(substr(v.text, (upto + 1)::BIGINT,
 SELECT k, field, CASE WHEN found = 0 THEN text ELSE head || substr(text, (stop + 1)::BIGINT) END AS text, found FROM a
 UNION ALL SELECT DISTINCT k, field, raw, 0 FROM u WHERE ident AND k IS NOT NULL AND regexp_full_match(raw, '[0-9]+')"""
 
-ORACLES = {"p1_found": P1_FOUND, "p1_forms": P1_FORMS, "p2_found": FOUND_SQL, "p3_found": P3_FOUND, "p3_groups": P3_GROUPS, "p4_found": P4_FOUND, "p4_redacted": P4_REDACTED, "p7_found": P7_FOUND, "p7_report": P7_REPORT}
+ORACLES = {"p1_found": P1_FOUND, "p1_forms": P1_FORMS, "p2_found": FOUND_SQL, "p2_threads": THREADS_SQL, "p2_sessions": SESSIONS_SQL, "p3_found": P3_FOUND, "p3_groups": P3_GROUPS, "p4_found": P4_FOUND, "p4_redacted": P4_REDACTED, "p7_found": P7_FOUND, "p7_report": P7_REPORT}

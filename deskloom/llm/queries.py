@@ -30,6 +30,15 @@ def p2_conversations(spark: SparkSession, d: str) -> DataFrame:
     return conversations.conversations(table(spark, d, "messages"))
 
 
+def p2_threads(spark: SparkSession, d: str) -> DataFrame:
+    return conversations.threads(table(spark, d, "messages"))
+
+
+def p2_sessions(spark: SparkSession, d: str) -> DataFrame:
+    """Not the required result: what participants and gaps give."""
+    return conversations.sessions(table(spark, d, "messages"))
+
+
 def p3_groups(spark: SparkSession, d: str) -> DataFrame:
     return formatting.formatting_groups(table(spark, d, "episodes"), key="episode_id", text="customer_text")
 
@@ -130,5 +139,5 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_forms, p2_found, p2_conversations, p3_found, p3_groups, p4_found, p4_redacted, p5_found, p5_scores, p5_rates, p6_found, p6_items, p6_raters, p7_found, p7_report, p8_containers, p8_fill, p9_mix, p9_shares, p10_found, p10_scores, p10_rates)
+    for f in (p1_found, p1_forms, p2_found, p2_conversations, p2_threads, p2_sessions, p3_found, p3_groups, p4_found, p4_redacted, p5_found, p5_scores, p5_rates, p6_found, p6_items, p6_raters, p7_found, p7_report, p8_containers, p8_fill, p9_mix, p9_shares, p10_found, p10_scores, p10_rates)
 }
