@@ -60,7 +60,10 @@ def p4_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_scores(spark: SparkSession, d: str) -> DataFrame:
-    return abuse.abuse_scores(table(spark, d, "episodes").dropDuplicates(["episode_id"]), text="customer_text", keep=["episode_id", "brand"])
+    """One row per episode: the highest score of the texts it was delivered with."""
+    scores = abuse.abuse_scores(table(spark, d, "episodes"), text="customer_text", keep=["episode_id", "brand"])
+    most = F.max(F.struct("abuse_score", "abuse_kind"))
+    return scores.groupBy("episode_id").agg(F.min("brand").alias("brand"), most.alias("s")).select("episode_id", "brand", "s.abuse_score", "s.abuse_kind")
 
 
 def p5_rates(spark: SparkSession, d: str) -> DataFrame:
@@ -68,8 +71,7 @@ def p5_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    scores = abuse.abuse_scores(table(spark, d, "episodes"), text="customer_text", keep=["episode_id"])
-    return scores.where(F.col("abuse_score") >= abuse.FLAG_AT).select("episode_id").distinct()
+    return p5_scores(spark, d).where(F.col("abuse_score") >= abuse.FLAG_AT).where("episode_id IS NOT NULL").select("episode_id")
 
 
 def _consensus(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:

@@ -91,3 +91,27 @@ def _english():
             total[a, b, c] += n
     total += 0.05
     return np.log(total / total.sum(axis=2, keepdims=True))
+
+
+#: Written for this test, none from any data.
+ABUSIVE = [
+    "you absolute waste of air, you moron", "Your pilot is a filthy pig and so are you", "drop dead, all of you", "I'll slap your manager when I get there", "what a useless bunch of wankers", "shut your mouth you stupid cow",
+    "I hope your whole team rots", "you deserve to die for this", "I know where you live", "watch your back at the airport", "f*** you and your company", "fuuuck y0u", "k i l l y o u r s e l f", "you're nothing but trash",
+    "those immigrants are vermin", "deport them all", "go back to your own country", "these foreigners are cockroaches", "send them home where they belong, savages like these are everywhere", "people like them are subhuman", "they belong in a cage", "go back to where you came from",
+    "show me your ass", "send nudes and I will stop complaining", "I want to see her naked", "your stewardess got me a boner", "I would bang that attendant", "suck me", "come sit on my lap, sweetie", "nice tits on your agent, let me touch her boobs", "sexy legs on that hostess", "let me lick your pussy",
+    "eres un gilipollas", "bande de connards, vous êtes des connards", "du Arschloch", "what a d1ckhead", "total b@st@rds", "you r3t4rd", "c.u.n.t.s, the lot of you", "such an a s s h o l e",
+]
+CLEAN = [
+    "The crew was kind and the pilot hilarious", "My phone died and your app is dead slow", "It was a killer deal, thanks", "the kids were dying to see the cockpit", "the dog died during the flight, I am heartbroken", "This damn app is shit", "what a stupid, stupid rule", "The seat screw was loose and the lap belt stuck", "I burned my hand on the coffee",
+    "A man shouted that I am an idiot and your staff did nothing", "someone called the agent a bitch, please act", "I report racist remarks by another passenger", "My doctor found a lump in my breast, I need to rebook", "We breed rats for the laboratory, can they fly", "Are pets like monkeys allowed", "the pig farm conference is in May", "rat poison was in the cargo", "a bunch of loose cables",
+    "I want to see the receipt you promised", "send me the boarding pass", "show me where to pay", "sit on my row please", "hope you can help me", "I hope you all have a great day", "I will kill some time at the lounge", "I would love to fly with you again", "go back to the old menu please", "keep those bags away from the door", "they belong in the hold", "my cat does not deserve such stress, thank you for the care",
+    "the movie was Naked Lunch", "the body of the text was cut", "hot coffee spilled on my lap", "let me see your manager", "your people are the best", "ass. manager at gate 4 was helpful", "Dick Miller is my name", "Moby-Dick was left on board", "the clown show for kids was lovely", "Animals were kept off the cabin",
+]
+
+
+def test_unseen_sentences():
+    """Recall and precision outside the data: what these numbers are stands in the README."""
+    bad, good = _score(ABUSIVE), _score(CLEAN)
+    missed = [t for t, s in zip(ABUSIVE, bad) if s < abuse.FLAG_AT]
+    wrong = [t for t, s in zip(CLEAN, good) if s >= abuse.FLAG_AT]
+    assert len(missed) <= 4 and len(wrong) <= 2, (missed, wrong)
