@@ -28,8 +28,10 @@ from pyspark.sql import functions as F
 
 from deskloom.runtime import cut
 
-#: The intents of the taxonomy, a fixed list.
-INTENTS = "baggage booking_change contact_support digital_issue flight_disruption general_inquiry loyalty_program other praise refund_compensation service_complaint".split()
+# --- fixed values -----------------------------------------------------------
+#: The intents of the taxonomy, in alphabetical order, since ties go to the first.
+INTENTS = sorted("flight_disruption baggage booking_change refund_compensation loyalty_program digital_issue service_complaint contact_support general_inquiry praise other".split())
+# ---------------------------------------------------------------------------
 #: Chance of a right label that each type starts from, the weight of that start, and of the type in a rater's matrix.
 TYPES, TYPE_WEIGHT, SHRINK = (0.95, 0.8, 0.6, 0.3), 30.0, 12.0
 ROUNDS, SETTLED = 12, 1e-3
@@ -82,33 +84,49 @@ def _statements(labels: DataFrame) -> DataFrame:
 
 
 def _raters(types: np.ndarray, weights: np.ndarray, size: int):
-    """For batches of raters with counts: their types, expected log confusion and matrix."""
+    """For batches of raters with what they said: counts by true class and label, types, expected log confusion and matrix."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            n = np.array(batch.column("counts").to_pylist(), float).reshape(-1, 1, size, size)
+            said = batch.column("said")
+            flat = pa.compute.list_flatten(said)
+            owner = pa.compute.list_parent_indices(said).to_numpy(zero_copy_only=False)
+            counts = np.zeros((batch.num_rows, size, size))
+            counts[owner, :, flat.field("code").to_numpy(zero_copy_only=False)] = pa.compute.list_flatten(flat.field("qs")).to_numpy(zero_copy_only=False).reshape(-1, size)
+            n = counts[:, None]
             prior = SHRINK * types[None]
             fit = (_lgamma(prior.sum(3)) - _lgamma((prior + n).sum(3)) + (_lgamma(prior + n) - _lgamma(prior)).sum(3)).sum(2) + np.log(weights)[None]
             q = np.exp(fit - fit.max(1, keepdims=True))
             q /= q.sum(1, keepdims=True)
-            own = n[:, 0] + np.einsum("rm,mkl->rkl", q, SHRINK * types)
+            own = counts + np.einsum("rm,mkl->rkl", q, SHRINK * types)
             log = _digamma(own) - _digamma(own.sum(2, keepdims=True))
             mean = own / own.sum(2, keepdims=True)
             rows = len(n)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("rater"), batch.column("labels"), batch.column("counts"), *(pa.array(list(x.reshape(rows, -1)), pa.list_(pa.float64())) for x in (q, log, mean))], ["rater", "labels", "counts", "types", "logs", "matrix"]
+                [batch.column("rater"), batch.column("labels"), *(pa.array(list(x.reshape(rows, -1)), pa.list_(pa.float64())) for x in (counts, q, log, mean))], ["rater", "labels", "counts", "types", "logs", "matrix"]
             )
 
     return each
 
 
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per task: counts summed by type of rater, sizes of types and all counts, in one array of fixed size."""
+    total = None
+    for batch in batches:
+        if batch.num_rows:
+            counts, q = (pa.compute.list_flatten(batch.column(c)).to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) for c in ("counts", "types"))
+            part = np.concatenate([(q.T @ counts).ravel(), q.sum(0), counts.sum(0)])
+            total = part if total is None else total + part
+    if total is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.float64()))], ["part"])
+
+
 def _counts(weighted: DataFrame, size: int) -> DataFrame:
-    """``rater, labels, counts``: expected uses of label l for true class k, as one array by k then l."""
-    by_label = weighted.groupBy("rater", "code").agg(F.count("*").alias("n"), *(F.expr(f"sum(q[{k}])").alias(f"q{k}") for k in range(size)))
-    cells = ", ".join(f"coalesce(sum(CASE WHEN code = {code} THEN q{k} END), 0D)" for k in range(size) for code in range(size))
-    return by_label.groupBy("rater").agg(F.sum("n").alias("labels"), F.expr(f"array({cells})").alias("counts"))
+    """``rater, labels, said``: per label the rater used, the expected number of uses for each true class."""
+    by_label = weighted.groupBy("rater", "code").agg(F.count("*").alias("n"), *(F.sum(F.col("q")[k]).alias(f"q{k}") for k in range(size)))
+    return by_label.groupBy("rater").agg(F.sum("n").alias("labels"), F.collect_list(F.struct("code", F.array(*(f"q{k}" for k in range(size))).alias("qs"))).alias("said"))
 
 
 def consensus(labels: DataFrame, *, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
@@ -117,7 +135,9 @@ def consensus(labels: DataFrame, *, rounds: int = ROUNDS) -> tuple[DataFrame, Da
     items: ``item, intent, confidence, labels, agreement, pair_agreement`` with
     the share of labels that agree with the consensus and of agreeing pairs of
     labels (null for a single label). raters: ``rater, labels, reliability,
-    type, type_share``. Ties go to the first intent in alphabetical order.
+    type, type_share, last_move``, the last being how far the types' matrices
+    moved in the last round (all rounds were needed where it is ``SETTLED`` or
+    more). Ties go to the first intent in alphabetical order.
     """
     size = len(INTENTS)
     codes = labels.withColumn("code", F.array_position(F.array(*map(F.lit, INTENTS)), F.col("label")).cast("int") - 1)
@@ -127,27 +147,28 @@ def consensus(labels: DataFrame, *, rounds: int = ROUNDS) -> tuple[DataFrame, Da
     posterior = votes.select("item", F.array(*(F.col(f"v{k}") / F.col("n") for k in range(size))).alias("q"))
     types = np.stack([np.full((size, size), (1 - p) / (size - 1)) + np.eye(size) * (p - (1 - p) / (size - 1)) for p in TYPES])
     start, weights = types.copy(), np.full(len(TYPES), 1 / len(TYPES))
-    cells = [k * size + c for k in range(size) for c in range(size)]
-    sums_sql = "array(" + ", ".join(f"sum(types[{m}] * counts[{c}])" for m in range(len(TYPES)) for c in cells) + ")"
-    sizes_sql = "array(" + ", ".join(f"sum(types[{m}])" for m in range(len(TYPES))) + ")"
-    all_sql = "array(" + ", ".join(f"sum(counts[{c}])" for c in cells) + ")"
     kind = "rater string, labels long, counts array<double>, types array<double>, logs array<double>, matrix array<double>"
+    moved = 0.0
     for _ in range(rounds):
         weighted = stated.join(posterior, "item")
         raters = cut(_counts(weighted, size).mapInArrow(_raters(types, weights, size), kind))
-        # sums over raters, one row of fixed size
-        row = raters.agg(F.expr(sums_sql).alias("sums"), F.expr(sizes_sql).alias("sizes"), F.expr(all_sql).alias("all")).first()
-        if row is None or row["sums"][0] is None:
+        # sums over raters, as many numbers as the types' matrices have
+        sums_ = raters.select("counts", "types").mapInArrow(_sums, "part array<double>").select(F.posexplode("part").alias("at", "x")).groupBy("at").agg(F.sum("x").alias("x")).toArrow()
+        if not sums_.num_rows:
             break
-        sums = np.array(row["sums"]).reshape(len(TYPES), size, size)
+        flat = np.zeros(sums_.num_rows)
+        flat[sums_.column("at").to_numpy()] = sums_.column("x").to_numpy()
+        cells = len(TYPES) * size * size
+        sums, sizes, every = flat[:cells].reshape(len(TYPES), size, size), flat[cells : cells + len(TYPES)], flat[cells + len(TYPES) :]
         new = TYPE_WEIGHT * start + sums
         new /= new.sum(2, keepdims=True)
-        moved = np.abs(new - types).max()
-        types, weights = new, (np.array(row["sizes"]) + 1) / (sum(row["sizes"]) + len(TYPES))
-        shares = np.array(row["all"]).reshape(size, size).sum(1) + 1
+        moved = float(np.abs(new - types).max())
+        types, weights = new, (sizes + 1) / (sizes.sum() + len(TYPES))
+        shares = every.reshape(size, size).sum(1) + 1
         logs = np.log(shares / shares.sum())
-        told = stated.join(raters.select("rater", "logs"), "rater")
-        scores = told.groupBy("item").agg(*(F.expr(f"sum(logs[{k * size} + code])").alias(f"s{k}") for k in range(size)))
+        # a label needs one row of its rater's matrix only
+        spread = raters.select("rater", F.posexplode(F.array(*(F.array(*(F.col("logs")[k * size + c] for k in range(size))) for c in range(size)))).alias("code", "told"))
+        scores = stated.join(spread, ["rater", "code"]).groupBy("item").agg(*(F.sum(F.col("told")[k]).alias(f"s{k}") for k in range(size)))
         raw = [F.col(f"s{k}") + float(logs[k]) for k in range(size)]
         top = F.greatest(*raw)
         powers = F.array(*(F.exp(x - top) for x in raw))
@@ -170,4 +191,4 @@ def consensus(labels: DataFrame, *, rounds: int = ROUNDS) -> tuple[DataFrame, Da
     seen = [sum((F.col("counts")[k * size + c] for c in range(size)), F.lit(0.0)) for k in range(size)]
     right = sum((seen[k] * F.col("matrix")[k * size + k] for k in range(size)), F.lit(0.0)) / sum(seen, F.lit(0.0))
     top_type = F.array_position("types", F.array_max("types")).cast("int")
-    return items, raters.select("rater", "labels", right.alias("reliability"), top_type.alias("type"), F.array_max("types").alias("type_share"))
+    return items, raters.select("rater", "labels", right.alias("reliability"), top_type.alias("type"), F.array_max("types").alias("type_share"), F.lit(moved).alias("last_move"))

@@ -41,11 +41,11 @@ _JOIN, _STYLE = "﷑", "﷒"
 
 
 def _compatible() -> dict[str, str]:
-    """Width forms and kinds of blank, by rule from the Unicode decompositions."""
+    """Width forms, letters of mathematics and kinds of blank, by rule from the Unicode decompositions."""
     found = {}
-    for code in [*range(0x80, 0x3100), *range(0xFF00, 0xFFF0)]:
+    for code in [*range(0x80, 0x3100), *range(0xFF00, 0xFFF0), *range(0x1D400, 0x1D800)]:
         kind, _, rest = unicodedata.decomposition(chr(code)).partition("> ")
-        if kind in ("<wide", "<narrow") and " " not in rest:
+        if kind in ("<wide", "<narrow", "<font") and " " not in rest:
             found[chr(code)] = chr(int(rest, 16))
         elif unicodedata.category(chr(code)) == "Zs" and code != 0x1680:
             found[chr(code)] = " "
@@ -64,7 +64,8 @@ def _with_accents(letters: dict[str, str]) -> dict[str, str]:
 
 
 CYRILLIC, GREEK = _with_accents(CYRILLIC), _with_accents(GREEK)
-_MAP = {**_compatible(), **CYRILLIC, **GREEK, **OTHER}
+_STYLED = {k: v for k, v in _compatible().items() if ord(k) > 0x1D000}
+_MAP = {**{k: v for k, v in _compatible().items() if k not in _STYLED}, **CYRILLIC, **GREEK, **OTHER}
 _FROM, _TO = "".join(_MAP), "".join(_MAP.values())
 #: Latin letters that no letter of the other script resembles; a word that has one stays Latin.
 _BACK = {}
@@ -82,14 +83,16 @@ def _lit(s: str) -> str:
 def form_sql(x: str) -> str:
     """SQL for the form of the string expression ``x``; NULL stays NULL.
 
-    Steps: compose accents; protect joiners inside emoji; drop invisible
+    Steps: replace letters of mathematics; compose accents; protect joiners inside emoji; drop invisible
     characters; map width forms, blanks and look-alikes; spell out ligatures;
     compose again. Words that keep a letter of another script are given back
     to that script as a whole, so real Greek or Cyrillic stays readable.
     Case, punctuation, accents, digits, tabs, line breaks and the number of
     blanks are left alone.
     """
-    s = f"nfc_normalize({x})"
+    # letters of mathematics are seldom, and what they stand for may be a look-alike in turn
+    styled = f"CASE WHEN regexp_matches({x}, '[\\x{{1D400}}-\\x{{1D7FF}}]') THEN translate({x}, {_lit(''.join(_STYLED))}, {_lit(''.join(_STYLED.values()))}) ELSE {x} END"
+    s = f"nfc_normalize({styled})"
     joined = f"regexp_replace({s}, '([\\p{{So}}\\x{{FE0F}}\\x{{1F3FB}}-\\x{{1F3FF}}])\\x{{200D}}', '\\1{_JOIN}', 'g')"
     joined = f"regexp_replace({joined}, '{_JOIN}([^\\p{{So}}]|$)', '\\1', 'g')"
     joined = f"regexp_replace({joined}, '(\\p{{So}})\\x{{FE0F}}', '\\1{_STYLE}', 'g')"
@@ -99,7 +102,8 @@ def form_sql(x: str) -> str:
     spelled = s
     for one, many in LIGATURES.items():
         spelled = f"replace({spelled}, '{one}', '{many}')"
-    return f"nfc_normalize({spelled})"
+    # ASCII is its own form
+    return f"CASE WHEN regexp_matches({x}, '[^\\x01-\\x7F]') THEN nfc_normalize({spelled}) ELSE {x} END"
 
 
 def own_script_sql(x: str) -> str:

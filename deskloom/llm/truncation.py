@@ -10,6 +10,7 @@ added as log-odds.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -52,6 +53,9 @@ def shape(token: str) -> str:
 
 
 _SHAPES: dict[str, str] = {}
+_TOKENS: dict[str, tuple[str, int, str]] = {}
+#: Places in counts: inside a sentence, at its end, before dots, at the end of a text.
+_AT = {"": 0, ".": 1, "…": 2}
 
 
 def _shape(token: str) -> str:
@@ -63,6 +67,15 @@ def _shape(token: str) -> str:
     return s
 
 
+def _look(token: str) -> tuple[str, int, str]:
+    """Shape, place and class of a token inside a text, remembered for tokens to come."""
+    core, closing = _core(token)
+    if len(_TOKENS) > 200_000:
+        _TOKENS.clear()
+    found = _TOKENS[token] = (_shape(core), _AT[closing], _class(core))
+    return found
+
+
 def _class(core: str) -> str:
     """Like the shape, with one class for capitalised words."""
     return "Aa" if core[:1].isupper() and core[1:].islower() and core.isalpha() else _shape(core)
@@ -115,51 +128,60 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row per text, and counts of tokens and pairs of tokens by what follows them."""
     for batch in batches:
         rows: list[tuple] = []
-        counts: dict[tuple[str, str], list[int]] = {}
-
-        def count(kind: str, key: str, at: int) -> None:
-            c = counts.get((kind, key))
-            if c is None:
-                c = counts[kind, key] = [0, 0, 0, 0]
-            c[at] += 1
-
+        ones: list[tuple] = []
+        twos: list[tuple] = []
+        fours: list[tuple] = []
         for doc_id, source, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "source", "text"))):
             e = ending(text)
             rows.append(("doc", doc_id, source, len(text), len(text.encode("utf8", "surrogatepass")), e["mark"], e["closing"], e["one"], e["two"], e["four"], e["link"], None, None, None, None))
-            tokens = text.split()
-            before, window = "^", ("^", "^", "^")
-            for token in tokens[:-1]:
-                core, closing = _core(token)
-                one = _shape(core)
+            before = a = b = c = "^"
+            for token in text.split()[:-1]:
+                one, at, kind = _TOKENS.get(token) or _look(token)
                 if not one:
                     continue
-                at = {"": 0, ".": 1, "…": 2}[closing]
-                window = (*window[-3:], _class(core))
-                count("one", one, at)
-                count("two", f"{before} {one}", at)
-                count("four", " ".join(window), at)
-                before = one
-                if closing == ".":
-                    before, window = "^", ("^", "^", "^")
+                ones.append((one, at))
+                twos.append((before, one, at))
+                fours.append((a, b, c, kind, at))
+                if at == 1:
+                    before = a = b = c = "^"
+                else:
+                    before, a, b, c = one, b, c, kind
             if e["one"]:
-                at = {"": 3, ".": 1, "…": 2}[e["closing"]]
-                count("one", e["one"], at)
-                count("two", e["two"], at)
-                count("four", e["four"], at)
+                at = _AT[e["closing"]] or 3
+                ones.append((e["one"], at))
+                twos.append((*e["two"].split(" ", 1), at))
+                fours.append((*e["four"].split(" ", 3), at))
             if e["link"]:
-                count("one", e["link"], 3)
-        for (kind, key), c in counts.items():
-            rows.append((kind, *[None] * 6, key, *[None] * 3, *c))
+                ones.append((e["link"], 3))
+        for kind, keys in (("one", ones), ("two", twos), ("four", fours)):
+            counts: dict[str, list[int]] = {}
+            for key, n in Counter(keys).items():
+                counts.setdefault(" ".join(key[:-1]), [0, 0, 0, 0])[key[-1]] = n
+            rows += ((kind, *[None] * 6, key, *[None] * 3, *n) for key, n in counts.items())
         columns = list(zip(*rows)) if rows else [()] * len(_TYPES)
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _TYPES)], _COLUMNS)
 
 
 def _pile(docs: DataFrame, size: str) -> DataFrame:
-    """``source, size, pile_size``: log of how much more texts of a source have this size than sizes around it."""
+    """``key, pile`` of source and size: log of how much more texts of a source have this size than sizes around it."""
     counts = docs.groupBy("source", size).agg(F.count("*").alias("c"))
     around = Window.partitionBy("source").orderBy(size).rangeBetween(-15, 15)
     usual = (F.sum("c").over(around) - F.col("c") + 1) / 30
-    return counts.select("source", size, F.when(F.col("c") >= 4, F.least(F.lit(LENGTH_CAP), F.greatest(F.lit(0.0), F.log(F.col("c") / (usual + 1))))).otherwise(0.0).alias(f"pile_{size}"))
+    return counts.select(F.concat_ws(" ", "source", size).alias("key"), F.when(F.col("c") >= 4, F.least(F.lit(LENGTH_CAP), F.greatest(F.lit(0.0), F.log(F.col("c") / (usual + 1))))).otherwise(0.0).alias("pile"))
+
+
+#: Characters of a word up to which each of its prefixes has an entry; longer ones meet the ends of texts that begin alike.
+HEAD = 60
+
+
+def prefix_table(words: DataFrame, ends: DataFrame) -> DataFrame:
+    """``one, below``: uses of the words that a token properly begins; ``words`` is ``one, uses``, ``ends`` the tokens ``one`` that texts end with."""
+    short = F.transform(F.sequence(F.lit(1), F.least(F.length("one") - 1, F.lit(HEAD))), lambda i: F.substring(F.col("one"), F.lit(1), i))
+    entries = words.where(F.length("one") > 1).select(F.explode(short).alias("one"), "uses")
+    head = F.substring("one", 1, HEAD).alias("head")
+    tails = ends.where(F.length("one") > HEAD).select(head, F.col("one").alias("end")).distinct()
+    longer = words.where(F.length("one") > HEAD).select(head, "one", "uses").join(tails, "head").where((F.length("one") > F.length("end")) & F.col("one").startswith(F.col("end")))
+    return entries.union(longer.select(F.col("end").alias("one"), "uses")).groupBy("one").agg(F.sum("uses").alias("below"))
 
 
 def truncation_scores(documents: DataFrame) -> DataFrame:
@@ -170,28 +192,36 @@ def truncation_scores(documents: DataFrame) -> DataFrame:
     """
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), clean_source(F.col("source")).alias("source"), F.col("text")).where("doc_id IS NOT NULL AND text RLIKE '\\\\S'")
     read = cut(rows.mapInArrow(_read, _OUT))
-    docs = read.where("kind = 'doc'").select("doc_id", "source", "n", "b", "mark", "closing", "one", "two", "four", "link")
+    docs = read.where("kind = 'doc'").select(F.monotonically_increasing_id().alias("row"), "doc_id", "source", "n", "b", "mark", "closing", "one", "two", "four", "link")
     kinds = ("medial", "final", "dotted", "ending")
     counts = cut(read.where("kind <> 'doc'").groupBy("kind", "one").agg(*(F.sum(c).alias(c) for c in kinds)))
-
-    def level(kind: str, mark: int) -> DataFrame:
-        return counts.where(F.col("kind") == kind).select(F.col("one").alias(kind), *(F.col(c).alias(f"{c}_{mark}") for c in kinds))
-
-    ones = level("one", 1)
+    ones = counts.where("kind = 'one'").select("one", *(F.col(c).alias(f"{c}_1") for c in kinds))
     known = F.col("medial_1") + F.col("final_1")
-    words = ones.where((known + F.col("ending_1") >= KNOWN_USES) & (F.length("one").between(2, 60)))
-    prefixes = F.transform(F.sequence(F.lit(1), F.length("one") - 1), lambda i: F.substring(F.col("one"), F.lit(1), i))
     uses = F.when(F.col("one").startswith("//"), known + F.col("ending_1")).otherwise(known)
-    trie = words.select(F.explode(prefixes).alias("one"), uses.alias("uses")).groupBy("one").agg(F.sum("uses").alias("below"))
+    words = ones.where(known + F.col("ending_1") >= KNOWN_USES).select("one", uses.alias("uses"))
+    trie = cut(prefix_table(words, ones.where("ending_1 > 0")))
     # one row: how often a word ends a sentence, and how often a text breaks off inside a word, for a word's use;
     # tokens too frequent for cuts of the words they begin are left out of the latter
     broken = ones.where((known < KNOWN_USES) & (F.col("ending_1") > 0)).join(trie, "one").where(F.col("ending_1") <= 0.02 * F.col("below") + 1)
     base = ones.agg(((F.sum("final_1") + 1) / (F.sum(known) + 2)).alias("base"), F.sum(known).alias("all")).crossJoin(broken.agg(F.coalesce(F.sum("ending_1"), F.lit(0)).alias("broken")))
     base = base.select("base", (F.col("broken") / (F.coalesce("all", F.lit(0)) + 1)).alias("cuts"))
-    linked = ones.join(trie, "one").select(F.col("one").alias("link"), F.col("ending_1").alias("link_uses"), F.col("below").alias("link_below"))
-    x = docs.join(ones, "one", "left").join(level("two", 2), "two", "left").join(level("four", 4), "four", "left").join(trie, "one", "left").join(linked, "link", "left")
-    x = x.join(_pile(docs.where("source IS NOT NULL"), "n"), ["source", "n"], "left").join(_pile(docs.where("source IS NOT NULL"), "b"), ["source", "b"], "left").crossJoin(F.broadcast(base))
-    x = x.fillna(0, [c for c in x.columns if c[-2:] in ("_1", "_2", "_4") or c in ("below", "pile_n", "pile_b", "link_below")])
+    # everything that a document looks up is in one table, so that one join finds it
+    none = F.lit(None).cast("double").alias("pile")
+    found = counts.join(trie.select(F.lit("one").alias("kind"), "one", "below"), ["kind", "one"], "left").select("kind", F.col("one").alias("key"), *kinds, "below", none)
+    links = ones.join(trie, "one").where(F.col("one").startswith("//")).select(F.lit("link"), "one", *(F.col(f"{c}_1") for c in kinds), "below", none)
+    zero, sized = [F.lit(0).cast("long")] * 5, docs.where("source IS NOT NULL")
+    piles = [_pile(sized, c).select(F.lit(f"pile_{c}"), "key", *zero, "pile") for c in ("n", "b")]
+    asked = F.array(*(F.struct(F.lit(kind).alias("kind"), key.alias("key")) for kind, key in [*((c, F.col(c)) for c in ("one", "two", "four", "link")), *((f"pile_{c}", F.when(F.col("source").isNotNull(), F.concat_ws(" ", "source", c))) for c in ("n", "b"))]))
+    own = ["doc_id", "source", "mark", "closing", "one", "link"]
+    keys = docs.select("row", *own, F.explode(F.filter(asked, lambda x: x["key"].isNotNull() | (x["kind"] == "one"))).alias("x")).select("row", *own, "x.kind", "x.key")
+    got = keys.join(found.union(links).union(piles[0]).union(piles[1]), ["kind", "key"], "left")
+    pick = lambda kind, c: F.coalesce(F.max(F.when(F.col("kind") == kind, F.col(c))), F.lit(0))
+    x = got.groupBy("row").agg(
+        *(F.first(c).alias(c) for c in own),
+        *(pick(kind, c).alias(f"{c}_{mark}") for kind, mark in (("one", 1), ("two", 2), ("four", 4)) for c in kinds),
+        pick("one", "below").alias("below"), pick("link", "ending").alias("link_uses"), pick("link", "below").alias("link_below"), pick("pile_n", "pile").alias("pile_n"), pick("pile_b", "pile").alias("pile_b"),
+    )
+    x = x.crossJoin(F.broadcast(base))  # one row
 
     all_1, all_2 = F.col("medial_1") + F.col("final_1"), F.col("medial_2") + F.col("final_2")
 

@@ -150,3 +150,13 @@ def test_complete_endings(spark):
     assert truncation.truncation_scores(df).where("truncated").count() == 0
     assert truncation.truncation_scores(df.where("false")).count() == 0
     assert truncation.source_rates(truncation.truncation_scores(df)).first()["rate"] == 0
+
+
+def test_prefixes_of_long_words(spark):
+    """Words of any length are found by what they begin with, without an entry for each of their prefixes."""
+    long = "x" * 5000
+    words = spark.createDataFrame([("cat", 5), ("car", 2), (long + "yz", 7), (long + "q", 4), ("a", 9)], "one string, uses long")
+    ends = spark.createDataFrame([("ca",), (long,), (long + "y",), (long + "yz",), ("zzz",)], "one string")
+    table = {r["one"]: r["below"] for r in truncation.prefix_table(words, ends).collect()}
+    assert table["ca"] == 7 and table["c"] == 7 and table[long] == 11 and table[long + "y"] == 7 and long + "yz" not in table and "a" not in table
+    assert max(len(k) for k in table if k not in (long, long + "y")) == truncation.HEAD

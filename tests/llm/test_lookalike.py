@@ -14,7 +14,7 @@ def forms(texts):
 
 @pytest.mark.parametrize(
     "a, b",
-    [("Ｆｕｌｌ　１２", "Full 12"), ("é", "é"), ("a​b", "ab"), ("a b c d", "a b c d"), ("ﬁne ﬂow oﬀ", "fine flow off"), ("сору", "copy"), ("nο Αu", "no Au"), ("ｅ́", "é"), ("e​́", "é"), ("😀‍ x", "😀 x"), ("ԝaѕ ɡone", "was gone"), ("cпacибo", "спасибо"), ("nо\u0308", "nö"), ("ёӓ", "ëä"), ("Έ", "É")],
+    [("Ｆｕｌｌ　１２", "Full 12"), ("é", "é"), ("a​b", "ab"), ("a b c d", "a b c d"), ("ﬁne ﬂow oﬀ", "fine flow off"), ("сору", "copy"), ("nο Αu", "no Au"), ("ｅ́", "é"), ("e​́", "é"), ("😀‍ x", "😀 x"), ("ԝaѕ ɡone", "was gone"), ("cпacибo", "спасибо"), ("nо\u0308", "nö"), ("ёӓ", "ëä"), ("Έ", "É"), ("𝐇𝐞𝐥𝐥𝐨 𝟚", "Hello 2"), ("𝛼b", "ab")],
 )
 def test_same_look(a, b):
     x, y = forms([a, b])
