@@ -15,14 +15,14 @@ from deskloom.runtime import cut
 
 #: A labelled field: at the start or after a separator one to three words, then ``:``, ``=`` or a spaced dash.
 LABEL = re.compile(r"(?:^[\s\"'“”(\[]*|[\n/|,;][ \t]*)([^\W\d_]+(?: [^\W\d_]+){0,2})[ \t]*(?:[:=]|[-–—](?=\s))\s*")
-LEAST_FIELDS = 3
+LEAST_FIELDS = 2
 _RE2_HINT = r"[:=]|\s[-–—]\s"
 
 
 def fields_of(text: str) -> list[tuple[str, str]] | None:
     """Label and value of each field, or None where ``text`` is no labelled form.
 
-    A form begins with a label and has at least three different ones.
+    A form begins with a label and has at least two different ones: a single field has no order.
     """
     found = list(LABEL.finditer(text))
     if len(found) < LEAST_FIELDS or found[0].start() or len({m[1].lower() for m in found}) < LEAST_FIELDS:

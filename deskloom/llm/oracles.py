@@ -22,7 +22,7 @@ P1_FORMS = "SELECT episode_id, " + ", ".join(f"{own_script_sql(f)} AS {f}" for f
 #: Record keys: the sorted canonical fields of a labelled form, else the whole canonical text.
 _KEYS = f"""e AS (SELECT DISTINCT episode_id, customer_text FROM episodes WHERE episode_id IS NOT NULL AND customer_text IS NOT NULL), y AS (SELECT episode_id, {form_sql('customer_text')} AS y FROM e),
 sp AS (SELECT episode_id, y, string_split(regexp_replace(y, '{_LABEL}', chr(1) || '\\1' || chr(2), 'g'), chr(1)) AS ps FROM y),
-k AS (SELECT episode_id, y, CASE WHEN len(ps) >= 4 AND ps[1] = '' AND len(list_distinct(list_transform(ps[2:], lambda p: lower(string_split(p, chr(2))[1])))) >= 3
+k AS (SELECT episode_id, y, CASE WHEN len(ps) >= 3 AND ps[1] = '' AND len(list_distinct(list_transform(ps[2:], lambda p: lower(string_split(p, chr(2))[1])))) >= 2
   THEN array_to_string(list_sort(list_transform(ps[2:], lambda p: lower(string_split(p, chr(2))[1]) || chr(2) || {_squeeze('string_split(p, chr(2))[2]')})), chr(3)) ELSE {_squeeze('y')} END AS key FROM sp)"""
 P3_GROUPS = f"WITH {_KEYS} SELECT episode_id, min(episode_id) OVER (PARTITION BY key) AS first_id, count(*) OVER (PARTITION BY key) AS copies FROM k WHERE key <> ''"
 P3_FOUND = f"SELECT first_id, episode_id FROM ({P3_GROUPS}) WHERE copies > 1 AND episode_id <> first_id"

@@ -22,7 +22,9 @@ def test_formatting(spark):
     rows += [("b1", " | ".join(FORM), 0), ("b2", "\n".join(reversed(FORM)).upper().replace(":", " ="), 1), ("b3", ", ".join(FORM[1:] + FORM[:1]), 2)]
     rows += [("c1", "Hello, World 13", 0), ("c2", "Héllo, World 12", 0), ("c3", "World hello 12", 0), ("c4", " | ".join([*FORM[:3], "When: 2:16pm"]), 0)]
     rows += [("d", None, 0), ("e", "  !! ", 0), (None, "Hello, World 12", 0), ("a0", same[0], 7), ("g", "Straße", 0), ("h", "STRASSE", 0), ("i", "x" * 60_000, 0), ("j", "X" * 60_000 + ".", 0)]
+    rows += [("k1", "Name: Bob; City: Rome", 0), ("k2", "city: rome\nNAME: bob", 0), ("k3", "City: Bob; Name: Rome", 0)]
     got = groups(spark, rows)
+    assert got["k1"] == got["k2"] == ("k1", 2) and got["k3"] == ("k3", 1)
     assert {k for k, v in got.items() if v == ("a0", 6)} == {f"a{i}" for i in range(6)}
     assert {k for k, v in got.items() if v == ("b1", 3)} == {"b1", "b2", "b3"}
     assert all(got[c] == (c, 1) for c in ("c1", "c2", "c3", "c4")) and got["h"] == ("g", 2) and got["j"] == ("i", 2) and not {"d", "e", None} & set(got)
@@ -31,6 +33,7 @@ def test_formatting(spark):
 
 def test_fields():
     assert [(a, b.strip()) for a, b in formatting.fields_of("Seat: 3A / Flight = XY1 / Issue - late")] == [("Seat", "3A"), ("Flight", "XY1"), ("Issue", "late")]
+    assert formatting.fields_of("Name: Bob; City: Rome") == [("Name", "Bob"), ("City", "Rome")]
     assert formatting.fields_of("Well, seat: 3A") is None and formatting.fields_of("a: 1, a: 2, a: 3") is None
 
 
