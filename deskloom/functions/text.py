@@ -99,6 +99,21 @@ def normalise_intent(c: Column) -> Column:
     return F.coalesce(F.try_element_at(known, s), F.lit("other"))
 
 
+def intent_names() -> list[str]:
+    """The intents in their order."""
+    return list(INTENTS)
+
+
+def is_intent(c: Column) -> Column:
+    """Whether ``c`` is the exact name of an intent; null is none."""
+    return F.coalesce(c.isin(list(INTENTS)), F.lit(False))
+
+
+def default_route(c: Column) -> Column:
+    """The route an intent takes by default, null for what is no intent."""
+    return F.try_element_at(F.create_map(*(F.lit(x) for pair in INTENTS.items() for x in pair)), c)
+
+
 def normalise_route(c: Column) -> Column:
     """``auto`` for what begins with it, else ``escalate``."""
     return F.when(F.lower(trim_space(c)).startswith("auto"), "auto").otherwise("escalate")

@@ -18,6 +18,13 @@ from deskloom.runtime import cut
 # ---- dense spherical k-means: centroids have a fixed size, k x dimension ----
 
 
+def _dense(column: pa.Array) -> np.ndarray:
+    """A batch of vectors of one length as a matrix, without a Python object for each number."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    flat = pa.compute.list_flatten(column).to_numpy(zero_copy_only=False).astype(float)
+    return flat.reshape(len(column), -1)
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     length = np.linalg.norm(x, axis=1, keepdims=True)
     return np.divide(x, length, out=np.zeros_like(x), where=length > 0)
@@ -30,7 +37,7 @@ def assign(df: DataFrame, centroids: np.ndarray, *, doc: str, vector: str) -> Da
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                x = _unit(np.array(batch.column("v").to_pylist(), float))
+                x = _unit(_dense(batch.column("v")))
                 sims = x @ c.T
                 best = np.round(sims, 9).argmax(1)
                 yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(best, pa.int32()), pa.array(sims[np.arange(len(best)), best])], ["doc", "cluster", "similarity"])
@@ -66,7 +73,7 @@ def seed_centroids(rows: DataFrame, k: int, *, seed: int) -> np.ndarray:
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                x = _unit(np.array(batch.column("v").to_pylist(), float))
+                x = _unit(_dense(batch.column("v")))
                 gap = np.ones(len(x)) if have is None else (1 - (x @ have.T).max(1)) ** 2
                 gap[np.abs(x).sum(1) == 0] = 0
                 key = np.where(gap > 1e-12, np.log(_draws(step, batch.column("doc"))) / np.maximum(gap, 1e-12), -np.inf)
@@ -81,40 +88,42 @@ def seed_centroids(rows: DataFrame, k: int, *, seed: int) -> np.ndarray:
     return np.array(chosen)
 
 
-def kmeans(df: DataFrame, k: int, *, doc: str, vector: str, seed: int = 42, max_iter: int = 40) -> tuple[DataFrame, np.ndarray]:
+#: Centroids that move less are made from the same labels.
+STILL = 1e-9
+
+
+def kmeans(df: DataFrame, k: int, *, doc: str, vector: str, seed: int = 42, max_iter: int = 40, start: np.ndarray | None = None) -> tuple[DataFrame, np.ndarray]:
     """``(labels, centroids)``; stops when no label changes, an empty cluster keeps its centroid.
 
-    A round is one pass over the rows: a task adds up the members of each new
-    cluster and counts the labels that differ from the round before.
+    A round is one pass over the rows, in which a task adds up the members of
+    each cluster. Where no label changes, no centroid moves. ``start`` gives
+    the first centroids, else they are drawn by :func:`seed_centroids`.
     """
     rows = cut(df.where(F.col(vector).isNotNull()).select(F.col(doc).alias("doc"), F.col(vector).alias("v")))
-    centroids = _unit(seed_centroids(rows, k, seed=seed))
+    centroids = _unit(seed_centroids(rows, k, seed=seed) if start is None else np.asarray(start, float))
     if not len(centroids):
         return rows.select("doc", F.lit(0).alias("cluster"), F.lit(0.0).alias("similarity")), centroids
     before: np.ndarray | None = None
     for _ in range(max_iter):
 
-        def sums(batches: Iterator[pa.RecordBatch], now: np.ndarray = centroids, old: np.ndarray | None = before) -> Iterator[pa.RecordBatch]:
-            total, size, changed = np.zeros_like(now), np.zeros(len(now), np.int64), 0
+        def sums(batches: Iterator[pa.RecordBatch], now: np.ndarray = centroids) -> Iterator[pa.RecordBatch]:
+            total, size = np.zeros_like(now), np.zeros(len(now), np.int64)
             for batch in batches:
-                if not batch.num_rows:
-                    continue
-                x = _unit(np.array(batch.column("v").to_pylist(), float))
-                label = np.round(x @ now.T, 9).argmax(1)
-                was = np.zeros(len(x), int) if old is None else np.round(x @ old.T, 9).argmax(1)
-                changed += int((label != was).sum())
-                np.add.at(total, label, x)
-                size += np.bincount(label, minlength=len(now))
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(now)), pa.int32()), pa.array(list(total), pa.list_(pa.float64())), pa.array(size), pa.array([changed] + [0] * (len(now) - 1), pa.int64())], ["cluster", "total", "size", "changed"])
+                if batch.num_rows:
+                    x = _unit(_dense(batch.column("v")))
+                    label = np.round(x @ now.T, 9).argmax(1)
+                    total += np.eye(len(now))[:, label] @ x
+                    size += np.bincount(label, minlength=len(now))
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(now)), pa.int32()), pa.array(list(total), pa.list_(pa.float64())), pa.array(size)], ["cluster", "total", "size"])
 
         dim = centroids.shape[1]
-        parts = rows.mapInArrow(sums, "cluster int, total array<double>, size long, changed long").groupBy("cluster").agg(F.array(*(F.sum(F.col("total")[i]) for i in range(dim))).alias("total"), F.sum("size").alias("size"), F.sum("changed").alias("changed")).collect()  # k rows
-        if not sum(r["changed"] for r in parts):
-            break
+        parts = rows.mapInArrow(sums, "cluster int, total array<double>, size long").groupBy("cluster").agg(F.array(*(F.sum(F.col("total")[i]) for i in range(dim))).alias("total"), F.sum("size").alias("size")).collect()  # k rows
         before, centroids = centroids, centroids.copy()
         for r in parts:
             if r["size"] and any(r["total"]):
                 centroids[r["cluster"]] = _unit(np.array([r["total"]]))[0]
+        if np.abs(centroids - before).max() < STILL:
+            break
     # the labels that the last centroids were made from, or that no longer change
     return assign(rows, centroids if before is None else before, doc="doc", vector="v") if max_iter else rows.select("doc", F.lit(0).alias("cluster"), F.lit(0.0).alias("similarity")), centroids
 
@@ -171,28 +180,23 @@ def sparse_kmeans(rows: DataFrame, k: int, size: int, *, seed: int = 42, max_ite
     centroids, before = _unit(np.array(chosen)), None
     for _ in range(max_iter):
 
-        def sums(batches: Iterator[pa.RecordBatch], now: np.ndarray = centroids, old: np.ndarray | None = before) -> Iterator[pa.RecordBatch]:
-            total, changed = np.zeros_like(now), 0
+        def sums(batches: Iterator[pa.RecordBatch], now: np.ndarray = centroids) -> Iterator[pa.RecordBatch]:
+            total = np.zeros_like(now)
             for batch in batches:
-                if not batch.num_rows:
-                    continue
-                label = np.round(_similar(batch, now), 9).argmax(1)
-                was = np.zeros(len(label), int) if old is None else np.round(_similar(batch, old), 9).argmax(1)
-                changed += int((label != was).sum())
-                at, w, row = _sparse(batch)
-                np.add.at(total, (label[row], at), w)
+                if batch.num_rows:
+                    label = np.round(_similar(batch, now), 9).argmax(1)
+                    at, w, row = _sparse(batch)
+                    np.add.at(total, (label[row], at), w)
             some = np.nonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array([-1, *some[0]], pa.int32()), pa.array([0, *some[1]], pa.int32()), pa.array([float(changed), *total[some]])], ["cluster", "term_id", "s"])
+            yield pa.RecordBatch.from_arrays([pa.array(some[0], pa.int32()), pa.array(some[1], pa.int32()), pa.array(total[some])], ["cluster", "term_id", "s"])
 
         parts = rows.mapInArrow(sums, "cluster int, term_id int, s double").groupBy("cluster", "term_id").agg(F.sum("s").alias("s")).toArrow()  # at most k x size
-        cluster, at, s = (parts.column(c).to_numpy() for c in ("cluster", "term_id", "s"))
-        if not s[cluster == -1].sum():
-            break
         new = np.zeros_like(centroids)
-        real = cluster >= 0
-        new[cluster[real], at[real]] = s[real]
+        new[parts.column("cluster").to_numpy(), parts.column("term_id").to_numpy()] = parts.column("s").to_numpy()
         filled = np.abs(new).sum(1) > 0
         before, centroids = centroids, np.where(filled[:, None], _unit(new), centroids)
+        if np.abs(centroids - before).max() < STILL:
+            break
     last = centroids if before is None else before
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,8 +251,10 @@ def out_of_fold(docs: DataFrame, vectors: DataFrame, *, n_folds: int = 5, epochs
     x = docs.join(vectors, "doc", "left")
     x = x.withColumn("terms", F.coalesce("terms", F.array().cast("array<bigint>"))).withColumn("weights", F.coalesce("weights", F.array().cast("array<float>")))
     x = cut(x)
-    copies = F.broadcast(x.sparkSession.range(n_folds).select(F.col("id").cast("int").alias("model")))
-    train = x.crossJoin(copies).where("fold <> model").withColumn("_n", F.row_number().over(Window.partitionBy("model").orderBy(hash_draw(F.col("doc"), fold_seed), "doc"))).where(F.col("_n") <= train_bound)
+    train = None
+    for model in range(n_folds):
+        some = x.where(F.col("fold") != model).orderBy(hash_draw(F.col("doc"), fold_seed), "doc").limit(train_bound).withColumn("model", F.lit(model))
+        train = some if train is None else train.union(some)
 
     def one(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("doc")

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from deskloom.functions.text import hash_draw
 
+# --- fixed values -----------------------------------------------------------
 Z = 1.959964
 EDGES = (0.0, 0.5, 0.7, 0.8, 0.9, 0.95, 1.0001)
 BOOTSTRAP = 2000
+# ---------------------------------------------------------------------------
+#: Counts up to this are drawn from the exact distribution, of which so many values matter; larger ones from the normal one.
+EXACT, VALUES = 10, 32
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -132,23 +138,71 @@ def quadratic_kappa(df: DataFrame, a: str, b: str, *, by: list[str], low: int =
     return s.select(*by, "n", value.alias("quadratic_kappa"))
 
 
-def bootstrap_mean(df: DataFrame, value: str, *, by: list[str], key: str, seed: int, iterations: int = BOOTSTRAP) -> DataFrame:
-    """``by, n, mean, low, high``: percentile interval of the mean from ``iterations`` resamples drawn by hash.
+def poisson_table() -> list[list[float]]:
+    """For counts 0 to ``EXACT``: the chance of at most 0, 1, 2, ... draws."""
+    out = []
+    for c in range(EXACT + 1):
+        p, total, row = math.exp(-c), 0.0, []
+        for k in range(VALUES):
+            total += p
+            row.append(total)
+            p *= c / (k + 1)
+        out.append(row)
+    return out
+
+
+def resampled(count: Column, key: Column, seed: int) -> Column:
+    """How often a resample takes what occurs ``count`` times: a Poisson draw by the hash of ``key``.
+
+    Rows of a resample with replacement are taken about Poisson(1) times each,
+    so equal rows need one draw together, however many they are.
+    """
+    u = (hash_draw(key, seed) + 0.5) / 2**32
+    v = (hash_draw(F.concat(key, F.lit("'")), seed) + 0.5) / 2**32
+    flat = F.array(*(F.lit(x) for row in poisson_table() for x in row))
+    at = F.least(count, F.lit(EXACT)).cast("int") * VALUES
+    # bound to a variable, so that the draw is hashed once
+    few = F.get(F.transform(F.array(u), lambda x: F.size(F.filter(F.slice(flat, at + 1, F.lit(VALUES)), lambda p: p < x))), F.lit(0)).cast("long")
+    many = F.greatest(F.lit(0.0), F.round(count + F.sqrt(count.cast("double")) * F.sqrt(-2 * F.log(u)) * F.cos(2 * math.pi * v))).cast("long")
+    return F.when(count <= EXACT, few).otherwise(many)
+
+
+def _percentiles(values: str, iterations: int) -> tuple[Column, Column]:
+    """The 2.5 and 97.5 % places of a sorted array of ``iterations`` values."""
+    return tuple(F.element_at(values, min(int(q * iterations), iterations - 1) + 1) for q in (0.025, 0.975))
+
+
+def bootstrap_mean(df: DataFrame, value: str, *, by: list[str], seed: int, iterations: int = BOOTSTRAP) -> DataFrame:
+    """``by, n, mean, low, high``: percentile interval of the mean from ``iterations`` resamples.
 
-    Slot j of resample b takes the row whose number is the draw of ``b:j``
-    modulo n. Values are counted first, so a resample joins distinct values.
+    Equal values (to six decimals) are counted first and drawn together, so a
+    resample costs a row for each different value. A resample that takes
+    nothing counts with the mean itself.
     """
-    w = Window.partitionBy(*by).orderBy(key)
-    rows = df.where(F.col(value).isNotNull()).select(*by, key, F.col(value).cast("double").alias("v")).withColumn("i", F.row_number().over(w) - 1)
-    sizes = rows.groupBy(*by).agg(F.count("*").alias("n"), F.avg("v").alias("mean"))
-    spark = df.sparkSession
-    draws = sizes.crossJoin(F.broadcast(spark.range(iterations).withColumnRenamed("id", "b"))).select(*by, "n", "b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("j"))
-    draws = draws.withColumn("i", F.pmod(hash_draw(F.concat_ws(":", "b", "j"), seed), F.col("n")))
-    means = draws.join(rows.select(*by, "i", "v"), [*by, "i"]).groupBy(*by, "b").agg(F.avg("v").alias("m"))
-    ordered = means.groupBy(*by).agg(F.array_sort(F.collect_list("m")).alias("ms"))
-    at = lambda q: F.element_at("ms", min(int(q * iterations), iterations - 1) + 1)
-    out = sizes.join(ordered, by) if by else sizes.crossJoin(ordered)
-    return out.select(*by, "n", "mean", at(0.025).alias("low"), at(0.975).alias("high"))
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.round(F.col(value).cast("double") * 1_000_000).cast("long").alias("v")).agg(F.count("*").alias("c"))
+    sizes = counts.groupBy(*by).agg(F.sum("c").alias("n"), (F.sum(F.col("c") * F.col("v")) / F.sum("c") / 1e6).alias("mean"))
+    draws = counts.crossJoin(F.broadcast(df.sparkSession.range(iterations).withColumnRenamed("id", "b")))  # a fixed number of resamples
+    w = resampled(F.col("c"), F.concat_ws(":", *by, "b", "v"), seed)
+    means = draws.withColumn("w", w).groupBy(*by, "b").agg(F.try_divide(F.sum(F.col("w") * F.col("v")).cast("double"), F.sum("w").cast("double")).alias("m"))
+    means = means.join(sizes, by) if by else means.crossJoin(sizes)
+    ordered = means.groupBy(*by, "n", "mean").agg(F.array_sort(F.collect_list(F.coalesce(F.col("m") / 1e6, F.col("mean")))).alias("ms"))
+    low, high = _percentiles("ms", iterations)
+    return ordered.select(*by, "n", "mean", low.alias("low"), high.alias("high"))
+
+
+def bootstrap_classes(cells: DataFrame, *, by: list[str], seeds: tuple[int, int] = (17, 19), iterations: int = BOOTSTRAP) -> DataFrame:
+    """``by, accuracy_low, accuracy_high, macro_f1_low, macro_f1_high`` from resamples of a confusion table ``by, gold, pred, n``."""
+    key = F.concat_ws(":", *by, "gold", "pred", "b")
+    x = cells.crossJoin(F.broadcast(cells.sparkSession.range(iterations).withColumnRenamed("id", "b")))
+    x = x.select(*by, "b", "gold", "pred", *(resampled(F.col("n"), key, seed).alias(w) for seed, w in zip(seeds, "st")))
+    hit = F.col("gold") == F.col("pred")
+    accuracy = x.groupBy(*by, "b").agg(ratio(F.sum(F.when(hit, F.col("s")).otherwise(0)), F.sum("s")).alias("a"))
+    sides = F.explode(F.array(F.struct(F.col("gold").alias("label"), F.col("t").alias("support"), F.lit(0).cast("long").alias("predicted")), F.struct(F.col("pred").alias("label"), F.lit(0).cast("long").alias("support"), F.col("t").alias("predicted")))).alias("x")
+    labels = x.select(*by, "b", F.when(hit, F.col("t")).otherwise(0).alias("h"), sides).groupBy(*by, "b", "x.label").agg(F.sum("x.support").alias("support"), F.sum("x.predicted").alias("predicted"), (F.sum("h") / 2).alias("hits"))
+    f1 = labels.groupBy(*by, "b").agg(F.coalesce(F.avg(F.when(F.col("support") > 0, ratio(2 * F.col("hits"), F.col("support") + F.col("predicted")))), F.lit(0.0)).alias("f"))
+    both = accuracy.join(f1, [*by, "b"]).groupBy(*by).agg(F.array_sort(F.collect_list("a")).alias("as"), F.array_sort(F.collect_list("f")).alias("fs"))
+    (al, ah), (fl, fh) = _percentiles("as", iterations), _percentiles("fs", iterations)
+    return both.select(*by, al.alias("accuracy_low"), ah.alias("accuracy_high"), fl.alias("macro_f1_low"), fh.alias("macro_f1_high"))
 
 
 def calibration(df: DataFrame, *, by: list[str], confidence: str, correct: Column) -> DataFrame:

@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from deskloom.functions.text import INTENTS, join_reasons
 
+# --- fixed values: thresholds and names of the gates ------------------------
 MIN_CONFIDENCE, MIN_SCORE = 0.60, 0.12
+LOW_CONFIDENCE, NO_PRECEDENT, BY_DEFAULT = "low_intent_confidence", "no_precedent", "intent_default_escalate"
+# ---------------------------------------------------------------------------
 
 
 @dataclass(frozen=True)
@@ -53,9 +56,9 @@ def decide(df: DataFrame, *, text: str, rules: tuple[Rule, ...] = DEFAULT_RULES,
     """
     by_default = [i for i, route in INTENTS.items() if route == "escalate"]
     gates = [
-        (F.coalesce("confidence", F.lit(0.0)) < min_confidence, "low_intent_confidence", F.lit("was classified with little confidence")),
-        (F.coalesce("top_score", F.lit(0.0)) < min_score, "no_precedent", F.lit("has no similar precedent")),
-        (F.coalesce(F.col("intent").isin(by_default), F.lit(False)), "intent_default_escalate", F.concat(F.lit("has intent "), F.col("intent"), F.lit(", which people handle"))),
+        (F.coalesce("confidence", F.lit(0.0)) < min_confidence, LOW_CONFIDENCE, F.lit("was classified with little confidence")),
+        (F.coalesce("top_score", F.lit(0.0)) < min_score, NO_PRECEDENT, F.lit("has no similar precedent")),
+        (F.coalesce(F.col("intent").isin(by_default), F.lit(False)), BY_DEFAULT, F.concat(F.lit("has intent "), F.col("intent"), F.lit(", which people handle"))),
     ]
     names = F.concat(fired_rules(F.col(text), rules), *(F.when(c, F.array(F.lit(n))).otherwise(F.array().cast("array<string>")) for c, n, _ in gates))
     told = F.create_map(*(F.lit(x) for r in rules for x in (r.name, r.reason)))
@@ -69,7 +72,7 @@ def decide(df: DataFrame, *, text: str, rules: tuple[Rule, ...] = DEFAULT_RULES,
         .withColumn("route", F.when(fired | model_escalates, "escalate").otherwise("auto"))
         .withColumn(
             "route_reason",
-            F.when(fired, F.concat(F.lit("Escalated because it "), join_reasons(F.col("_reasons")), F.lit(".")))
+            F.when(fired, F.concat(F.lit("A person should answer: it "), join_reasons(F.col("_reasons")), F.lit(".")))
             .when(model_escalates, F.when(own == "", "The model asked for a person.").otherwise(own))
             .otherwise(F.concat(F.lit("Answered: intent "), F.coalesce("intent", F.lit("other")), F.lit(" needs no person and no rule fired."))),
         )

@@ -7,6 +7,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from deskloom.functions.text import hash_draw
+from deskloom.runtime import cut
+
+
+def rank_within(df: DataFrame, by: list[str], order: list[str], name: str) -> DataFrame:
+    """Add ``name``, the place from 1 of each row of a group in ``order``; a group may span any number of tasks.
+
+    Rows are spread by ranges, counted by range and group, and numbered within.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = cut(df.repartitionByRange(parts, *by, *order).withColumn("_part", F.spark_partition_id()))
+    sizes = spread.groupBy(*by, "_part").agg(F.count("*").alias("_size"))
+    before = F.sum("_size").over(Window.partitionBy(*by).orderBy("_part")) - F.col("_size")  # a row for each range and group
+    within = F.row_number().over(Window.partitionBy(*by, "_part").orderBy(*order))
+    joined = spread.withColumn("_n", within).join(sizes.select(*by, "_part", before.alias("_before")), [*by, "_part"])
+    return joined.withColumn(name, F.col("_n") + F.col("_before")).drop("_part", "_n", "_before")
 
 
 def uniform(df: DataFrame, n: int, *, key: str, seed: int) -> DataFrame:
@@ -22,11 +37,11 @@ def keep_first(df: DataFrame, *, key: Column, order: list[str]) -> DataFrame:
 
 def balanced(df: DataFrame, n: int, *, group: str, key: str, seed: int) -> DataFrame:
     """``floor(n / groups)`` rows of every group, all in one shuffled order ``position`` from 1."""
-    groups = df.agg(F.count_distinct(group).alias("_g"))  # one row
+    groups = df.select(group).where(F.col(group).isNotNull()).distinct().count()
+    each = n // groups if groups else 0
     w = Window.partitionBy(group).orderBy("_d", key)
-    x = df.withColumn("_d", hash_draw(F.concat_ws("|", F.col(group), F.col(key)), seed)).withColumn("_n", F.row_number().over(w))
-    x = x.crossJoin(F.broadcast(groups)).where((F.col("_g") > 0) & (F.col("_n") <= F.floor(F.lit(n) / F.col("_g"))))
-    return x.withColumn("position", F.row_number().over(Window.orderBy("_d", group, key))).drop("_d", "_n", "_g")  # at most n rows
+    x = df.withColumn("_d", hash_draw(F.concat_ws("|", F.col(group), F.col(key)), seed)).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= each)  # a literal limit, kept from the shuffle
+    return x.withColumn("position", F.row_number().over(Window.orderBy("_d", group, key))).drop("_d", "_n")  # at most n rows
 
 
 def rule_quota(df: DataFrame, rules: list[str], total: int, *, key: str, fired: str, seed: int) -> DataFrame:
@@ -57,6 +72,6 @@ def round_robin(df: DataFrame, budget: int, *, group: str, order: list[str], rou
 
 
 def folds(df: DataFrame, n: int, *, label: str, key: str, seed: int) -> DataFrame:
-    """Add ``fold`` from 0: classes are dealt out evenly in the order of the draw."""
-    w = Window.partitionBy(label).orderBy(hash_draw(F.col(key), seed), key)
-    return df.withColumn("fold", (F.row_number().over(w) - 1) % n)
+    """Add ``fold`` from 0: classes are dealt out evenly in the order of the draw; rows without a class leave."""
+    ranked = rank_within(df.where(F.col(label).isNotNull()).withColumn("_d", hash_draw(F.col(key), seed)), [label], ["_d", key], "_r")
+    return ranked.withColumn("fold", (F.col("_r") - 1) % n).drop("_d", "_r").select(*df.columns, "fold")

@@ -19,6 +19,8 @@ from deskloom.runtime import cut
 
 QUERY_BLOCK, ROW_BLOCK = 256, 2048
 PLACES = 6
+#: Terms up to which blocks are multiplied as matrices, and products that are added up at a time.
+DENSE_TERMS, CHUNK = 512, 2_000_000
 
 
 def _pack(size: int, names: tuple[str, str, str, str]):
@@ -35,6 +37,41 @@ def _pack(size: int, names: tuple[str, str, str, str]):
     return each
 
 
+def _scores(q_of: np.ndarray, q_terms: np.ndarray, q_weights: np.ndarray, qs: int, d_of: np.ndarray, d_terms: np.ndarray, d_weights: np.ndarray, ds: int) -> np.ndarray:
+    """Dot products of rows with queries: a matrix product where terms are few, else each entry of a row meets the queries that hold its term."""
+    scores = np.zeros((ds, qs))
+    known, at = np.unique(q_terms, return_inverse=True)
+    if not len(known) or not len(d_terms):
+        return scores
+    spot = np.searchsorted(known, d_terms).clip(max=len(known) - 1)
+    hit = known[spot] == d_terms
+    docs, spot, w = d_of[hit], spot[hit], d_weights[hit]
+    if len(known) <= DENSE_TERMS:
+        left, right = np.zeros((ds, len(known))), np.zeros((len(known), qs))
+        left[docs, spot] = w
+        right[at, q_of] = q_weights
+        return left @ right
+    order = np.argsort(at, kind="stable")
+    of, weight = q_of[order], q_weights[order]
+    first, many = np.searchsorted(at[order], np.arange(len(known))), np.bincount(at, minlength=len(known))
+    upto = np.cumsum(many[spot])
+    flat = scores.ravel()
+    for lo, hi in zip(*_runs(upto, CHUNK)):
+        n = many[spot[lo:hi]]
+        entry = np.repeat(first[spot[lo:hi]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        places = np.repeat(docs[lo:hi], n) * qs + of[entry]
+        low, high = int(docs[lo]) * qs, (int(docs[hi - 1]) + 1) * qs
+        flat[low:high] += np.bincount(places - low, np.repeat(w[lo:hi], n) * weight[entry], minlength=high - low)
+    return scores
+
+
+def _runs(upto: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Cuts of entries whose running total is ``upto`` into runs of about ``size``."""
+    ends = np.unique(np.append(np.searchsorted(upto, np.arange(size, int(upto[-1]) + 1, size), side="right"), len(upto)))
+    ends = ends[ends > 0]
+    return np.concatenate([[0], ends[:-1]]), ends
+
+
 def _multiply(k: int, drop_self: bool):
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -45,19 +82,7 @@ def _multiply(k: int, drop_self: bool):
                 d_terms, d_weights = row["d_terms"].to_numpy(zero_copy_only=False), row["d_weights"].to_numpy(zero_copy_only=False).astype(np.float64)
                 q_of = np.repeat(np.arange(len(q_ids)), row["q_sizes"].to_numpy(zero_copy_only=False))
                 d_of = np.repeat(np.arange(len(d_ids)), row["d_sizes"].to_numpy(zero_copy_only=False))
-                known, at = np.unique(q_terms, return_inverse=True)
-                scores = np.zeros((len(d_ids), len(q_ids)))
-                if len(known) and len(d_terms):
-                    matrix = np.zeros((len(known), len(q_ids)))
-                    matrix[at, q_of] = q_weights
-                    spot = np.searchsorted(known, d_terms).clip(max=len(known) - 1)
-                    hit = known[spot] == d_terms
-                    docs, rows, w = d_of[hit], spot[hit], d_weights[hit]
-                    for a in range(0, len(docs), 20_000):
-                        b = min(a + 20_000, len(docs))
-                        part = matrix[rows[a:b]] * w[a:b, None]
-                        start = np.flatnonzero(np.r_[True, docs[a + 1 : b] != docs[a : b - 1]])
-                        np.add.at(scores, docs[a:b][start], np.add.reduceat(part, start, axis=0))
+                scores = _scores(q_of, q_terms, q_weights, len(q_ids), d_of, d_terms, d_weights, len(d_ids))
                 ids = np.array(d_ids, dtype=object)
                 out_q, out_d, out_s = [], [], []
                 for j, q in enumerate(q_ids):
@@ -86,12 +111,15 @@ def vectors(long: DataFrame) -> DataFrame:
     return x.select("doc", F.col("x.t").alias("terms"), F.col("x.w").alias("weights"))
 
 
-def top_k(queries: DataFrame, rows: DataFrame, k: int, *, drop_self: bool = False) -> DataFrame:
+def top_k(queries: DataFrame, rows: DataFrame, k: int, *, drop_self: bool = False, allow: DataFrame | None = None) -> DataFrame:
     """``q, doc, score, rank``: the ``k`` rows with the largest positive dot product per query.
 
     Both sides are ``doc, terms, weights``. Scores equal to six decimals are
     ordered by ``doc``; a query that shares no term with any row has no result.
+    Only rows whose ``doc`` is in ``allow`` count, where it is given.
     """
+    if allow is not None:
+        rows = rows.join(allow.select(F.col("doc").cast("string").alias("doc")), "doc", "left_semi")
     q = cut(_blocks(queries, QUERY_BLOCK, "q"))
     d = cut(_blocks(rows, ROW_BLOCK, "d"))
     parts = max(1, min(q.count() * d.count(), 100_000))

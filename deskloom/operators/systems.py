@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,11 +67,68 @@ def agent(messages: DataFrame, asked: DataFrame, answers: DataFrame, *, rules: t
     bad = F.col("failed")
     return x.select(
         "episode_id", "customer_text", F.lit(name).alias("system"), F.when(bad, "other").otherwise(F.col("intent")).alias("intent"), F.when(bad, 0.0).otherwise(F.col("confidence")).alias("confidence"),
-        F.when(bad, "").otherwise(F.col("reply")).alias("reply"), F.when(bad, "escalate").otherwise(F.col("route")).alias("route"), F.when(bad, "Escalated because the model failed.").otherwise(F.col("route_reason")).alias("route_reason"),
+        F.when(bad, "").otherwise(F.col("reply")).alias("reply"), F.when(bad, "escalate").otherwise(F.col("route")).alias("route"), F.when(bad, "A person should answer: the model failed.").otherwise(F.col("route_reason")).alias("route_reason"),
         F.when(bad, F.array(F.lit("agent_error"))).otherwise(F.col("fired_rules")).alias("fired_rules"), (~bad & F.col("overridden")).alias("overridden"), F.when(bad, "").otherwise(F.col("model_route")).alias("model_route"), "top_score", "error",
     )
 
 
+def selected(outputs: DataFrame, names: str) -> DataFrame:
+    """Rows of the systems in a comma-separated list; an empty list selects all."""
+    wanted = [x.strip() for x in names.split(",") if x.strip()]
+    return outputs.where(F.col("system").isin(wanted)) if wanted else outputs
+
+
+def first_n(df: DataFrame, n: int, *, order: list[str]) -> DataFrame:
+    """The first ``n`` rows in ``order`` for a smoke run; all for 0."""
+    return df.orderBy(*order).limit(n) if n > 0 else df
+
+
+def run_systems(messages: DataFrame, builders: dict[str, Callable[[DataFrame], DataFrame]], *, only: str = "", first: int = 0) -> DataFrame:
+    """Outputs of every builder, or of those in ``only``, over all messages or the first ones by id."""
+    wanted = [x.strip() for x in only.split(",") if x.strip()] or list(builders)
+    if unknown := [x for x in wanted if x not in builders]:
+        raise ValueError(f"unknown systems: {', '.join(unknown)}")
+    rows = first_n(messages, first, order=["episode_id"])
+    return functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), (builders[x](rows) for x in wanted))
+
+
+def brand_reply(c: Column) -> Column:
+    """What the brand answered, trimmed; blank where it didn't."""
+    return trim_space(F.coalesce(c, F.lit("")))
+
+
+REFERENCE = "human-reference"
+
+
+def with_reference(outputs: DataFrame, golden: DataFrame) -> DataFrame:
+    """``episode_id, system, reply, reference``: replies to grade, with the people's own as one more system, whose reference is withheld."""
+    told = golden.select("episode_id", brand_reply(F.col("delta_reply")).alias("reference"))
+    own = told.select("episode_id", F.lit(REFERENCE).alias("system"), F.col("reference").alias("reply"), F.lit(None).cast("string").alias("reference"))
+    return outputs.select("episode_id", "system", "reply").join(told, "episode_id", "left").unionByName(own)
+
+
+def intents_block(intents: dict[str, str] | None = None) -> str:
+    """The intents for a prompt, one to a line with the route each takes by default."""
+    return "\n".join(f"- {name} (usually {route})" for name, route in (intents or INTENTS).items())
+
+
+def judge_prompt(text: Column, reply: Column, reference: Column) -> Column:
+    """A request to grade ``reply``; a null reference isn't mentioned."""
+    shown = F.when(reference.isNotNull(), F.concat(F.lit("\n\nWhat people answered:\n"), reference)).otherwise(F.lit(""))
+    return F.concat(F.lit("Message:\n"), text, F.lit("\n\nReply to grade:\n"), reply, shown, F.lit("\n\nGrade from 1 to 5 how well the reply keeps to known facts (grounding), how far it settles the matter (resolution) and its manner (tone). Answer as JSON with grounding, resolution, tone, sendable, violation and rationale."))
+
+
+def draft_prompt(text: Column, *, style: str, a: Column | None = None, b: Column | None = None) -> Column:
+    """A request for a label: pass "a" decides at once, "b" weighs the runner-up first, "adjudicate" sees the labels ``a`` and ``b``."""
+    tasks = {
+        "a": "Name the one intent that fits best and the route.",
+        "b": "Name the two most likely intents, say what speaks against each, then decide on one and on the route.",
+        "adjudicate": "Two annotators disagree. Decide which label holds, or give a third.",
+    }
+    seen = F.concat(F.lit("\n\nFirst label: "), a, F.lit("\nSecond label: "), b) if style == "adjudicate" else F.lit("")
+    return F.concat(F.lit("Message:\n"), text, seen, F.lit(f"\n\nIntents:\n{intents_block()}\n\n{tasks[style]} Answer as JSON with intent, route and reason."))
+
+
 def draft_labels(passes: DataFrame) -> DataFrame:
     """Draft labels from two passes and an adjudication of those that differ.
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from deskloom.functions.text import clean, unescape
+from deskloom.operators.sampling import rank_within
 from deskloom.runtime import cut
 
 MIN_LENGTH = 15
@@ -48,25 +49,27 @@ def thread_roots(messages: DataFrame, *, max_steps: int = MAX_STEPS) -> DataFram
     known = nodes.select(F.col("id").alias("known"))
     linked = nodes.join(known, F.col("parent") == F.col("known"), "left")
     step = cut(linked.select("id", F.when((F.col("parent") != 0) & F.col("known").isNotNull(), F.col("parent")).otherwise(F.col("id")).alias("to")).withColumn("fixed", F.col("to") == F.col("id")))
-    state, left, done, limit = step, step.where("NOT fixed").count(), 1, None
+    # what is settled is written once and only looked up from then on
+    settled, moving = step.where("fixed"), step.where("NOT fixed")
+    left, done, limit = moving.count(), 1, None
     while left:
-        ahead = state.select(F.col("id").alias("to"), F.col("to").alias("further"), F.col("fixed").alias("end"))
-        moved = state.where("NOT fixed").join(ahead, "to").select("id", F.col("further").alias("to"), F.col("end").alias("fixed"))
-        state = cut(state.where("fixed").union(moved))
+        ahead = settled.union(moving).select(F.col("id").alias("to"), F.col("to").alias("further"), F.col("fixed").alias("end"))
+        moved = cut(moving.join(ahead, "to").select("id", F.col("further").alias("to"), F.col("end").alias("fixed")))
+        settled, moving = settled.union(moved.where("fixed")), moved.where("NOT fixed")
         done *= 2
         if done == max_steps:
-            limit = state.where("NOT fixed").select("id", F.col("to").alias("reached"))
-        now = state.where("NOT fixed").count()
+            limit = moving.select("id", F.col("to").alias("reached"))
+        now = moving.count()
         if now == left:  # only ways into circles are left
             break
         left = now
-    out = state.where("fixed").select("id", F.col("to").alias("root"))
+    out = settled.select("id", F.col("to").alias("root"))
     if limit is not None:  # longer chains end where the steps do
         out = out.join(limit, "id", "left").select("id", F.coalesce("reached", "root").alias("root"))
     if not left:
         return out
     after = step.select(F.col("id").alias("at"), F.col("to").alias("next"))
-    walking = state.where("NOT fixed").select("id", F.col("id").alias("at"), F.array("id").alias("path"))
+    walking = moving.select("id", F.col("id").alias("at"), F.array("id").alias("path"))
     for n in range(max_steps):
         moved = cut(walking.join(after, "at").select("id", F.col("next").alias("at"), F.array_contains("path", F.col("next")).alias("stop"), F.concat("path", F.array("next")).alias("path")))
         stop = F.col("stop") if n + 1 < max_steps else F.lit(True)
@@ -113,17 +116,20 @@ def build_episodes(messages: DataFrame, roots: DataFrame, *, brand: str, min_len
     )
 
 
-def temporal_split(episodes: DataFrame, *, share: float = HISTORY_SHARE, buckets: int = 256) -> DataFrame:
+def temporal_split(episodes: DataFrame, *, share: float = HISTORY_SHARE) -> DataFrame:
     """Add ``split``: ``history`` for the first ``floor(n * share)`` rows by time and id, else ``eval_pool``.
 
-    Ranks come from counts of time ranges, so no task sorts everything; rows
-    without a time come first.
+    Rows without a time come first. Days are counted, and only the rows of the
+    day that holds the cut are ranked, over ranges, so no task sorts everything.
     """
-    rows = episodes.withColumn("_t", F.coalesce(F.col("created_at").cast("timestamp"), F.lit(ZERO_TIME).cast("timestamp")))
-    spread = cut(rows.repartitionByRange(min(buckets, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "_t", "episode_id").withColumn("_part", F.spark_partition_id()))
-    counts = spread.groupBy("_part").agg(F.count("*").alias("_size"))
-    w = Window.orderBy("_part")  # one row for each range
-    offsets = counts.select("_part", (F.sum("_size").over(w) - F.col("_size")).alias("_before"), F.sum("_size").over(Window.partitionBy()).alias("_n"))
-    rank = F.row_number().over(Window.partitionBy("_part").orderBy("_t", "episode_id")) + F.col("_before")
-    out = spread.join(F.broadcast(offsets), "_part").withColumn("split", F.when(rank <= F.floor(F.col("_n") * F.lit(share)), "history").otherwise("eval_pool"))
-    return out.drop("_t", "_part", "_before", "_n")
+    own = [c for c in episodes.columns if c != "split"]
+    rows = episodes.select(*own, F.coalesce(F.col("created_at").cast("timestamp"), F.lit(ZERO_TIME).cast("timestamp")).alias("_t"))
+    day = F.to_date("_t")
+    days = rows.groupBy(day.alias("_day")).agg(F.count("*").alias("_size"))
+    upto = F.sum("_size").over(Window.orderBy("_day"))  # one row for each day
+    marks = cut(days.select("_day", (F.floor(F.sum("_size").over(Window.partitionBy()) * F.lit(share)) - (upto - F.col("_size"))).alias("_take"), "_size"))
+    whole = F.when(F.col("_take") >= F.col("_size"), "history").when(F.col("_take") <= 0, "eval_pool")
+    marked = rows.withColumn("_day", day).join(marks, "_day").withColumn("split", whole)
+    inside = marked.where("split IS NULL").drop("split")
+    ranked = rank_within(inside, [], ["_t", "episode_id"], "_rank").withColumn("split", F.when(F.col("_rank") <= F.col("_take"), "history").otherwise("eval_pool"))
+    return marked.where("split IS NOT NULL").select(*own, "split").unionByName(ranked.select(*own, "split"))

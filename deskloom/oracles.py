@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from deskloom.functions.text import ALIASES, INTENTS, SPACE, STOPWORDS
-from deskloom.operators.metrics import EDGES, Z
+from deskloom.operators.metrics import BOOTSTRAP, EDGES, EXACT, Z, poisson_table
 from deskloom.operators.policy import DEFAULT_RULES
 from deskloom.operators.systems import CANNED
 
@@ -124,6 +124,8 @@ asked AS (SELECT doc, term, tf FROM a WHERE split = 'eval_pool' AND {NUMBER.form
 sc AS (SELECT q.doc AS q, h.doc AS doc, sum(q.w::DOUBLE * h.w::DOUBLE) AS score FROM q JOIN h USING (term) GROUP BY ALL),
 rk AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(score, 6) DESC, doc) AS rank FROM sc WHERE score > 0)"""
 ORACLES["cosine_topk"] = f"WITH {_R} SELECT q AS query_id, doc AS episode_id, {r('score', 4)} AS score, rank FROM rk WHERE rank <= 5"
+ORACLES["cosine_topk_allowed"] = f"""WITH {_R}, al AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(score, 6) DESC, doc) AS place FROM sc WHERE score > 0 AND doc IN (SELECT episode_id FROM episodes WHERE n_brand_turns > 1))
+SELECT q AS query_id, doc AS episode_id, {r('score', 4)} AS score, place AS rank FROM al WHERE place <= 5"""
 ORACLES["top_score"] = f"WITH {_R} SELECT s.episode_id, {r('coalesce(score, 0)', 4)} AS top_score FROM s LEFT JOIN rk ON rk.q = s.episode_id AND rank = 1 WHERE split = 'eval_pool' AND {NUMBER.format('s.episode_id')} % 20 = 0"
 ORACLES["precedents_dedup"] = f"""WITH {_R}, g AS (SELECT episode_id AS doc, array_to_string({tokens('brand_reply')}[1:6], ' ') AS signature FROM s),
 d AS (SELECT rk.*, row_number() OVER (PARTITION BY q, signature ORDER BY rank) AS twin FROM rk JOIN g USING (doc) WHERE rank <= 48)
@@ -143,6 +145,19 @@ s AS (SELECT u.vec_id, cluster, list_sum(list_transform(range(1, len(u.v) + 1),
 SELECT vec_id, cluster, {r('similarity', 4)} AS similarity FROM s QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY round(similarity, 9) DESC, cluster) = 1"""
 ORACLES["kmeans_update_step"] = f"""WITH {_UNIT}, x AS (SELECT label, unnest(v) AS x, unnest(range(len(v))) AS dim FROM u), s AS (SELECT label, dim, sum(x) AS s, count(*) AS size FROM x GROUP BY ALL)
 SELECT label::BIGINT AS cluster, dim, {r('s / sqrt(sum(s * s) OVER (PARTITION BY label))', 4)} AS value, size FROM s"""
+_DOT = "list_sum(list_transform(range(1, len(u.v) + 1), lambda i: u.v[i] * {}.v[i]))"
+
+
+def _kmeans_rounds(n: int) -> str:
+    sql = f"WITH {_UNIT}, c0 AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS cluster, v FROM (SELECT * FROM u ORDER BY vec_id LIMIT 10))"
+    for i in range(n):
+        sql += f""", a{i} AS (SELECT vec_id, cluster FROM (SELECT u.vec_id, cluster, {_DOT.format(f'c{i}')} AS s FROM u, c{i}) QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY round(s, 9) DESC, cluster) = 1),
+s{i} AS (SELECT cluster, dim, sum(x) AS s FROM (SELECT cluster, unnest(v) AS x, unnest(range(len(v))) AS dim FROM u JOIN a{i} USING (vec_id)) GROUP BY ALL),
+c{i + 1} AS (SELECT cluster, coalesce(n.v, c{i}.v) AS v FROM c{i} LEFT JOIN (SELECT cluster, list(x ORDER BY dim) AS v FROM (SELECT cluster, dim, s / sqrt(sum(s * s) OVER (PARTITION BY cluster)) AS x FROM s{i}) GROUP BY 1) n USING (cluster))"""
+    return sql + f" SELECT vec_id, cluster FROM a{n - 1}"
+
+
+ORACLES["kmeans_rounds"] = _kmeans_rounds(3)
 ORACLES["kmeans_top_terms"] = f"""WITH {EP}, {TERMS_E}, {_fit(_N, 3, 30000)}, {_weigh('c', 'w')}, s AS (SELECT brand, term, sum(w::DOUBLE) AS s FROM w JOIN e ON e.episode_id = w.doc GROUP BY ALL),
 x AS (SELECT brand AS cluster, term, s / sqrt(sum(s * s) OVER (PARTITION BY brand)) AS weight FROM s) SELECT cluster, term, {r('weight', 3)} AS weight FROM x WHERE weight > 0 AND cluster IS NOT NULL QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY round(weight, 6) DESC, term) <= 12"""
 ORACLES["stratified_folds"] = f"""WITH g AS (SELECT episode_id, {intent('gold_intent')} AS label, {draw('episode_id', 3)} AS d FROM golden WHERE gold_intent IS NOT NULL)
@@ -180,7 +195,7 @@ ORACLES["route_decide"] = f"""WITH a AS (SELECT *, {_FIRED} AS hard, coalesce(co
 b AS (SELECT *, list_concat(hard, list_filter([CASE WHEN g1 THEN 'low_intent_confidence' END, CASE WHEN g2 THEN 'no_precedent' END, CASE WHEN g3 THEN 'intent_default_escalate' END], lambda x: x IS NOT NULL)) AS names,
   list_concat(list_transform(hard, lambda x: {_REASON}), list_filter([CASE WHEN g1 THEN 'was classified with little confidence' END, CASE WHEN g2 THEN 'has no similar precedent' END, CASE WHEN g3 THEN 'has intent ' || intent || ', which people handle' END], lambda x: x IS NOT NULL)) AS rs, coalesce(model_route = 'escalate', false) AS me, trim(coalesce(model_reason, '')) AS own FROM a)
 SELECT episode_id, system, CASE WHEN len(names) > 0 OR me THEN 'escalate' ELSE 'auto' END AS route,
-  CASE WHEN len(names) > 0 THEN 'Escalated because it ' || {_JOIN} || '.' WHEN me THEN CASE WHEN own = '' THEN 'The model asked for a person.' ELSE own END ELSE 'Answered: intent ' || coalesce(intent, 'other') || ' needs no person and no rule fired.' END AS route_reason,
+  CASE WHEN len(names) > 0 THEN 'A person should answer: it ' || {_JOIN} || '.' WHEN me THEN CASE WHEN own = '' THEN 'The model asked for a person.' ELSE own END ELSE 'Answered: intent ' || coalesce(intent, 'other') || ' needs no person and no rule fired.' END AS route_reason,
   CASE WHEN len(names) > 0 THEN array_to_string(names, ',') WHEN me THEN 'model_judgement' ELSE '' END AS fired, len(names) > 0 AND coalesce(model_route = 'auto', false) AS overridden FROM b"""
 _J = f"j AS (SELECT o.*, g.gold_intent AS raw_gold, {intent('g.gold_intent')} AS gold_intent, g.gold_route, g.stratum FROM system_outputs o JOIN golden g USING (episode_id) WHERE g.gold_intent IS NOT NULL AND g.gold_intent <> '' AND g.gold_route IS NOT NULL AND g.gold_route <> '')"
 ORACLES["rule_precision"] = f"WITH {_J} SELECT system, rule, count(*) AS n, {r('avg(hit)')} AS precision FROM (SELECT system, unnest(fired_rules) AS rule, (gold_route = 'escalate')::INT AS hit FROM j) GROUP BY ALL"
@@ -199,6 +214,51 @@ ORACLES["trivial_system"] = f"SELECT episode_id, 'trivial-' || route AS system,
 ORACLES["request_keys"] = """SELECT episode_id, sha256('{"model":"m","system":"s","prompt":"' || episode_id || '","max_tokens":16,"temperature":0.0}') AS key FROM golden WHERE customer_text IS NOT NULL"""
 ORACLES["cache_hits_misses"] = """WITH a AS (SELECT DISTINCT customer_text FROM golden WHERE customer_text IS NOT NULL), k AS (SELECT DISTINCT customer_text FROM golden WHERE stratum = 'random' AND customer_text IS NOT NULL)
 SELECT hit, count(*) AS n, count_if(NOT hit) AS failed FROM (SELECT a.customer_text IN (SELECT customer_text FROM k) AS hit FROM a) GROUP BY hit"""
+_MENU = f"chr(10) || chr(10) || 'Intents: {', '.join(LABELS)}' || chr(10) || 'Answer as JSON with intent, route, reason, reply and confidence.'"
+_STUB = f"""('0x' || substr(md5(prompt), 1, 8))::BIGINT"""
+
+
+def _ask(shown: str) -> str:
+    return f"'Message:' || chr(10) || customer_text || chr(10) || chr(10) || 'Earlier answers:' || chr(10) || {shown} || {_MENU}"
+
+
+ORACLES["stub_complete"] = f"""WITH p AS (SELECT episode_id, {_ask("'(none)'")} AS prompt FROM golden WHERE customer_text IS NOT NULL)
+SELECT episode_id, {_list(LABELS)}[{_STUB} % {len(LABELS)} + 1] AS intent, NULL::VARCHAR AS error FROM p"""
+
+
+def _agent(name: str, shown: str) -> str:
+    """The agent over its nearest precedents of all history; the stub answers by the prompt's hash."""
+    return f"""WITH {EP}, {SPLIT.format('customer_text IS NOT NULL')}, k AS (SELECT episode_id, split, {tokens('customer_text')} AS t FROM s),
+c AS (SELECT doc, term, count(*) AS tf FROM (SELECT episode_id AS doc, unnest({terms('t')}) AS term FROM k WHERE split = 'history') GROUP BY ALL), g AS (SELECT DISTINCT episode_id, customer_text FROM golden WHERE customer_text IS NOT NULL),
+gk AS (SELECT episode_id, {tokens('customer_text')} AS t FROM g), asked AS (SELECT doc, term, count(*) AS tf FROM (SELECT episode_id AS doc, unnest({terms('t')}) AS term FROM gk) GROUP BY ALL),
+{_fit("SELECT count(*) FROM s WHERE split = 'history'", 2, 60000)}, {_weigh('c', 'h')}, {_weigh('asked', 'q')},
+sc AS (SELECT q.doc AS q, h.doc AS doc, sum(q.w::DOUBLE * h.w::DOUBLE) AS score FROM q JOIN h USING (term) GROUP BY ALL),
+rk AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(score, 6) DESC, doc) AS rank FROM sc WHERE score > 0 QUALIFY rank <= 48),
+d AS (SELECT rk.*, s.customer_text AS customer, coalesce(s.brand_reply, '') AS reply, row_number() OVER (PARTITION BY q, array_to_string({tokens("coalesce(s.brand_reply, '')")}[1:6], ' ') ORDER BY rank) AS twin FROM rk JOIN s ON s.episode_id = rk.doc),
+n AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY rank) AS place FROM d WHERE twin = 1 QUALIFY place <= 6),
+li AS (SELECT q AS episode_id, string_agg(format('{{}}. ({{:.2f}}) customer: {{}}' || chr(10) || '   reply: {{}}', place, score, customer, reply), chr(10) ORDER BY place) AS lines, max(score) FILTER (place = 1) AS best FROM n GROUP BY 1),
+p AS (SELECT g.episode_id, customer_text, {_ask(shown)} AS prompt, coalesce(best, 0) AS top_score FROM g LEFT JOIN li USING (episode_id)),
+b AS (SELECT *, {_list(LABELS)}[{_STUB} % {len(LABELS)} + 1] AS intent, CASE WHEN {_STUB} % 3 = 0 THEN 'escalate' ELSE 'auto' END AS model_route, ({_STUB} % 100) / 100 AS confidence, {_FIRED} AS hard FROM p),
+e2 AS (SELECT *, list_concat(hard, list_filter([CASE WHEN confidence < 0.6 THEN 'low_intent_confidence' END, CASE WHEN top_score < 0.12 THEN 'no_precedent' END, CASE WHEN list_contains({_ESC}, intent) THEN 'intent_default_escalate' END], lambda x: x IS NOT NULL)) AS names,
+  list_concat(list_transform(hard, lambda x: {_REASON}), list_filter([CASE WHEN confidence < 0.6 THEN 'was classified with little confidence' END, CASE WHEN top_score < 0.12 THEN 'has no similar precedent' END, CASE WHEN list_contains({_ESC}, intent) THEN 'has intent ' || intent || ', which people handle' END], lambda x: x IS NOT NULL)) AS rs FROM b)
+SELECT episode_id, customer_text, '{name}' AS system, intent, confidence, '' AS reply, CASE WHEN len(names) > 0 OR model_route = 'escalate' THEN 'escalate' ELSE 'auto' END AS route,
+  CASE WHEN len(names) > 0 THEN 'A person should answer: it ' || {_JOIN} || '.' WHEN model_route = 'escalate' THEN 'The model asked for a person.' ELSE 'Answered: intent ' || intent || ' needs no person and no rule fired.' END AS route_reason,
+  CASE WHEN len(names) > 0 THEN array_to_string(names, ',') WHEN model_route = 'escalate' THEN 'model_judgement' ELSE '' END AS fired_rules, len(names) > 0 AND model_route = 'auto' AS overridden, model_route, {r('top_score', 4)} AS top_score, NULL::VARCHAR AS error FROM e2"""
+
+
+ORACLES["agent_system"] = _agent("agent", "coalesce(lines, '(none)')")
+ORACLES["agent_no_retrieval"] = _agent("agent-no-retrieval", "'(none)'")
+ORACLES["system_driver"] = "SELECT episode_id, system, 'other' AS intent, substr(system, 9) AS route FROM golden, (VALUES ('trivial-auto'), ('trivial-escalate')) AS t(system)"
+ORACLES["selected_systems"] = "SELECT episode_id, system, route FROM system_outputs WHERE system IN ('agent', 'simple')"
+ORACLES["first_messages"] = "SELECT episode_id, stratum FROM golden ORDER BY episode_id LIMIT 25"
+ORACLES["auto_shares"] = f"SELECT system, count(*) AS n, {r('coalesce(avg((route = ' + chr(39) + 'auto' + chr(39) + ')::INT), 0)')} AS auto_share FROM system_outputs GROUP BY 1"
+_TOLD = f"t AS (SELECT episode_id, {trim('coalesce(delta_reply, ' + chr(39) * 2 + ')')} AS reference FROM golden)"
+ORACLES["reference_rows"] = f"WITH {_TOLD} SELECT o.episode_id, system, reply, reference FROM system_outputs o LEFT JOIN t USING (episode_id) UNION ALL SELECT episode_id, 'human-reference', reference, NULL FROM t"
+ORACLES["golden_rows"] = f"""WITH {EP}, d AS (SELECT episode_id FROM e ORDER BY {draw('episode_id', 7)}, episode_id LIMIT 120)
+SELECT episode_id, 'random' AS stratum, 'uniform draw' AS stratum_note, strftime(created_at, '%Y-%m-%dT%H:%M:%SZ') AS created_at, customer_text, brand_reply AS delta_reply, n_turns, '' AS gold_intent, '' AS gold_route, '' AS gold_reason, '' AS label_source FROM d JOIN e USING (episode_id) ORDER BY episode_id"""
+ORACLES["draft_summary"] = f"""WITH x AS (SELECT stratum, {intent('draft_intent')} AS intent, {route("coalesce(draft_route, '')")} AS route, passes_agreed::INT AS agreed FROM golden),
+z AS (SELECT stratum, intent, route, grouping(stratum, intent, route) AS gid, count(*) AS n, {r('avg(agreed)')} AS agree FROM x GROUP BY GROUPING SETS ((intent), (route), (stratum, route)))
+SELECT CASE gid WHEN 5 THEN 'intent' WHEN 6 THEN 'route' ELSE 'stratum_route' END AS kind, stratum, intent, route, n, agree FROM z"""
 _D = {p: (f"({intent(i)})", f"({route('coalesce(' + t + ', ' + chr(39) * 2 + ')')})") for p, i, t in (("a", "pass_a_intent", "pass_a_route"), ("b", "pass_b_intent", "pass_b_route"), ("c", "human_intent", "human_route"))}
 _AGREE = f"({_D['a'][0]} = {_D['b'][0]} AND {_D['a'][1]} = {_D['b'][1]})"
 ORACLES["draft_labels"] = f"""SELECT episode_id, {_D['a'][0]} AS pass_a_intent, {_D['a'][1]} AS pass_a_route, {_D['b'][0]} AS pass_b_intent, {_D['b'][1]} AS pass_b_route, {_AGREE} AS passes_agreed, CASE WHEN {_AGREE} THEN 'easy' ELSE 'hard' END AS difficulty,
@@ -240,9 +300,33 @@ def _wilson(k: str, n: str, sign: str) -> str:
 
 
 ORACLES["wilson_ci"] = f"WITH x AS (SELECT system, count_if(sendable) AS k, count(*) AS n FROM judge_scores GROUP BY 1) SELECT system, k, n, {r(_wilson('k', 'n', '-'))} AS low, {r(_wilson('k', 'n', '+'))} AS high FROM x"
-ORACLES["bootstrap_ci"] = f"""WITH b AS (SELECT system, episode_id, max(composite) AS v FROM judge_scores WHERE grounding > 0 GROUP BY ALL), x AS (SELECT *, row_number() OVER (PARTITION BY system ORDER BY episode_id) - 1 AS i FROM b WHERE v IS NOT NULL), z AS (SELECT system, count(*) AS n, avg(v) AS mean FROM x GROUP BY 1),
-d AS (SELECT system, n, b, unnest(range(n)) AS j FROM z, (SELECT unnest(range(200)) AS b)), q AS (SELECT system, b, {draw("b || ':' || j", 29)} % n AS i FROM d), m AS (SELECT system, b, avg(v) AS m FROM q JOIN x USING (system, i) GROUP BY ALL), o AS (SELECT system, list_sort(list(m)) AS ms FROM m GROUP BY 1)
-SELECT system, n, {r('mean', 4)} AS mean, {r('ms[6]', 4)} AS low, {r('ms[196]', 4)} AS high FROM z JOIN o USING (system)"""
+_TABLE = "[" + ", ".join("[" + ", ".join(f"{x!r}::DOUBLE" for x in row) + "]" for row in poisson_table()) + "]"
+
+
+def _resampled(n: str, key: str, seed: int) -> str:
+    u, v = f"(({draw(key, seed)} + 0.5) / 4294967296.0::DOUBLE)", f"(({draw('(' + key + ') || chr(39)', seed)} + 0.5) / 4294967296.0::DOUBLE)"
+    few = f"len(list_filter(poisson.t[least({n}, {EXACT}) + 1], lambda x: x < {u}))"
+    return f"CASE WHEN {n} <= {EXACT} THEN {few} ELSE greatest(0, round({n} + sqrt({n}::DOUBLE) * sqrt(-2 * ln({u})) * cos(2 * pi() * {v})))::BIGINT END"
+
+
+def _bootstrap(values: str) -> str:
+    """``system, n, mean, low, high`` of ``v`` by system in ``values``."""
+    return f"""poisson AS (SELECT {_TABLE} AS t), bv AS (SELECT system, round(v::DOUBLE * 1000000)::BIGINT AS v, count(*) AS c FROM {values} WHERE v IS NOT NULL GROUP BY ALL), bz AS (SELECT system, sum(c)::BIGINT AS n, sum(c * v)::DOUBLE / sum(c) / 1e6 AS mean FROM bv GROUP BY 1),
+bw AS (SELECT system, b, v, {_resampled('c', "system || ':' || b || ':' || v", 29)} AS w FROM bv, poisson, (SELECT unnest(range({BOOTSTRAP})) AS b)),
+bm AS (SELECT system, b, coalesce(sum(w * v)::DOUBLE / nullif(sum(w), 0) / 1e6, any_value(mean)) AS m FROM bw JOIN bz USING (system) GROUP BY ALL), bo AS (SELECT system, list_sort(list(m)) AS ms FROM bm GROUP BY 1)
+SELECT system, n, {r('mean', 4)} AS mean, {r(f'ms[{int(0.025 * BOOTSTRAP) + 1}]', 4)} AS low, {r(f'ms[{int(0.975 * BOOTSTRAP) + 1}]', 4)} AS high FROM bz JOIN bo USING (system)"""
+
+
+ORACLES["bootstrap_ci"] = f"WITH b0 AS (SELECT system, episode_id, max(composite) AS v FROM judge_scores WHERE grounding > 0 GROUP BY ALL), {_bootstrap('b0')}"
+ORACLES["composite_intervals"] = f"WITH b0 AS (SELECT system, episode_id, max(composite) AS v FROM judge_scores WHERE (error IS NULL OR error = '') AND grounding > 0 GROUP BY ALL), {_bootstrap('b0')}"
+_CELL = "system || ':' || part || ':' || gold || ':' || pred || ':' || b"
+ORACLES["system_intervals"] = f"""WITH {_J}, {_PARTS}, {_CELLS2}, poisson AS (SELECT {_TABLE} AS t),
+x AS (SELECT system, part, gold, pred, b, {_resampled('n', _CELL, 17)} AS s, {_resampled('n', _CELL, 19)} AS w FROM c, poisson, (SELECT unnest(range({BOOTSTRAP})) AS b)),
+a AS (SELECT system, part, b, {div('sum(CASE WHEN gold = pred THEN s ELSE 0 END)', 'sum(s)')} AS a FROM x GROUP BY ALL),
+l AS (SELECT system, part, b, label, sum(su) AS su, sum(pr) AS pr, sum(h) AS h FROM (SELECT system, part, b, gold AS label, w AS su, 0 AS pr, CASE WHEN gold = pred THEN w ELSE 0 END AS h FROM x UNION ALL SELECT system, part, b, pred, 0, w, 0 FROM x) GROUP BY ALL),
+f AS (SELECT system, part, b, coalesce(avg({div('2 * h', 'su + pr')}) FILTER (su > 0), 0) AS f FROM l GROUP BY ALL),
+o AS (SELECT system, part, list_sort(list(a)) AS aa, list_sort(list(f)) AS ff FROM a JOIN f USING (system, part, b) GROUP BY ALL)
+SELECT system, part, {', '.join(f"{r(f'{xs}[{int(q * BOOTSTRAP) + 1}]', 4)} AS {name}_{end}" for xs, name in (('aa', 'accuracy'), ('ff', 'macro_f1')) for q, end in ((0.025, 'low'), (0.975, 'high')))} FROM o"""
 _P = f"p AS (SELECT stratum, {intent('pass_a_intent')} AS a, {intent('pass_b_intent')} AS b FROM golden WHERE pass_a_intent IS NOT NULL AND pass_b_intent IS NOT NULL)"
 ORACLES["agreement"] = f"WITH {_P} SELECT stratum, count(*) AS n, {r('avg((a = b)::INT)')} AS agree FROM p GROUP BY 1"
 
@@ -277,10 +361,15 @@ _BEST = "best AS (SELECT system, episode_id, max({'composite': composite, 'groun
 ORACLES["judge_aggregate"] = f"""WITH {_BEST}, o AS (SELECT DISTINCT system, episode_id, route FROM system_outputs), x AS (SELECT best.system, s, route FROM best LEFT JOIN o USING (system, episode_id)),
 a AS (SELECT system, count(*) AS n, count_if(s.sendable) AS k, count_if(route = 'auto') AS auto_n, count_if(route = 'auto' AND s.sendable) AS ak, avg(s.grounding) AS g, avg(s.resolution) AS re, avg(s.tone) AS t, avg(s.composite) AS c, count_if(s.violation <> '') AS v FROM x GROUP BY 1)
 SELECT system, n, auto_n, {r('g')} AS grounding, {r('re')} AS resolution, {r('t')} AS tone, {r('c')} AS composite, {r(div('k', 'n'))} AS sendable, {r(_wilson('k', 'n', '-'))} AS sendable_low, {r(_wilson('k', 'n', '+'))} AS sendable_high, {r(div('v', 'n'))} AS violations, {r(div('ak', 'auto_n'))} AS auto_sendable FROM a"""
-ORACLES["judge_human_agreement"] = f"""WITH s AS (SELECT system, episode_id, max({{'composite': composite, 'grounding': grounding, 'resolution': resolution, 'tone': tone}}) AS g FROM judge_scores WHERE grounding > 0 GROUP BY ALL),
+ORACLES["judge_human_agreement"] = f"""WITH s AS (SELECT system, episode_id, max({{'composite': composite, 'grounding': grounding, 'resolution': resolution, 'tone': tone, 'sendable': sendable}}) AS g FROM judge_scores WHERE grounding > 0 GROUP BY ALL),
 w AS (SELECT a.g AS x, b.g AS y FROM s a JOIN s b USING (episode_id) WHERE a.system = 'agent' AND b.system = 'agent-no-retrieval'),
 x AS (SELECT 'grounding' AS dimension, x.grounding AS a, y.grounding AS b FROM w UNION ALL SELECT 'resolution', x.resolution, y.resolution FROM w UNION ALL SELECT 'tone', x.tone, y.tone FROM w), {_qk('x', 'dimension')},
-o AS (SELECT dimension, count(*) AS n, {r('avg((a = b)::INT)')} AS exact, {r('avg(abs(a - b))')} AS mae FROM x WHERE a - b IS NOT NULL GROUP BY 1) SELECT dimension, o.n, exact, mae, {r('kappa')} AS kappa FROM o JOIN qk USING (dimension)"""
+o AS (SELECT dimension, count(*) AS n, {r('avg((a = b)::INT)')} AS exact, {r('avg(abs(a - b))')} AS mae FROM x WHERE a - b IS NOT NULL GROUP BY 1),
+rk AS (SELECT rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2.0 AS ra, rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2.0 AS rb FROM (SELECT x.composite AS a, y.composite AS b FROM w WHERE x.composite IS NOT NULL AND y.composite IS NOT NULL)),
+se AS (SELECT 'sendable' AS dimension, x.sendable AS a, y.sendable AS b FROM w WHERE x.sendable IS NOT NULL AND y.sendable IS NOT NULL), {_kappa('se', 'dimension')}
+SELECT dimension, o.n, exact, mae, {r('kappa')} AS kappa, NULL::DOUBLE AS rho FROM o JOIN qk USING (dimension)
+UNION ALL SELECT 'composite', count(*), NULL, NULL, NULL, {r(_CORR.format('ra', 'rb'))} FROM rk HAVING count(*) > 0
+UNION ALL SELECT dimension, n, {r('po')}, NULL, {r(_KV)}, NULL FROM kk"""
 ORACLES["label_quality"] = f"""WITH p AS (SELECT 'anchored' AS kind, {intent('draft_intent')} AS a, {intent('human_intent')} AS b FROM golden WHERE reviewed AND draft_intent IS NOT NULL AND human_intent IS NOT NULL
 UNION ALL SELECT 'blind', {intent('base')}, {intent('i')} FROM (SELECT a.intent AS i, coalesce(nullif(g.draft_intent, ''), g.gold_intent) AS base FROM audits a JOIN golden g USING (episode_id) WHERE a.intent IS NOT NULL) WHERE base IS NOT NULL), {_kappa('p', 'kind')} SELECT kind, n, {r('po')} AS agree, {r(_KV)} AS kappa FROM kk"""
 ORACLES["golden_stats"] = f"""WITH g AS (SELECT stratum, CASE WHEN gold_intent IS NOT NULL THEN {intent('gold_intent')} END AS intent, gold_route AS route, reviewed, human_changed, passes_agreed FROM golden), x AS (SELECT grouping(stratum, intent, route) AS gid, stratum, intent, route, count(*) AS n, count_if(reviewed) AS reviewed, count_if(human_changed) AS changed, count_if(passes_agreed) AS agreed FROM g GROUP BY GROUPING SETS ((stratum), (intent), (route), (stratum, route)))

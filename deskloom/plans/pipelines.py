@@ -25,7 +25,10 @@ def _clustered(docs: DataFrame, k: int, *, min_df: int, cap: int, seed: int, max
 
 
 def discover_intents(history: DataFrame, *, sample: int = SAMPLE, k: int = CLUSTERS, seed: int = 42, max_iter: int = 40) -> DataFrame:
-    """``cluster, size, top_terms, examples`` of a seeded sample of ``episode_id, customer_text``: a report of ``k`` rows."""
+    """``cluster, size, top_terms, examples, proposed_name, rationale`` of a seeded sample of ``episode_id, customer_text``: a report of ``k`` rows.
+
+    A cluster is named after its two heaviest single words.
+    """
     docs = cut(sampling.uniform(history.where("customer_text IS NOT NULL"), sample, key="episode_id", seed=seed).select(F.col("episode_id").alias("doc"), F.col("customer_text").alias("text")))
     labels, weights = _clustered(docs, k, min_df=3, cap=30_000, seed=seed, max_iter=max_iter)
     labels = cut(labels)
@@ -34,7 +37,17 @@ def discover_intents(history: DataFrame, *, sample: int = SAMPLE, k: int = CLUST
     w = Window.partitionBy("cluster").orderBy("doc")
     some = labels.join(docs, "doc").withColumn("n", F.row_number().over(w)).where(F.col("n") <= EXAMPLES)
     examples = some.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "text"))), lambda x: x["text"]).alias("examples"))
-    return sizes.join(terms, "cluster", "left").join(examples, "cluster", "left")
+    x = sizes.join(terms, "cluster", "left").join(examples, "cluster", "left")
+    words = F.slice(F.filter("top_terms", lambda t: ~t.contains("_")), 1, 2)
+    name = F.coalesce(F.nullif(F.array_join(words, "_"), F.lit("")), F.concat(F.lit("cluster_"), F.col("cluster").cast("string")))
+    return x.withColumn("proposed_name", name).withColumn("rationale", F.concat(F.lit("most telling: "), F.coalesce(F.array_join(F.slice("top_terms", 1, 5), ", "), F.lit("nothing"))))
+
+
+def golden_rows(sample: DataFrame, episodes: DataFrame) -> DataFrame:
+    """The unlabelled golden set in order of ``episode_id`` (a sample of fixed size): ``sample`` is ``episode_id, stratum, stratum_note``."""
+    e = episodes.select("episode_id", F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("created_at"), "customer_text", F.col("brand_reply").alias("delta_reply"), "n_turns")
+    blank = [F.lit("").alias(c) for c in ("gold_intent", "gold_route", "gold_reason", "label_source")]
+    return sample.join(e, "episode_id").select("episode_id", "stratum", "stratum_note", "created_at", "customer_text", "delta_reply", "n_turns", *blank).orderBy("episode_id")
 
 
 def golden_sample(pool: DataFrame, *, n_random: int = RANDOM, n_targeted: int = TARGETED, topics: int = TOPICS, rules: tuple[Rule, ...] = DEFAULT_RULES, seed: int = 7, max_iter: int = 30) -> DataFrame:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from deskloom.functions import text
 from deskloom.operators import complete, learning, metrics, policy, sampling, search, systems, threads, tfidf
 from deskloom.plans import pipelines, report
-from deskloom.runtime import cut, table
+from deskloom.runtime import cut, shared_dir, table
 from deskloom.sources import io
 from deskloom.streaming import intake
 
@@ -191,6 +193,15 @@ def cosine_topk(spark, d):
     return near.select(F.col("q").alias("query_id"), F.col("doc").alias("episode_id"), rounded(F.col("score"), 4).alias("score"), long(F.col("rank")).alias("rank"))
 
 
+@query
+def cosine_topk_allowed(spark, d):
+    """The same queries against history that the brand answered more than once."""
+    _, q, index = _retrieval(spark, d)
+    allow = episodes(spark, d, "n_brand_turns").where("n_brand_turns > 1").select(F.col("episode_id").alias("doc"))
+    near = search.top_k(search.vectors(q), search.vectors(index), 5, allow=allow)
+    return near.select(F.col("q").alias("query_id"), F.col("doc").alias("episode_id"), rounded(F.col("score"), 4).alias("score"), long(F.col("rank")).alias("rank"))
+
+
 @query
 def top_score(spark, d):
     rows, q, index = _retrieval(spark, d)
@@ -253,6 +264,13 @@ def kmeans_fit(spark, d):
     return labels.select(F.col("doc").alias("vec_id"), "cluster")
 
 
+@query
+def kmeans_rounds(spark, d):
+    """Three rounds from the first ten vectors."""
+    labels, _ = learning.kmeans(table(spark, d, "embeddings"), 10, doc="vec_id", vector="embedding", start=_centroids(spark, d), max_iter=3)
+    return labels.select(F.col("doc").alias("vec_id"), long(F.col("cluster")).alias("cluster"))
+
+
 @query
 def kmeans_top_terms(spark, d):
     """The 12 heaviest terms of the centroid of every brand's messages."""
@@ -438,12 +456,67 @@ def _with_precedents(spark, d):
     return g.join(lists, "episode_id", "left").select("episode_id", "customer_text", F.coalesce(shown, none).alias("precedents"), F.coalesce(F.get("found", F.lit(0))["score"], F.lit(0.0)).alias("top_score"))
 
 
-@query
-def agent_system(spark, d):
+def _agent(spark, d, name, shown):
     g = cut(_with_precedents(spark, d))
-    asked = systems.requests(g, systems.agent_prompt(F.col("customer_text"), F.col("precedents")), key="episode_id", model="stub")
+    asked = systems.requests(g, systems.agent_prompt(F.col("customer_text"), shown), key="episode_id", model="stub")
     answers = complete.complete(asked, complete.Stub(LABELS)).select("key", "json", "error")
-    return systems.agent(g, asked, answers, rules=policy.DEFAULT_RULES)
+    return systems.agent(g, asked, answers, rules=policy.DEFAULT_RULES, name=name).withColumn("fired_rules", F.array_join("fired_rules", ",")).withColumn("top_score", rounded(F.col("top_score"), 4))
+
+
+@query
+def agent_system(spark, d):
+    return _agent(spark, d, "agent", F.col("precedents"))
+
+
+@query
+def agent_no_retrieval(spark, d):
+    """The prompt shows no precedent; the best score still feeds the gate."""
+    return _agent(spark, d, "agent-no-retrieval", F.array().cast("array<struct<customer string, brand_reply string, score double>>"))
+
+
+@query
+def system_driver(spark, d):
+    """Selected systems over all golden messages."""
+    g = table(spark, d, "golden").select("episode_id", "customer_text")
+    builders = {f"trivial-{r}": lambda m, r=r: systems.trivial(m, route=r, intent="other") for r in ("auto", "escalate")}
+    return systems.run_systems(g, builders, only="trivial-escalate, trivial-auto").select("episode_id", "system", "intent", "route")
+
+
+@query
+def selected_systems(spark, d):
+    return systems.selected(table(spark, d, "system_outputs"), "agent, simple").select("episode_id", "system", "route")
+
+
+@query
+def first_messages(spark, d):
+    """The smoke-run limit: the first 25 golden messages by id."""
+    return systems.first_n(table(spark, d, "golden").select("episode_id", "stratum"), 25, order=["episode_id"])
+
+
+@query
+def auto_shares(spark, d):
+    return io.auto_shares(table(spark, d, "system_outputs")).select("system", "n", rounded(F.col("auto_share")).alias("auto_share"))
+
+
+@query
+def reference_rows(spark, d):
+    """Replies to grade, people's own among them with the reference withheld."""
+    return systems.with_reference(table(spark, d, "system_outputs"), table(spark, d, "golden"))
+
+
+@query
+def golden_rows(spark, d):
+    """The uniform stratum of the golden set, projected and in order of id."""
+    drawn = sampling.uniform(episodes(spark, d), 120, key="episode_id", seed=7).select("episode_id", F.lit("random").alias("stratum"), F.lit("uniform draw").alias("stratum_note"))
+    return pipelines.golden_rows(drawn, episodes(spark, d, "created_at", "customer_text", "brand_reply", "n_turns"))
+
+
+@query
+def draft_summary(spark, d):
+    """Drafts by intent, by route, and by stratum and route, with the share of agreeing passes."""
+    x = table(spark, d, "golden").select("stratum", text.normalise_intent(F.col("draft_intent")).alias("intent"), text.normalise_route(F.coalesce("draft_route", F.lit(""))).alias("route"), F.col("passes_agreed").cast("int").alias("agreed"))
+    sets = x.groupingSets([["intent"], ["route"], ["stratum", "route"]], "stratum", "intent", "route").agg(F.grouping_id().alias("gid"), F.count("*").alias("n"), rounded(F.avg("agreed")).alias("agree"))
+    return sets.select(F.when(F.col("gid") == 5, "intent").when(F.col("gid") == 6, "route").otherwise("stratum_route").alias("kind"), "stratum", "intent", "route", "n", "agree")
 
 
 @query
@@ -500,6 +573,19 @@ def system_metrics(spark, d):
     return m.select("system", "part", "n_intent", *(rounded(F.col(c)).alias(c) for c in ("intent_accuracy", "macro_f1", "weighted_f1", "auto_rate", "false_auto_rate", "escalation_recall")))
 
 
+@query
+def system_intervals(spark, d):
+    """Bootstrap intervals of accuracy and macro F1 per system, over all and by part of the sample."""
+    i = report.system_intervals(_labelled(spark, d))
+    return i.select("system", "part", *(rounded(F.col(c), 4).alias(c) for c in ("accuracy_low", "accuracy_high", "macro_f1_low", "macro_f1_high")))
+
+
+@query
+def composite_intervals(spark, d):
+    c = report.composite_intervals(table(spark, d, "judge_scores"))
+    return c.select("system", "n", *(rounded(F.col(x), 4).alias(x) for x in ("mean", "low", "high")))
+
+
 @query
 def routing_metrics(spark, d):
     r = metrics.routing(_joined(spark, d), by=["system"], gold="gold_route", pred="route")
@@ -522,7 +608,7 @@ def wilson_ci(spark, d):
 def bootstrap_ci(spark, d):
     """Composite of every system's graded replies; a resample has as many draws as there are replies."""
     best = table(spark, d, "judge_scores").where("grounding > 0").groupBy("system", "episode_id").agg(F.max("composite").alias("composite"))
-    b = metrics.bootstrap_mean(best, "composite", by=["system"], key="episode_id", seed=29, iterations=200)
+    b = metrics.bootstrap_mean(best, "composite", by=["system"], seed=29)
     return b.select("system", "n", *(rounded(F.col(c), 4).alias(c) for c in ("mean", "low", "high")))
 
 
@@ -582,14 +668,11 @@ def judge_aggregate(spark, d):
 
 @query
 def judge_human_agreement(spark, d):
-    """The two agent variants' grades of one message against each other, per dimension."""
-    s = table(spark, d, "judge_scores").where("grounding > 0").groupBy("system", "episode_id").agg(F.max(F.struct("composite", "grounding", "resolution", "tone")).alias("g")).select("system", "episode_id", "g.*")
-    a, b = s.where("system = 'agent'").alias("a"), s.where("system = 'agent-no-retrieval'").alias("b")
-    both = a.join(b, F.col("a.episode_id") == F.col("b.episode_id"))
-    kinds = F.explode(F.array(*(F.struct(F.lit(c).alias("dimension"), F.col(f"a.{c}").alias("x"), F.col(f"b.{c}").alias("y")) for c in ("grounding", "resolution", "tone")))).alias("k")
-    rows = both.select(kinds).select("k.*")
-    o = metrics.ordinal_agreement(rows, "x", "y", by=["dimension"]).select("dimension", "n", rounded(F.col("exact")).alias("exact"), rounded(F.col("mae")).alias("mae"))
-    return o.join(metrics.quadratic_kappa(rows, "x", "y", by=["dimension"]).select("dimension", rounded(F.col("quadratic_kappa")).alias("kappa")), "dimension")
+    """Grades of one message's two agent variants, the second in the place of people's: no ratings by people are in the tables."""
+    s = table(spark, d, "judge_scores").where("grounding > 0").groupBy("system", "episode_id").agg(F.max(F.struct("composite", "grounding", "resolution", "tone", "sendable")).alias("g")).select("system", "episode_id", "g.*")
+    one = lambda name: s.where(F.col("system") == name).withColumn("system", F.lit("any"))
+    j = report.judge_human(one("agent"), one("agent-no-retrieval"))
+    return j.select("dimension", "n", *(rounded(F.col(c)).alias(c) for c in ("exact", "mae", "kappa", "rho")))
 
 
 @query
@@ -626,13 +709,19 @@ def confusion_pivot(spark, d):
 
 @query
 def report_bundle(spark, d):
-    """The report as one row of Markdown, from metric tables of fixed size."""
+    """The report as one row of Markdown: nine sections from metric tables of fixed size."""
     joined = cut(_labelled(spark, d))
+    scores, outputs = table(spark, d, "judge_scores"), table(spark, d, "system_outputs")
     sections = [
-        ("Systems", report.system_metrics(joined), ["system", "part"]),
-        ("Replies", report.judge_aggregate(table(spark, d, "judge_scores"), table(spark, d, "system_outputs")), ["system"]),
+        ("Labelled set", golden_stats(spark, d), ["kind", "stratum", "intent", "route"]),
+        ("Label quality", label_quality(spark, d), ["kind"]),
+        ("Intent and routing", report.system_metrics(joined).join(report.system_intervals(joined), ["system", "part"], "left"), ["system", "part"]),
+        ("Confusion", confusion_pivot(spark, d), ["system", "gold"]),
+        ("Replies", report.judge_aggregate(scores, outputs).join(report.composite_intervals(scores).select("system", "low", "high"), "system", "left"), ["system"]),
+        ("Judge against a second grader", judge_human_agreement(spark, d), ["dimension"]),
+        ("Guardrails", ablation_model_only(spark, d).withColumn("what", F.lit("routing")).select("what", "system", F.col("variant").alias("name"), "n", F.col("false_auto_rate").alias("value")).union(rule_precision(spark, d).select(F.lit("rule precision"), "system", "rule", "n", "precision")), ["what", "system", "name"]),
         ("Calibration", metrics.calibration(joined, by=["system"], confidence="confidence", correct=F.col("intent") == F.col("gold_intent")), ["system", "bin"]),
-        ("Failures", report.failure_gallery(joined, table(spark, d, "judge_scores")), ["kind", "place"]),
+        ("Failures", report.failure_gallery(joined, scores), ["kind", "place"]),
     ]
     return spark.createDataFrame([(report.markdown("Evaluation", sections),)], "markdown string")
 
@@ -640,9 +729,7 @@ def report_bundle(spark, d):
 @query
 def jsonl_round_trip(spark, d):
     """Episodes through the JSON lines sink and the strict reader."""
-    from deskloom.runtime import shared_dir
-
-    path = f"{shared_dir(spark)}/jsonl-{abs(hash(d)) % 10**9}"
+    path = f"{shared_dir(spark)}/jsonl-{hashlib.md5(d.encode()).hexdigest()[:12]}"
     io.write_jsonl(episodes(spark, d, *EPISODE), path)
     schema = "episode_id string, brand string, customer_id string, created_at timestamp, customer_text string, brand_reply string, n_turns int"
     return io.read_jsonl(spark, path, schema).select("episode_id", "customer_text", "brand_reply", long(F.col("n_turns")).alias("n_turns"))

@@ -38,6 +38,7 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: computes ``df`` once and forgets its lineage."""
     path = shared_dir(df.sparkSession)
+    ship(df.sparkSession)
     if df.sparkSession.sparkContext.getCheckpointDir() is None:
         df.sparkSession.sparkContext.setCheckpointDir(path)
     return df.checkpoint(eager=True)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import csv
+import io as _io
 import json
 import os
 import tempfile
 from collections.abc import Iterable
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,15 +26,28 @@ EPISODE_LINE, CACHE_LINE = 16 << 20, 32 << 20
 def read_messages_csv(spark: SparkSession, path: str) -> DataFrame:
     """Raw message rows in header order, with ``row_no`` for the order of delivery.
 
-    Ragged rows and loose quotes are tolerated; the header names the columns.
-    Rows that can't be read at all come out null and fall to the id filter of
-    the thread builder.
+    Loose quotes are tolerated and rows with more fields than the header keep
+    their first ones; rows of fewer than seven fields are skipped. The header
+    names the columns.
     """
-    df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("mode", "PERMISSIVE").csv(path)
-    wanted = [f.name for f in T._parse_datatype_string(RAW)]
-    if len(df.columns) < len(wanted):
-        raise ValueError(f"a message file has at least {len(wanted)} columns, this one {len(df.columns)}")
-    return df.select(*(F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in wanted)).withColumn("row_no", F.monotonically_increasing_id())
+    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("mode", "PERMISSIVE")
+    columns, wanted = reader.csv(path).columns, [f.name for f in T._parse_datatype_string(RAW)]
+    if len(columns) < len(wanted):
+        raise ValueError(f"a message file has at least {len(wanted)} columns, this one {len(columns)}")
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*columns, _BAD]])
+    df = reader.schema(schema).option("columnNameOfCorruptRecord", _BAD).option("enforceSchema", True).csv(path).withColumn("row_no", F.monotonically_increasing_id())
+    # only ragged rows come with their record, whose fields are counted
+    ragged = F.col(_BAD)
+    whole = df.where(ragged.isNull() | (_fields(F.when(ragged.isNotNull(), ragged)) >= len(wanted)))
+    return whole.select(*(F.col(c) if c in columns else F.lit(None).cast("string").alias(c) for c in wanted), "row_no")
+
+
+_BAD = "_ragged_record"
+
+
+@F.pandas_udf(T.IntegerType())
+def _fields(records: pd.Series) -> pd.Series:
+    return records.map(lambda x: len(next(csv.reader(_io.StringIO(x, newline="")), [])), na_action="ignore").astype("Int32")
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str, *, strict: bool = True, line_limit: int = EPISODE_LINE) -> DataFrame:
@@ -49,6 +65,17 @@ def write_jsonl(df: DataFrame, path: str, *, partition_by: Iterable[str] = ()) -
     df.write.mode("overwrite").partitionBy(*partition_by).json(path)
 
 
+def write_by_system(outputs: DataFrame, path: str) -> DataFrame:
+    """Outputs as JSON lines, a folder per system; returns ``system, n, auto_share`` of what was written."""
+    write_jsonl(outputs, path, partition_by=["system"])
+    return auto_shares(outputs)
+
+
+def auto_shares(outputs: DataFrame) -> DataFrame:
+    """``system, n, auto_share``: outputs of each system, and how many of them go out by themselves."""
+    return outputs.groupBy("system").agg(F.count("*").alias("n"), F.coalesce(F.avg((F.col("route") == "auto").cast("double")), F.lit(0.0)).alias("auto_share"))
+
+
 def write_text_atomically(path: str, text: str) -> None:
     """A driver-side file of small size, replaced in one step."""
     target = Path(path)

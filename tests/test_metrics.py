@@ -64,9 +64,9 @@ def test_correlations(spark):
 
 def test_bootstrap(spark):
     df = frame(spark, [(f"k{i}", float(i % 5)) for i in range(50)], "k string, v double")
-    b = m.bootstrap_mean(df, "v", by=[], key="k", seed=1, iterations=100).first()
+    b = m.bootstrap_mean(df, "v", by=[], seed=1, iterations=100).first()
     assert b["low"] < b["mean"] == 2.0 < b["high"]
-    one = m.bootstrap_mean(frame(spark, [("k", 3.0)], "k string, v double"), "v", by=[], key="k", seed=1, iterations=1).first()
+    one = m.bootstrap_mean(frame(spark, [("k", 3.0)], "k string, v double"), "v", by=[], seed=1, iterations=1).first()
     assert (one["low"], one["mean"], one["high"]) == (3.0, 3.0, 3.0)
 
 
@@ -78,3 +78,24 @@ def test_calibration_keeps_empty_bins(spark):
 def test_majority(spark):
     one = lambda rows: m.majority(frame(spark, [(x,) for x in rows], "l string"), "l").first()["label"]
     assert one(["b", "a", "b", "a", None]) == "a" and one([]) == "other" and one([None]) == "other"
+
+
+def test_bootstrap_counts_equal_values_together(spark):
+    """The interval of a share of a million rows, from two rows of counts, is that of theory."""
+    df = spark.range(1_000_000).select((F.col("id") % 4 == 0).cast("double").alias("v"))
+    b = m.bootstrap_mean(df, "v", by=[], seed=2, iterations=2000).first()
+    half = 1.96 * (0.25 * 0.75 / 1_000_000) ** 0.5
+    assert b["n"] == 1_000_000 and b["mean"] == 0.25 and b["high"] - b["low"] == pytest.approx(2 * half, rel=0.12)
+    cells = frame(spark, [("a", "a", 40), ("a", "b", 10), ("b", "b", 45), ("b", "a", 5)], "gold string, pred string, n long").withColumn("system", F.lit("s"))
+    c = m.bootstrap_classes(cells, by=["system"]).first()
+    assert 0.75 < c["accuracy_low"] < 0.85 < c["accuracy_high"] < 0.95 and c["macro_f1_low"] < 0.85 < c["macro_f1_high"]
+
+
+def test_judge_against_people(spark):
+    from deskloom.plans import report
+
+    schema = "system string, episode_id string, grounding int, resolution int, tone int, composite double, sendable boolean"
+    judge = spark.createDataFrame([("s", f"e{i}", 1 + i % 5, 3, 4, i / 10, i % 2 == 0) for i in range(10)] + [("s", "alone", 1, 1, 1, 1.0, True)], schema)
+    got = {r["dimension"]: r for r in report.judge_human(judge, judge.where("episode_id <> 'alone'")).collect()}
+    assert set(got) == {"grounding", "resolution", "tone", "composite", "sendable"} and got["grounding"]["n"] == 10
+    assert got["grounding"]["kappa"] == 1 == got["sendable"]["kappa"] == got["sendable"]["exact"] and got["composite"]["rho"] == pytest.approx(1)

@@ -58,3 +58,24 @@ def test_precedents_take_one_of_a_template(spark):
     q = w.where("doc = 'd0'").withColumn("doc", F.lit("q"))
     got = tfidf.precedents(q, w, replies, 3).orderBy("rank").collect()
     assert [r["doc"] for r in got] == ["d0", "x"]
+
+
+def test_allowed_rows_only(spark):
+    rows = spark.createDataFrame([("a", "x", 1.0), ("b", "x", 0.5), ("c", "y", 1.0)], "doc string, term string, w float")
+    q = spark.createDataFrame([("q", "x", 1.0)], "doc string, term string, w float")
+    allow = spark.createDataFrame([("b",), ("c",)], "doc string")
+    got = search.top_k(search.vectors(q), search.vectors(rows), 3, allow=allow).collect()
+    assert [(r["doc"], r["rank"]) for r in got] == [("b", 1)]
+
+
+def test_sparse_products_equal_matrix_products():
+    import numpy as np
+
+    draw = np.random.default_rng(1)
+    n = lambda k: (np.sort(draw.integers(0, k, 6000)), draw.integers(0, 3000, 6000), draw.random(6000))
+    (q_of, q_t, q_w), (d_of, d_t, d_w) = n(50), n(300)
+    want = np.zeros((300, 3000))
+    np.add.at(want, (d_of, d_t), d_w)
+    right = np.zeros((3000, 50))
+    np.add.at(right, (q_t, q_of), q_w)
+    assert np.allclose(search._scores(q_of, q_t, q_w, 50, d_of, d_t, d_w, 300), want @ right)
