@@ -229,8 +229,8 @@ def sessions(raw: DataFrame) -> DataFrame:
     days = rows.groupBy("channel", "day").agg(F.max("_start").alias("_own"))
     carried = days.select("channel", "day", F.max("_own").over(Window.partitionBy("channel").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)).alias("_carried"))
     here = F.max("_start").over(by_day.rowsBetween(Window.unboundedPreceding, 0))
-    talk = cut(rows.withColumn("_here", here).join(carried, ["channel", "day"]).select("id", "author", "inbound", "ts", "says", "channel", "day", F.coalesce("_here", "_carried").alias("session")))
-    own = ["channel", "session"]
+    talk = cut(rows.withColumn("_here", here).join(carried, ["channel", "day"]).select("id", "author", "inbound", "ts", "says", "day", F.coalesce("_here", "_carried")["id"].alias("session")))
+    own = ["session"]  # the id of its first message
     firsts = talk.groupBy(*own).agg(F.min(F.struct("ts", "id", "inbound", "says")).alias("first"), F.min(F.when(~F.col("inbound"), F.struct("ts", "id", "author", "says"))).alias("reply"))
     kept = firsts.where("first.inbound AND first.says AND reply IS NOT NULL AND reply.says").select(*own, F.col("reply.author").alias("brand"), F.concat("reply.author", F.lit("-"), F.col("first.id").cast("string")).alias("episode_id"))
     sizes = talk.groupBy(*own, "day").agg(F.count("*").alias("_n"))
