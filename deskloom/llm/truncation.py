@@ -9,10 +9,11 @@ added as log-odds.
 
 from __future__ import annotations
 
+import itertools
 import re
-from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -124,40 +125,69 @@ _COLUMNS = [x.split()[0] for x in _OUT.split(", ")]
 _TYPES = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.bool_(), *[pa.string()] * 5, *[pa.int64()] * 4]
 
 
+def _counted(*parts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct rows of equally long columns of whole numbers, and how often each occurs."""
+    key = np.zeros(len(parts[0]), np.int64)
+    for part in parts:
+        wide = int(part.max()) + 1 if len(part) else 1
+        if len(key) and int(key.max()) > (1 << 62) // wide:
+            key = np.unique(key, return_inverse=True)[1]
+        key = key * wide + part
+    _, first, n = np.unique(key, return_index=True, return_counts=True)
+    return [part[first] for part in parts], n
+
+
+def token_counts(texts: list[str]) -> dict[str, dict[str, list[int]]]:
+    """For tokens, pairs and fours of classes inside ``texts``: how often a text goes on, a sentence ends, or dots follow.
+
+    Distinct tokens are looked at once; what surrounds them is found for all places at a time.
+    """
+    lists = [text.split()[:-1] for text in texts]
+    flat = pa.array(itertools.chain.from_iterable(lists), pa.string()).dictionary_encode()
+    names, kinds = {"^": 0}, {"^": 0}
+    looked = [_TOKENS.get(t) or _look(t) for t in flat.dictionary.to_pylist()]
+    one = np.array([names.setdefault(x, len(names)) if x else -1 for x, _, _ in looked], np.int64)
+    at, kind = np.array([x for _, x, _ in looked], np.int64), np.array([kinds.setdefault(x, len(kinds)) for _, _, x in looked], np.int64)
+    codes = flat.indices.to_numpy(zero_copy_only=False)
+    doc = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    keep = one[codes] >= 0 if len(codes) else np.zeros(0, bool)
+    codes, doc = codes[keep], doc[keep]
+    one, at, kind = one[codes], at[codes], kind[codes]
+    out: dict[str, dict[str, list[int]]] = {"one": {}, "two": {}, "four": {}}
+    if not len(codes):
+        return out
+    starts = np.ones(len(codes), bool)  # of a text or a sentence
+    starts[1:] = (doc[1:] != doc[:-1]) | (at[:-1] == 1)
+    back = lambda x, n: np.concatenate([np.zeros(n, np.int64), x[:-n]])[: len(x)]
+    within = [~starts]
+    for n in (1, 2):
+        within.append(within[-1] & ~np.concatenate([np.ones(n, bool), starts[:-n]])[: len(starts)])
+    spelled, classes = list(names), list(kinds)
+    columns = {"one": [one], "two": [np.where(within[0], back(one, 1), 0), one], "four": [*(np.where(within[n - 1], back(kind, n), 0) for n in (3, 2, 1)), kind]}
+    for level, parts in columns.items():
+        words = classes if level == "four" else spelled
+        (*keys, places), n = _counted(*parts, at)
+        for key, place, times in zip(zip(*(k.tolist() for k in keys)), places.tolist(), n.tolist()):
+            out[level].setdefault(" ".join(words[x] for x in key), [0, 0, 0, 0])[place] += times
+    return out
+
+
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row per text, and counts of tokens and pairs of tokens by what follows them."""
     for batch in batches:
         rows: list[tuple] = []
-        ones: list[tuple] = []
-        twos: list[tuple] = []
-        fours: list[tuple] = []
-        for doc_id, source, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "source", "text"))):
+        texts = batch.column("text").to_pylist()
+        counts = token_counts(texts)
+        for doc_id, source, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "source")), texts):
             e = ending(text)
             rows.append(("doc", doc_id, source, len(text), len(text.encode("utf8", "surrogatepass")), e["mark"], e["closing"], e["one"], e["two"], e["four"], e["link"], None, None, None, None))
-            before = a = b = c = "^"
-            for token in text.split()[:-1]:
-                one, at, kind = _TOKENS.get(token) or _look(token)
-                if not one:
-                    continue
-                ones.append((one, at))
-                twos.append((before, one, at))
-                fours.append((a, b, c, kind, at))
-                if at == 1:
-                    before = a = b = c = "^"
-                else:
-                    before, a, b, c = one, b, c, kind
             if e["one"]:
-                at = _AT[e["closing"]] or 3
-                ones.append((e["one"], at))
-                twos.append((*e["two"].split(" ", 1), at))
-                fours.append((*e["four"].split(" ", 3), at))
+                for level in counts:
+                    counts[level].setdefault(e[level], [0, 0, 0, 0])[_AT[e["closing"]] or 3] += 1
             if e["link"]:
-                ones.append((e["link"], 3))
-        for kind, keys in (("one", ones), ("two", twos), ("four", fours)):
-            counts: dict[str, list[int]] = {}
-            for key, n in Counter(keys).items():
-                counts.setdefault(" ".join(key[:-1]), [0, 0, 0, 0])[key[-1]] = n
-            rows += ((kind, *[None] * 6, key, *[None] * 3, *n) for key, n in counts.items())
+                counts["one"].setdefault(e["link"], [0, 0, 0, 0])[3] += 1
+        for level, each in counts.items():
+            rows += ((level, *[None] * 6, key, *[None] * 3, *n) for key, n in each.items())
         columns = list(zip(*rows)) if rows else [()] * len(_TYPES)
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _TYPES)], _COLUMNS)
 
