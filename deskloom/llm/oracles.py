@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from deskloom.llm import privacy
+from deskloom.llm import consensus, privacy
 from deskloom.llm.conversations import FOUND_SQL, SESSIONS_SQL, THREADS_SQL
 from deskloom.llm.lookalike import bare_sql, form_sql, own_script_sql
 
@@ -91,4 +91,18 @@ a AS (SELECT v.k, v.field, v.text, string_agg(substr(v.text, (upto + 1)::BIGINT,
 SELECT k, field, CASE WHEN found = 0 THEN text ELSE head || substr(text, (stop + 1)::BIGINT) END AS text, found FROM a
 UNION ALL SELECT DISTINCT k, field, raw, 0 FROM u WHERE ident AND k IS NOT NULL AND regexp_full_match(raw, '[0-9]+')"""
 
-ORACLES = {"p1_found": P1_FOUND, "p1_forms": P1_FORMS, "p2_found": FOUND_SQL, "p2_threads": THREADS_SQL, "p2_sessions": SESSIONS_SQL, "p3_found": P3_FOUND, "p3_groups": P3_GROUPS, "p4_found": P4_FOUND, "p4_redacted": P4_REDACTED, "p7_found": P7_FOUND, "p7_report": P7_REPORT}
+_INTENTS = ", ".join(f"'{x}'" for x in consensus.INTENTS)
+_usable = lambda x: rf"regexp_replace(lower(regexp_replace({x}, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')), '[\s-]+', '_', 'g')"
+_GIVEN = " UNION ALL ".join(
+    f"SELECT episode_id AS item, {rater} AS rater, {_usable(label)} AS label, {step} AS step, TIMESTAMP '0001-01-01' AS given, 0 AS nr FROM golden"
+    for step, (label, rater) in enumerate((("pass_a_intent", "coalesce(pass_a_by, 'pass_a')"), ("pass_b_intent", "coalesce(pass_b_by, 'pass_b')"), ("human_intent", "human_by"), ("gold_intent", "gold_by")))
+)
+P6_AGREEMENT = f"""WITH g AS ({_GIVEN} UNION ALL SELECT episode_id, annotator_id, {_usable('intent')}, 4, coalesce(labelled_at, TIMESTAMP '0001-01-01'), coalesce(audit_id, -1) FROM audits WHERE episode_id IN (SELECT episode_id FROM golden)),
+l AS (SELECT * FROM g WHERE item IS NOT NULL AND rater IS NOT NULL AND label IN ({_INTENTS}) QUALIFY row_number() OVER (PARTITION BY item, rater ORDER BY step DESC, given DESC, nr DESC, label DESC) = 1),
+v AS (SELECT item, label, count(*) AS v FROM l GROUP BY ALL)
+SELECT item, sum(v)::BIGINT AS labels, CASE WHEN sum(v) > 1 THEN round(sum(v * (v - 1))::DOUBLE / (sum(v) * (sum(v) - 1)), 9) END AS pair_agreement FROM v GROUP BY 1"""
+#: What must hold of packing and mixing whatever they choose.
+P8_CHECKS = "SELECT spec_name, count(*) AS items, sum(n_chars)::BIGINT AS size, count(*) FILTER (n_chars > capacity_tokens) AS split, 0::BIGINT AS overfull FROM documents, pack_specs WHERE n_chars > 0 GROUP BY 1"
+P9_CHECKS = "SELECT source, 0::BIGINT AS over_used, 0::BIGINT AS cut FROM mix_targets"
+
+ORACLES = {"p1_found": P1_FOUND, "p1_forms": P1_FORMS, "p2_found": FOUND_SQL, "p2_threads": THREADS_SQL, "p2_sessions": SESSIONS_SQL, "p3_found": P3_FOUND, "p3_groups": P3_GROUPS, "p4_found": P4_FOUND, "p4_redacted": P4_REDACTED, "p6_agreement": P6_AGREEMENT, "p7_found": P7_FOUND, "p7_report": P7_REPORT, "p8_checks": P8_CHECKS, "p9_checks": P9_CHECKS}

@@ -82,6 +82,11 @@ def p6_items(spark: SparkSession, d: str) -> DataFrame:
     return _consensus(spark, d)[0]
 
 
+def p6_agreement(spark: SparkSession, d: str) -> DataFrame:
+    """What of the items doesn't depend on the raters' reliability."""
+    return p6_items(spark, d).select("item", "labels", F.round("pair_agreement", 9).alias("pair_agreement"))
+
+
 def p6_raters(spark: SparkSession, d: str) -> DataFrame:
     return _consensus(spark, d)[1]
 
@@ -117,6 +122,25 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill(p8_containers(spark, d), table(spark, d, "pack_specs"))
 
 
+def p8_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Per spec, packed by characters: what is placed, containers beyond their capacity, and items that are split."""
+    specs = table(spark, d, "pack_specs")
+    packed = packing.pack(table(spark, d, "documents").select("doc_id", "n_chars"), specs, key="doc_id", size="n_chars")
+    over = packed.groupBy("spec_name", "container").agg(F.sum("tokens").alias("held")).join(F.broadcast(specs), "spec_name").groupBy("spec_name").agg(F.count_if(F.col("held") > F.col("capacity_tokens")).alias("overfull"))
+    items = packed.groupBy("spec_name", "doc_id").agg(F.sum("tokens").alias("size"), F.count("*").alias("pieces"))
+    return items.groupBy("spec_name").agg(F.count("*").alias("items"), F.sum("size").alias("size"), F.count_if(F.col("pieces") > 1).alias("split")).join(over, "spec_name")
+
+
+def p9_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Per target source, mixed by characters: records used too often, and uses that aren't whole records."""
+    documents = table(spark, d, "documents").select("doc_id", "n_chars", tokens.clean_source(F.col("source")).alias("source"))
+    targets = table(spark, d, "mix_targets")
+    mixed = mixing.mix(documents, targets, key="doc_id", source="source", size="n_chars").join(documents.select("doc_id", "n_chars"), "doc_id")
+    uses = mixed.groupBy("source", "doc_id").agg(F.count("*").alias("uses"), F.count_if(F.col("tokens") != F.col("n_chars")).alias("cut"))
+    x = targets.select("source", "max_repeats").join(uses, "source", "left")
+    return x.groupBy("source").agg(F.count_if(F.col("uses") > F.col("max_repeats")).alias("over_used"), F.coalesce(F.sum("cut"), F.lit(0)).alias("cut"))
+
+
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
     documents = table(spark, d, "documents").withColumn("source", tokens.clean_source(F.col("source")))
     sized = tokens.count_tokens(documents, text="text", keep=["doc_id", "source"])
@@ -141,5 +165,5 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_forms, p2_found, p2_conversations, p2_threads, p2_sessions, p3_found, p3_groups, p4_found, p4_redacted, p5_found, p5_scores, p5_rates, p6_found, p6_items, p6_raters, p7_found, p7_report, p8_containers, p8_fill, p9_mix, p9_shares, p10_found, p10_scores, p10_rates)
+    for f in (p1_found, p1_forms, p2_found, p2_conversations, p2_threads, p2_sessions, p3_found, p3_groups, p4_found, p4_redacted, p5_found, p5_scores, p5_rates, p6_found, p6_items, p6_agreement, p6_raters, p7_found, p7_report, p8_containers, p8_fill, p8_checks, p9_mix, p9_shares, p9_checks, p10_found, p10_scores, p10_rates)
 }
