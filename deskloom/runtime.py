@@ -9,6 +9,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +45,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows up to which a table counts as small.
+SMALL = 10_000
+
+
+def small(df: DataFrame, most: int = SMALL) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``most`` rows, else as it is for the planner to decide."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 @functools.cache
 def _package() -> str:
     root = Path(__file__).parent
