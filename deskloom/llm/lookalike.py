@@ -178,8 +178,34 @@ def consistent_text(df: DataFrame, columns: list[str]) -> DataFrame:
     return map_sql(df, f"SELECT {', '.join(outer)} FROM (SELECT {', '.join(inner)} FROM batch)", schema)
 
 
+def _looks(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """``k, field_name, form, raw``: each key's different values as 128-bit digests of their form and of themselves; nulls and blanks leave."""
+    parts = []
+    for name in fields:
+        q = f'"{name}"'
+        parts.append(f"SELECT k, '{name}' AS field_name, unhex(md5(y)) AS form, unhex(md5(x)) AS raw FROM (SELECT k, {q} AS x, {form_sql(q)} AS y FROM batch) WHERE regexp_matches(y, '\\S')")
+    digests = map_sql(df.select(F.col(key).alias("k"), *fields).where(F.col("k").isNotNull()), " UNION ALL ".join(parts), "k string, field_name string, form binary, raw binary")
+    return cut(digests.dropDuplicates())
+
+
+def same_looking_classes(df: DataFrame, *, key: str, fields: list[str]) -> DataFrame:
+    """``episode_id, field_name, first_id, members, spellings``: each key's class of values that look the same.
+
+    ``first_id`` is the smallest key of the class, ``members`` its different
+    keys and ``spellings`` its different strings; a class of a third of all
+    rows costs a row for each member. A key given several texts that look
+    different is in a class for each. Null keys, null and blank texts have no row.
+    """
+    rows = _looks(df, key, fields)
+    own = ["field_name", "form"]
+    keys = rows.select("k", *own).distinct()
+    spellings = rows.select("raw", *own).distinct().groupBy(*own).agg(F.count("*").alias("spellings"))
+    classes = keys.groupBy(*own).agg(F.min("k").alias("first_id"), F.count("*").alias("members")).join(spellings, own)
+    return keys.join(classes, own).select(F.col("k").alias("episode_id"), "field_name", "first_id", "members", "spellings")
+
+
 def same_looking_pairs(df: DataFrame, *, key: str, fields: list[str]) -> DataFrame:
-    """Pairs of different ``key`` whose ``fields`` look the same but are different strings.
+    """Pairs of different ``key`` whose ``fields`` look the same but are different strings: the classes of that name, spelled out.
 
     Columns ``episode_a, episode_b, field_name``, smaller key first. Only
     128-bit digests of forms and raw strings are shuffled. Forms with a single
@@ -187,12 +213,7 @@ def same_looking_pairs(df: DataFrame, *, key: str, fields: list[str]) -> DataFra
     Rows with a null key, null or blank text make no pair; a key given several
     times counts once for each different text.
     """
-    parts = []
-    for name in fields:
-        q = f'"{name}"'
-        parts.append(f"SELECT k, '{name}' AS field_name, unhex(md5(y)) AS form, unhex(md5(x)) AS raw FROM (SELECT k, {q} AS x, {form_sql(q)} AS y FROM batch) WHERE regexp_matches(y, '\\S')")
-    digests = map_sql(df.select(F.col(key).alias("k"), *fields).where(F.col("k").isNotNull()), " UNION ALL ".join(parts), "k string, field_name string, form binary, raw binary")
-    rows = cut(digests.dropDuplicates())
+    rows = _looks(df, key, fields)
     several = rows.groupBy("field_name", "form").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where("lo <> hi").select("field_name", "form")
     some = rows.join(several, ["field_name", "form"], "left_semi")
     a, b = some.alias("a"), some.alias("b")

@@ -17,12 +17,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from deskloom.runtime import cut
+from deskloom.runtime import SMALL, cut, small
 
 BLOCK_TOKENS = 1024
 #: Records of one run of the prefix sums.
 RUN_RECORDS = 50_000
-PERIODS = (100, 1000, 10_000)
+#: A share below one slot of the longest period is interleaved as one slot; its tokens are those of its share all the same.
+PERIODS = (100, 1000, 10_000, 100_000)
 
 
 def weights_of(shares: dict[str, float]) -> tuple[dict[str, int], int]:
@@ -91,6 +92,9 @@ def mix(records: DataFrame, targets: DataFrame, *, key: str, source: str, size:
     need = {k: int(total * shares[k]) for k in shares}
     passes = {k: min(wanted[k][1], -(-need[k] // sizes[k][0])) for k in shares}
     plan = spark.createDataFrame([(k, need[k], passes[k], slots[k], max(1, sizes[k][1] // RUN_RECORDS), table[k]) for k in shares], "source string, need long, passes int, per_period long, runs long, table array<long>")
+    if len(shares) > SMALL:
+        raise ValueError(f"a mix has at most {SMALL} sources, this one {len(shares)}")
+    # plan, and what is grouped by its sources, has a row for each source
     x = rows.join(F.broadcast(plan.drop("table")), "source")
     x = x.withColumn("pass_no", F.explode(F.sequence(F.lit(1), F.col("passes"))))
     x = x.withColumn("draw", F.xxhash64("item", "pass_no", F.lit(seed))).withColumn("run", F.pmod(F.shiftrightunsigned("draw", 20), F.col("runs")))
@@ -119,6 +123,6 @@ def shares_reached(mixed: DataFrame, targets: DataFrame, *, key: str) -> DataFra
     uses = mixed.groupBy("source", key).agg(F.count("*").alias("uses"), F.sum("tokens").alias("tokens"))
     sums = uses.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("records"), F.max("uses").alias("most_uses"))
     whole = sums.agg(F.sum("tokens").alias("all_tokens"))  # one row
-    out = targets.join(F.broadcast(sums), "source", "left").crossJoin(F.broadcast(whole))
+    out = targets.join(small(sums), "source", "left").crossJoin(F.broadcast(whole))
     n = F.coalesce("tokens", F.lit(0))
     return out.select("source", "target_share", "max_repeats", n.alias("tokens"), F.coalesce("records", F.lit(0)).alias("records"), F.coalesce("most_uses", F.lit(0)).alias("most_uses"), F.when(F.col("all_tokens") > 0, n / F.col("all_tokens")).otherwise(0.0).alias("share"))

@@ -17,6 +17,8 @@ def _squeeze(x: str) -> str:
 _forms = " UNION ALL ".join(f"SELECT episode_id, '{f}' AS field_name, {f} AS raw, {form_sql(f)} AS form FROM episodes WHERE episode_id IS NOT NULL" for f in FIELDS)
 P1_FOUND = f"""WITH x AS (SELECT DISTINCT * FROM ({_forms}) WHERE regexp_matches(form, '\\S'))
 SELECT DISTINCT a.episode_id AS episode_a, b.episode_id AS episode_b, field_name FROM x a JOIN x b USING (field_name, form) WHERE a.episode_id < b.episode_id AND a.raw <> b.raw"""
+P1_CLASSES = f"""WITH x AS (SELECT DISTINCT * FROM ({_forms}) WHERE regexp_matches(form, '\\S')), c AS (SELECT field_name, form, min(episode_id) AS first_id, count(DISTINCT episode_id) AS members, count(DISTINCT raw) AS spellings FROM x GROUP BY ALL)
+SELECT episode_id, field_name, first_id, members, spellings FROM (SELECT DISTINCT episode_id, field_name, form FROM x) JOIN c USING (field_name, form)"""
 P1_FORMS = "SELECT episode_id, " + ", ".join(f"{own_script_sql(f)} AS {f}" for f in FIELDS) + " FROM (SELECT episode_id, " + ", ".join(f"{form_sql(f)} AS {f}" for f in FIELDS) + " FROM episodes)"
 
 #: Record keys: the sorted canonical fields of a labelled form, else the whole canonical text.
@@ -105,4 +107,4 @@ SELECT item, sum(v)::BIGINT AS labels, CASE WHEN sum(v) > 1 THEN round(sum(v * (
 P8_CHECKS = "SELECT spec_name, count(*) AS items, sum(n_chars)::BIGINT AS size, count(*) FILTER (n_chars > capacity_tokens) AS split, 0::BIGINT AS overfull FROM documents, pack_specs WHERE n_chars > 0 GROUP BY 1"
 P9_CHECKS = "SELECT source, 0::BIGINT AS over_used, 0::BIGINT AS cut FROM mix_targets"
 
-ORACLES = {"p1_found": P1_FOUND, "p1_forms": P1_FORMS, "p2_found": FOUND_SQL, "p2_threads": THREADS_SQL, "p2_sessions": SESSIONS_SQL, "p3_found": P3_FOUND, "p3_groups": P3_GROUPS, "p4_found": P4_FOUND, "p4_redacted": P4_REDACTED, "p6_agreement": P6_AGREEMENT, "p7_found": P7_FOUND, "p7_report": P7_REPORT, "p8_checks": P8_CHECKS, "p9_checks": P9_CHECKS}
+ORACLES = {"p1_found": P1_FOUND, "p1_classes": P1_CLASSES, "p1_forms": P1_FORMS, "p2_found": FOUND_SQL, "p2_threads": THREADS_SQL, "p2_sessions": SESSIONS_SQL, "p3_found": P3_FOUND, "p3_groups": P3_GROUPS, "p4_found": P4_FOUND, "p4_redacted": P4_REDACTED, "p6_agreement": P6_AGREEMENT, "p7_found": P7_FOUND, "p7_report": P7_REPORT, "p8_checks": P8_CHECKS, "p9_checks": P9_CHECKS}

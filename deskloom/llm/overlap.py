@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from deskloom.llm.formatting import _encode
 from deskloom.llm.lookalike import bare_sql, form_sql, run_sql
-from deskloom.runtime import cut
+from deskloom.runtime import cut, small
 
 #: Entries of the word-frequency sketch; its size doesn't depend on the data.
 SKETCH_BITS = 18
@@ -227,11 +227,11 @@ def cross_split_pairs(df: DataFrame, *, key: str, text: str, side: str, share: f
 def with_split(episodes: DataFrame, splits: DataFrame) -> DataFrame:
     """Add ``split_name`` and ``side`` ("a" training, "b" evaluation) by ``created_at``; undated rows and rows outside every period leave.
 
-    ``splits`` is a handful of rows, a table of fixed size. Columns of those
+    ``splits`` is a table of fixed size, broadcast if it is small. Columns of those
     two names in ``episodes`` are replaced.
     """
     side = F.when(F.col("purpose") == "training", "a").otherwise("b")
-    periods = F.broadcast(splits.select(F.struct(F.col("split_name").alias("name"), side.alias("side"), F.col("starts_at").alias("lo"), F.col("ends_at").alias("hi")).alias("_period")))
+    periods = small(splits.select(F.struct(F.col("split_name").alias("name"), side.alias("side"), F.col("starts_at").alias("lo"), F.col("ends_at").alias("hi")).alias("_period")))
     own = [c for c in episodes.columns if c not in ("split_name", "side")]
     x = episodes.select(*own).join(periods, (F.col("created_at") >= F.col("_period.lo")) & (F.col("created_at") < F.col("_period.hi")))
     return x.select(*own, F.col("_period.name").alias("split_name"), F.col("_period.side").alias("side"))

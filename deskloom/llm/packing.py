@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from deskloom.runtime import cut
+from deskloom.runtime import cut, small
 
 #: Windows and items of a block at most: more fill windows better, at a cost that grows faster than their number.
 BLOCK_WINDOWS, BLOCK_ITEMS = 192, 8192
@@ -118,7 +118,7 @@ def pack(items: DataFrame, specs: DataFrame, *, key: str, size: str, block_windo
     n, room = rows.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     wanted = [(r["spec_name"], int(r["capacity_tokens"])) for r in specs.where("capacity_tokens > 0").distinct().collect()]
     blocks = {name: max(1, -(-room // (capacity * block_windows)), -(-n // block_items)) for name, capacity in wanted}
-    plans = F.broadcast(rows.sparkSession.createDataFrame([(name, capacity, blocks[name]) for name, capacity in wanted], "spec_name string, capacity long, blocks long"))
+    plans = small(rows.sparkSession.createDataFrame([(name, capacity, blocks[name]) for name, capacity in wanted], "spec_name string, capacity long, blocks long"))
     planned = rows.crossJoin(plans)  # a fixed handful of specs
     full = planned.where("n >= capacity").select("spec_name", "item", "row", F.explode(F.sequence(F.lit(0), (F.col("n") / F.col("capacity")).cast("long") - 1)).alias("piece"), "capacity")
     whole = full.select("spec_name", F.concat_ws("-", F.lit("full"), "row", "piece").alias("container"), F.col("item").alias(key), F.col("piece").cast("long").alias("piece"), (F.col("piece") * F.col("capacity")).alias("start"), F.col("capacity").alias("tokens"))
@@ -146,4 +146,4 @@ def fill(packed: DataFrame, specs: DataFrame) -> DataFrame:
     """Per spec: containers, tokens in them and the share of their room that is used."""
     held = packed.groupBy("spec_name", "container").agg(F.sum("tokens").alias("tokens"))
     sums = held.groupBy("spec_name").agg(F.count("*").alias("containers"), F.sum("tokens").alias("tokens"), F.max("tokens").alias("fullest"))
-    return sums.join(F.broadcast(specs.select("spec_name", "capacity_tokens")), "spec_name").withColumn("used_share", F.col("tokens") / (F.col("containers") * F.col("capacity_tokens")))
+    return sums.join(small(specs.select("spec_name", "capacity_tokens")), "spec_name").withColumn("used_share", F.col("tokens") / (F.col("containers") * F.col("capacity_tokens")))

@@ -18,6 +18,10 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.same_looking_pairs(table(spark, d, "episodes"), key="episode_id", fields=FIELDS)
 
 
+def p1_classes(spark: SparkSession, d: str) -> DataFrame:
+    return lookalike.same_looking_classes(table(spark, d, "episodes"), key="episode_id", fields=FIELDS)
+
+
 def p1_forms(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.consistent_text(table(spark, d, "episodes").select("episode_id", *FIELDS), FIELDS)
 
@@ -165,5 +169,5 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_forms, p2_found, p2_conversations, p2_threads, p2_sessions, p3_found, p3_groups, p4_found, p4_redacted, p5_found, p5_scores, p5_rates, p6_found, p6_items, p6_agreement, p6_raters, p7_found, p7_report, p8_containers, p8_fill, p8_checks, p9_mix, p9_shares, p9_checks, p10_found, p10_scores, p10_rates)
+    for f in (p1_found, p1_classes, p1_forms, p2_found, p2_conversations, p2_threads, p2_sessions, p3_found, p3_groups, p4_found, p4_redacted, p5_found, p5_scores, p5_rates, p6_found, p6_items, p6_agreement, p6_raters, p7_found, p7_report, p8_containers, p8_fill, p8_checks, p9_mix, p9_shares, p9_checks, p10_found, p10_scores, p10_rates)
 }

@@ -51,3 +51,11 @@ def test_pairs(spark):
 def test_other_columns_pass(spark):
     df = spark.createDataFrame([(1, "nο", [1, 2]), (2, None, None)], "batch long, x string, y array<int>")
     assert sorted(map(tuple, L.consistent_text(df, ["x"]).collect())) == [(1, "no", [1, 2]), (2, None, None)]
+
+
+def test_classes(spark):
+    rows = [("a", "copy", 1), ("b", "сору", 1), ("c", "copy", 2), ("c", "copy", 3), ("d", "Copy", 1), ("e", None, 1), (None, "copy", 1), ("f", "\u200b ", 1), ("g", "x" * 50_000, 1)]
+    df = spark.createDataFrame(rows, "id string, t string, members int")
+    got = {r["episode_id"]: (r["first_id"], r["members"], r["spellings"]) for r in L.same_looking_classes(df, key="id", fields=["t"]).collect()}
+    assert got == {"a": ("a", 3, 2), "b": ("a", 3, 2), "c": ("a", 3, 2), "d": ("d", 1, 1), "g": ("g", 1, 1)}
+    assert L.same_looking_classes(df.where("false"), key="id", fields=["t"]).count() == 0
