@@ -23,7 +23,7 @@ BLOCK_TOKENS = 1024
 #: Records of one run of the prefix sums.
 RUN_RECORDS = 50_000
 #: A share below one slot of the longest period is interleaved as one slot; its tokens are those of its share all the same.
-PERIODS = (100, 1000, 10_000, 100_000)
+PERIODS = (100, 1000, 10_000)
 
 
 def weights_of(shares: dict[str, float]) -> tuple[dict[str, int], int]:
@@ -91,11 +91,11 @@ def mix(records: DataFrame, targets: DataFrame, *, key: str, source: str, size:
     # the shares that slots give, to the token
     need = {k: int(total * shares[k]) for k in shares}
     passes = {k: min(wanted[k][1], -(-need[k] // sizes[k][0])) for k in shares}
-    plan = spark.createDataFrame([(k, need[k], passes[k], slots[k], max(1, sizes[k][1] // RUN_RECORDS), table[k]) for k in shares], "source string, need long, passes int, per_period long, runs long, table array<long>")
+    plan = spark.createDataFrame([(k, need[k], passes[k], slots[k], max(1, sizes[k][1] // RUN_RECORDS)) for k in shares], "source string, need long, passes int, per_period long, runs long")
     if len(shares) > SMALL:
         raise ValueError(f"a mix has at most {SMALL} sources, this one {len(shares)}")
     # plan, and what is grouped by its sources, has a row for each source
-    x = rows.join(F.broadcast(plan.drop("table")), "source")
+    x = rows.join(F.broadcast(plan), "source")
     x = x.withColumn("pass_no", F.explode(F.sequence(F.lit(1), F.col("passes"))))
     x = x.withColumn("draw", F.xxhash64("item", "pass_no", F.lit(seed))).withColumn("run", F.pmod(F.shiftrightunsigned("draw", 20), F.col("runs")))
     runs = x.groupBy("source", "pass_no", "run").agg(F.sum("tokens").alias("sum"))
@@ -113,8 +113,10 @@ def mix(records: DataFrame, targets: DataFrame, *, key: str, source: str, size:
     x = fits.select("source", "item", "pass_no", "tokens", "start").union(best.select("source", "b.item", "b.pass_no", "b.tokens", "b.end"))
     x = x.join(F.broadcast(plan.select("source", "per_period")), "source")
     block = F.floor(F.col("start") / block_tokens)
-    x = x.join(F.broadcast(plan.select("source", "table")), "source")
-    slot = F.floor(block / F.col("per_period")) * period + F.element_at("table", (block % F.col("per_period") + 1).cast("int"))
+    # a row for each slot of the period, so that no row of the mix carries the table
+    places = spark.createDataFrame([(k, i, t) for k in shares for i, t in enumerate(table[k])], "source string, place long, at long")
+    x = x.withColumn("block", block).withColumn("place", F.col("block") % F.col("per_period")).join(F.broadcast(places), ["source", "place"])
+    slot = F.floor(F.col("block") / F.col("per_period")) * period + F.col("at")
     return x.select(slot.cast("long").alias("slot"), "source", "start", F.col("item").alias(key), "pass_no", "tokens")
 
 
