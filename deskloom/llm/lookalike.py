@@ -138,8 +138,18 @@ def duck():
     return _connection
 
 
+#: Bytes that one query sees at a time; a batch of long texts is taken in parts.
+PART_BYTES = 16 << 20
+
+
 def run_sql(batch: pa.RecordBatch | pa.Table, sql: str) -> pa.Table:
-    """``sql`` over ``batch``, named ``batch`` in it; keeps the order of rows."""
+    """``sql`` over ``batch``, named ``batch`` in it; keeps the order of rows.
+
+    What it says of a row must not depend on others, or be summed up later: large batches are taken in parts.
+    """
+    if batch.num_rows > 1 and batch.nbytes > PART_BYTES:
+        half = batch.num_rows // 2
+        return pa.concat_tables([run_sql(batch.slice(0, half), sql), run_sql(batch.slice(half), sql)])
     con = duck()
     con.register("batch", pa.Table.from_batches([batch]) if isinstance(batch, pa.RecordBatch) else batch)
     try:

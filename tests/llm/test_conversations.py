@@ -75,3 +75,36 @@ def test_ids_up_to_the_greatest_bigint(spark):
     rows = [msg(a, "c", "True", 0), msg(b, "B", "False", 1, parent=f"{a}.0"), msg("000" + str(top), "c", "True", 2, parent=b), msg(top + 1, "c", "True", 3), msg(5, "c", "True", 0, parent=top + 1), msg(6, "B", "False", 1, parent=5)]
     rows = [(*r[:5], None if r[5] is None else str(r[5])) for r in rows]
     assert run(spark, rows) == {f"B-{a}": [(a, "customer"), (b, "brand"), (top, "customer")]}
+
+
+def sessions(spark, rows):
+    got = {}
+    for r in C.sessions(frame(spark, rows)).orderBy("episode_id", "turn_no").collect():
+        got.setdefault(r["episode_id"], []).append((r["turn_no"], r["tweet_id"], r["speaker"]))
+    return got
+
+
+def test_sessions(spark):
+    day = 86_400
+    # replies within minutes and openings after days calibrate the gap
+    rows = []
+    for i in range(12):
+        at = i * 3 * day + (day - 120 if i % 3 == 0 else 0)  # some run over midnight
+        rows += [msg(100 + 10 * i, "c", "True", at, "@B hello"), msg(101 + 10 * i, "B", "False", at + 60, "@c yes", str(100 + 10 * i)), msg(102 + 10 * i, "c", "True", at + 200, "@B thanks", str(101 + 10 * i))]
+    rows += [msg(900, "d", "True", 50, "@B anyone"), msg(901, "d", "True", 90, "@B nobody?", "900")]  # no reply
+    rows += [msg(910, "B", "False", 50, "@e news"), msg(911, "e", "True", 90, "@B oh", "910")]  # opened by the brand
+    rows += [msg(920, "f", "True", 50, "@B"), msg(921, "B", "False", 60, "@f hm", "920")]  # nothing said
+    rows += [msg(930, "g", "True", "n/a", "@B x"), msg(931, None, "True", 5, "@B x"), msg(932, "B", "False", 5, "to nobody"), ("nan", "h", "True", stamp(0), "x", None)]
+    rows += [msg(940, "i", "True", 70, "no handle"), msg(941, "B", "False", 70, "no handle", "940"), msg(942, "i", "True", 70, None, "941")]  # equal times, partner by the links
+    got = sessions(spark, rows + rows[:3])
+    want = {f"B-{100 + 10 * i}": [(1, 100 + 10 * i, "customer"), (2, 101 + 10 * i, "brand"), (3, 102 + 10 * i, "customer")] for i in range(12)}
+    assert got == {**want, "B-940": [(1, 940, "customer"), (2, 941, "brand"), (3, 942, "customer")]}
+    assert sessions(spark, []) == {}
+
+
+def test_texts_of_shared_row_numbers(spark):
+    """Rows that share a number, or have none, keep their texts."""
+    rows = [("1", "c", "True", stamp(0), "opening words", None, None, 7), ("2", "B", "False", stamp(5), "an answer", None, "1", 7), ("3", "c", "True", stamp(9), "more words", None, "2", None)]
+    got = C.conversations(spark.createDataFrame(rows, RAW)).collect()
+    assert [(t["role"], t["text"]) for t in got[0]["thread"]] == [("customer", "opening words"), ("brand", "an answer"), ("customer", "more words")]
+    assert [(r["turn_no"], r["role"], r["text"]) for r in C.threads(spark.createDataFrame(rows, RAW)).orderBy("turn_no").collect()] == [(1, "customer", "opening words"), (2, "brand", "an answer"), (3, "customer", "more words")]

@@ -59,3 +59,10 @@ def test_classes(spark):
     got = {r["episode_id"]: (r["first_id"], r["members"], r["spellings"]) for r in L.same_looking_classes(df, key="id", fields=["t"]).collect()}
     assert got == {"a": ("a", 3, 2), "b": ("a", 3, 2), "c": ("a", 3, 2), "d": ("d", 1, 1), "g": ("g", 1, 1)}
     assert L.same_looking_classes(df.where("false"), key="id", fields=["t"]).count() == 0
+
+
+def test_large_batches_are_taken_in_parts(monkeypatch):
+    texts = [f"ｔｅｘｔ {i} " + "é" * (i * 50) for i in range(60)] + [None, ""]
+    whole = forms(texts)
+    monkeypatch.setattr(L, "PART_BYTES", 2_000)
+    assert forms(texts) == whole
