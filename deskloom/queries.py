@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 from deskloom.functions import text
 from deskloom.operators import complete, learning, metrics, policy, sampling, search, systems, threads, tfidf
 from deskloom.plans import pipelines, report
-from deskloom.runtime import cut, shared_dir, table
+from deskloom.runtime import cut, shared_dir, small, table
 from deskloom.sources import io
 from deskloom.streaming import intake
 
 BRAND = "AeroLumen"
+#: Terms of the retrieval vocabulary at most: a table of so many rows is broadcast.
+VOCABULARY = 60_000
 LABELS = list(text.INTENTS)
 EPISODE = ["brand", "customer_id", "created_at", "customer_text", "brand_reply", "n_turns"]
 QUERIES: dict = {}
@@ -144,7 +146,8 @@ def temporal_split(spark, d):
 def _split_terms(spark, d):
     rows = cut(threads.temporal_split(episodes(spark, d, "created_at", "customer_text", "brand_reply").where("customer_text IS NOT NULL")))
     terms = text.analyze(text.tokenize(F.col("customer_text")))
-    return rows, tfidf.terms_of(rows.where("split = 'history'"), doc="episode_id", terms=terms), tfidf.terms_of(rows.where("split = 'eval_pool'"), doc="episode_id", terms=terms)
+    # history is counted and weighed, so its terms are found once
+    return rows, cut(tfidf.terms_of(rows.where("split = 'history'"), doc="episode_id", terms=terms)), tfidf.terms_of(rows.where("split = 'eval_pool'"), doc="episode_id", terms=terms)
 
 
 def _all_terms(spark, d):
@@ -180,9 +183,10 @@ def tfidf_weights(spark, d):
 def _retrieval(spark, d):
     """``(rows, queries, index)``: vectors of the evaluation pool's stated query set and of all history."""
     rows, history, pool = _split_terms(spark, d)
-    vocabulary = cut(tfidf.fit(history, rows.where("split = 'history'"), min_df=2, max_features=60_000))
+    vocabulary = small(cut(tfidf.fit(history, rows.where("split = 'history'"), min_df=2, max_features=VOCABULARY)), VOCABULARY)
     asked = pool.where(F.regexp_extract("doc", r"(\d+)$", 1).cast("long") % 20 == 0)
-    return rows, cut(tfidf.transform(asked, vocabulary)), cut(tfidf.transform(history, vocabulary))
+    # the weights of history go straight into blocks: they are spread by document already
+    return rows, cut(tfidf.transform(asked, vocabulary)), tfidf.transform(history, vocabulary)
 
 
 @query
@@ -402,7 +406,7 @@ def simple_system(spark, d):
     w = tfidf.transform(own, tfidf.fit(own, g, min_df=1, max_features=20_000))
     said = learning.out_of_fold(folded.select(F.col("episode_id").alias("doc"), "label", "fold"), search.vectors(w))
     past = rows.where("split = 'history'")
-    vocabulary = cut(tfidf.fit(history, past, min_df=2, max_features=60_000))
+    vocabulary = small(cut(tfidf.fit(history, past, min_df=2, max_features=VOCABULARY)), VOCABULARY)
     near = search.top_k(search.vectors(tfidf.transform(own, vocabulary)), search.vectors(tfidf.transform(history, vocabulary)), 1)
     best = near.join(past.select(F.col("episode_id").alias("doc"), "brand_reply"), "doc").select(F.col("q").alias("episode_id"), "brand_reply", F.col("score").alias("top_score"))
     guesses = said.select(F.col("doc").alias("episode_id"), F.col("predicted").alias("intent"), F.col("probability").alias("confidence")).join(g.select("episode_id", "customer_text"), "episode_id")
@@ -445,11 +449,11 @@ def _with_precedents(spark, d):
     g = table(spark, d, "golden").select("episode_id", "customer_text").where("customer_text IS NOT NULL").distinct()
     rows, history, _ = _split_terms(spark, d)
     past = rows.where("split = 'history'")
-    vocabulary = cut(tfidf.fit(history, past, min_df=2, max_features=60_000))
+    vocabulary = small(cut(tfidf.fit(history, past, min_df=2, max_features=VOCABULARY)), VOCABULARY)
     own = tfidf.terms_of(g, doc="episode_id", terms=text.analyze(text.tokenize(F.col("customer_text"))))
     replies = past.select(F.col("episode_id").alias("doc"), F.col("customer_text").alias("customer"), F.coalesce("brand_reply", F.lit("")).alias("brand_reply"))
     signatures = replies.select("doc", text.signature(text.tokenize(F.col("brand_reply"))).alias("signature"))
-    near = cut(tfidf.precedents(cut(tfidf.transform(own, vocabulary)), cut(tfidf.transform(history, vocabulary)), signatures, systems.TOP_PRECEDENTS))
+    near = cut(tfidf.precedents(cut(tfidf.transform(own, vocabulary)), tfidf.transform(history, vocabulary), signatures, systems.TOP_PRECEDENTS))
     lists = near.join(replies, "doc").groupBy(F.col("q").alias("episode_id")).agg(F.array_sort(F.collect_list(F.struct("rank", "customer", "brand_reply", F.col("score").cast("double").alias("score")))).alias("found"))
     none = F.array().cast("array<struct<customer string, brand_reply string, score double>>")
     shown = F.transform("found", lambda p: F.struct(p["customer"].alias("customer"), p["brand_reply"].alias("brand_reply"), p["score"].alias("score")))
