@@ -68,3 +68,39 @@ def test_registered_models_get_the_production_epochs(spark, monkeypatch):
     queries.logreg_oof(spark, str(DATA))
     queries.simple_system(spark, str(DATA))
     assert seen == [250, 250]
+
+
+def test_models_see_every_labelled_row(spark, monkeypatch):
+    docs = spark.createDataFrame([(f"d{i:02d}", "abc"[i % 3], i // 3 % 5) for i in range(60)], "doc string, label string, fold int")
+    vectors = spark.createDataFrame([(f"d{i:02d}", [i % 3, 5], [1.0, 0.2]) for i in range(60)], "doc string, terms array<bigint>, weights array<float>")
+    seen = []
+    real = L.cut
+    # a marked row's term has a weight only in the models that were given the row
+    monkeypatch.setattr(L, "cut", lambda df: seen.append(real(df)) or seen[-1])
+    marked = vectors.withColumn("terms", F.when(F.col("doc") == "d59", F.array(F.lit(77).cast("long"), F.lit(5).cast("long"))).otherwise(F.col("terms")))
+    assert "train_bound" not in L.out_of_fold.__kwdefaults__
+    L.out_of_fold(docs, marked, epochs=5).collect()
+    models = {r["model"]: np.array(r["w"]).reshape(-1, 3)[list(r["known"]).index(77)] for r in seen[-1].collect()}
+    assert set(models) == set(range(5)) and {m for m, w in models.items() if not w.any()} == {59 // 3 % 5}
+
+
+def test_models_in_step_equal_models_alone():
+    draw = np.random.default_rng(2)
+    rows = [(np.sort(draw.choice(30, n, replace=False)), draw.random(n)) for n in draw.integers(0, 25, 41)]
+    y = draw.integers(0, 3, 41)
+    members = [np.flatnonzero(np.arange(41) % 4 != k) for k in range(4)]
+    w, b = L.fit_in_step(rows, y, members, 30, np.zeros((4, 3)), epochs=6)
+    for k, m in enumerate(members):
+        alone, bias, order, rng = np.zeros((30, 3)), np.zeros(3), np.arange(len(m)), np.random.default_rng(5)
+        for epoch in range(6):
+            step = L.RATE / (1 + 0.01 * epoch)
+            rng.shuffle(order)
+            for i in m[order]:
+                at, x = rows[i]
+                p = np.exp(x @ alone[at] + bias)
+                p /= p.sum()
+                p[y[i]] -= 1
+                alone[at] -= step * np.outer(x, p)
+                bias -= step * p
+            alone *= 1 - step * L.L2
+        assert np.allclose(alone, w[k]) and np.allclose(bias, b[k])
