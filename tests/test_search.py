@@ -79,3 +79,39 @@ def test_sparse_products_equal_matrix_products():
     right = np.zeros((3000, 50))
     np.add.at(right, (q_t, q_of), q_w)
     assert np.allclose(search._scores(q_of, q_t, q_w, 50, d_of, d_t, d_w, 300), want @ right)
+
+
+def test_blocks_of_any_size_give_the_same_rows(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x = np.round(rng.normal(size=(90, 12)), 1) * (rng.random((90, 12)) < 0.5)
+    x[60:] = x[:30]  # equal scores, told apart by id
+    rows = spark.createDataFrame([(f"{i:03d}", [int(j) for j in np.flatnonzero(v)], [float(v[j]) for j in np.flatnonzero(v)]) for i, v in enumerate(x)], "doc string, terms array<int>, weights array<float>").repartition(3)
+    told = lambda: sorted((r["q"], r["rank"], r["doc"]) for r in search.top_k(rows, rows, 4, drop_self=True).collect())
+    want = []
+    for i, v in enumerate(x.astype(np.float32).astype(float)):
+        s = np.round(x.astype(np.float32).astype(float) @ v, 6)
+        want += [(f"{i:03d}", n + 1, f"{j:03d}") for n, j in enumerate(sorted((j for j in range(90) if j != i and s[j] > 0), key=lambda j: (-s[j], j))[:4])]
+    assert told() == sorted(want)
+    monkeypatch.setattr(search, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(search, "ROW_BLOCK", 5)
+    assert told() == sorted(want)
+
+
+def test_no_pair_of_blocks_is_shuffled(spark):
+    rows = spark.range(50).selectExpr("cast(id as string) doc", "array(id % 7, id % 5 + 10) terms", "array(float(1), float(1)) weights")
+    plan = search.top_k(rows, rows, 2)._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.index("MapInArrow") :]
+    assert "CartesianProduct" in below and "Exchange" not in below
+
+
+def test_weights_without_rows_for_terms(spark):
+    """Vectors from lines equal those from long rows, texts of one document and pairs within a text included."""
+    df = spark.createDataFrame([*DOCS, ("a", "delayed flight flight"), ("f", "hours hours")], "id string, t string")
+    counts = tfidf.terms_of(df, doc="id", terms=analyze(tokenize(F.col("t"))))
+    v = tfidf.fit(counts, 7)
+    want = {(r["doc"], r["term"]): r["w"] for r in tfidf.transform(counts, v).collect()}
+    docs = tfidf.documents(df.select("id", tfidf.line(tokenize(F.col("t"))).alias("line")), doc="id")
+    assert sorted((r["term"], r["df"]) for r in tfidf.document_frequency(tfidf.line_terms(docs)).collect()) == sorted((r["term"], r["df"]) for r in v.collect())
+    names = [r["term"] for r in v.orderBy("term").collect()]
+    got = {(r["doc"], names[t]): w for r in tfidf.weigh(docs, v.orderBy("term")).collect() for t, w in zip(r["terms"], r["weights"])}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-6) for k in want)

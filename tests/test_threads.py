@@ -86,3 +86,12 @@ def test_temporal_split(spark):
     got = threads.temporal_split(df).orderBy(F.col("created_at").asc_nulls_first(), "episode_id").collect()
     assert [r["split"] for r in got] == ["history"] * 16 + ["eval_pool"] * 7
     assert threads.temporal_split(df.where("false")).count() == 0
+
+
+def test_history_mark_is_the_split(spark):
+    rows = [(f"e{i:02d}", None if i % 9 == 0 else f"2024-01-0{1 + i % 3} 10:00:0{i % 7}") for i in range(43)]
+    df = spark.createDataFrame(rows, "episode_id string, created_at string").withColumn("created_at", F.to_timestamp("created_at"))
+    for n in (0, 1, 2, 43):
+        some = df.orderBy("episode_id").limit(n)
+        want = {r["episode_id"]: r["split"] == "history" for r in threads.temporal_split(some).collect()}
+        assert {r["episode_id"]: r["m"] for r in some.withColumn("m", threads.history_mark(some)).collect()} == want
