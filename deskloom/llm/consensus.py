@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -91,10 +92,10 @@ def _raters(types: np.ndarray, weights: np.ndarray, size: int):
             if not batch.num_rows:
                 continue
             said = batch.column("said")
-            flat = pa.compute.list_flatten(said)
-            owner = pa.compute.list_parent_indices(said).to_numpy(zero_copy_only=False)
+            flat = pc.list_flatten(said)
+            owner = pc.list_parent_indices(said).to_numpy(zero_copy_only=False)
             counts = np.zeros((batch.num_rows, size, size))
-            counts[owner, :, flat.field("code").to_numpy(zero_copy_only=False)] = pa.compute.list_flatten(flat.field("qs")).to_numpy(zero_copy_only=False).reshape(-1, size)
+            counts[owner, :, flat.field("code").to_numpy(zero_copy_only=False)] = pc.list_flatten(flat.field("qs")).to_numpy(zero_copy_only=False).reshape(-1, size)
             n = counts[:, None]
             prior = SHRINK * types[None]
             fit = (_lgamma(prior.sum(3)) - _lgamma((prior + n).sum(3)) + (_lgamma(prior + n) - _lgamma(prior)).sum(3)).sum(2) + np.log(weights)[None]
@@ -116,7 +117,7 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = None
     for batch in batches:
         if batch.num_rows:
-            counts, q = (pa.compute.list_flatten(batch.column(c)).to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) for c in ("counts", "types"))
+            counts, q = (pc.list_flatten(batch.column(c)).to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) for c in ("counts", "types"))
             part = np.concatenate([(q.T @ counts).ravel(), q.sum(0), counts.sum(0)])
             total = part if total is None else total + part
     if total is not None:

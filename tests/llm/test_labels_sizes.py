@@ -1,6 +1,11 @@
+import json
 import random
+import subprocess
+import sys
 from itertools import product
+from pathlib import Path
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -46,6 +51,22 @@ def test_no_labels(spark):
     assert items.count() == 0 and raters.count() == 0
 
 
+RATERS_ROWS = {"rater": ["r"], "labels": [3], "said": [[{"code": 1, "qs": [1.0, 2.0]}]]}
+SUMS_ROWS = {"counts": [[1.0, 2.0], [3.0, 4.0]], "types": [[0.5, 0.5], [1.0, 0.0]]}
+
+
+@pytest.mark.parametrize("call, rows, column, want", [("_raters(np.ones((1, 2, 2)), np.ones(1), 2)", RATERS_ROWS, "counts", [0, 1, 0, 2]), ("_sums", SUMS_ROWS, "part", [3.5, 5, 0.5, 1, 1.5, 0.5, 4, 6])])
+def test_first_batch_of_a_worker(call, rows, column, want):
+    """A new worker's first batch comes from a stream, before anything else has loaded more of pyarrow than consensus does."""
+    rows, sink = pa.table(rows), pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema) as w:
+        w.write_table(rows)
+    code = f"import json, sys; import numpy as np, pyarrow as pa; from deskloom.llm.consensus import _raters, _sums; print(json.dumps([b.column({column!r}).to_pylist() for b in {call}(pa.ipc.open_stream(sys.stdin.buffer))]))"
+    run = subprocess.run([sys.executable, "-c", code], input=sink.getvalue().to_pybytes(), capture_output=True, cwd=Path(consensus.__file__).parents[2])
+    assert run.returncode == 0, run.stderr.decode()[-500:]
+    assert json.loads(run.stdout) == [[want]]
+
+
 def test_tokens(spark):
     df = spark.createDataFrame([(1, "hello world"), (2, None), (3, ""), (4, "é😀 <|endoftext|>"), (5, "a" * 50_000)], "tokens_of long, t string")
     got = {r["tokens_of"]: r["tokens"] for r in tokens.count_tokens(df, text="t", keep=["tokens_of"]).collect()}
